@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import decontaminate, langid, packing, simhash
 
-MODULES = (packing, simhash)
+MODULES = (decontaminate, langid, packing, simhash)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
