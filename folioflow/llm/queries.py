@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, packing, pii, simhash
+from . import decontaminate, langid, maintext, packing, pii, simhash
 
-MODULES = (decontaminate, langid, packing, pii, simhash)
+MODULES = (decontaminate, langid, maintext, packing, pii, simhash)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
