@@ -13,10 +13,13 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +30,122 @@ from .common import Scratch, map_arrow, utf8
 
 CAPACITY = 2048
 END_ID = 0
-#: Words kept with their ids by one task; longer words are not kept.
-CACHE_WORDS, CACHE_WORD_BYTES = 250_000, 64
+#: Words, and parts of words, kept with their ids by a Python worker, in some 200 MB; longer ones are not kept.
+CACHE_WORDS, CACHE_PARTS, CACHE_WORD_BYTES = 800_000, 400_000, 64
+#: Fixed value: how the default tokenizer file splits words into parts.
+TOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Texts encoded at once: few enough for their words to stay in the processor's caches.
+ENCODE_TEXTS = 16
 #: Lengths over this share of the capacity are large; groups of equal cardinality they are cut into.
 LARGE, GROUPS = 1 / 8, 48
 #: Pieces of one length are ranked in buckets; about this many pieces of all lengths share a bucket number.
 BUCKET_ROWS, MOST_BUCKETS = 100_000, 512
 
 
-def word_ids(tokenizer_path: str) -> Callable[[bytes], bytes]:
-    """A function from a UTF-8 text to its ids as little-endian 32-bit numbers.
+class Recent:
+    """A dict of about `most` entries: when half of them are new, the older half is forgotten."""
 
-    The tokenizer splits at white space first, so a text's ids are those of its words one after the other, and words
-    recur: each is encoded once and kept.
-    """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def found(self, keys) -> dict:
+        """Those of the keys that are kept."""
+        new, old = self.new.get, self.old.get
+        return {k: v for k in keys if (v := new(k) or old(k)) is not None}
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[bytes, bytes] = {}
+    def update(self, more: dict) -> None:
+        if len(self.new) + len(more) > self.half:
+            self.old, self.new = self.new, {}
+        self.new.update(more)
 
-    def encode(words: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def ids(text: bytes) -> bytes:
-        words = text.split()
-        got = [known.get(w) for w in words]
-        if None in got:
-            new = list({w for w, g in zip(words, got, strict=True) if g is None})
-            fresh = dict(zip(new, encode(new), strict=True))
-            got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
-            if len(known) + len(fresh) > CACHE_WORDS:
-                known.clear()
-            known.update((w, i) for w, i in fresh.items() if len(w) <= CACHE_WORD_BYTES)
-        return b"".join(got)
+class WordIds:
+    """Texts' ids as little-endian 32-bit numbers, by a tokenizer that splits at white space before anything else.
 
-    return ids
+    Such a tokenizer's ids of a text are those of its words one after the other, and words recur: each is encoded once
+    and kept. A new word of plain letters, digits and punctuation is first cut into the parts of which the tokenizer's own
+    pattern makes it, since these recur more than words do; all others are encoded as they are.
+    """
+
+    #: Texts whose parts are known to be those of PARTS: nothing that normalisation composes, and no special token.
+    PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    #: The tokenizer file's own pattern over these characters, after lower-casing.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    SUFFIX = "</w>"
+
+    def __init__(self, tokenizer_path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(self.SUFFIX)]] = True
+        model = json.loads(self.tokenizer.to_str())
+        patterns = [p.get("pattern", {}).get("Regex") for p in (model.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.cuts = bool(self.ends.any()) and TOKEN_PATTERN in patterns
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, encoded side by side and told apart by the mark of a part's last id."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                out += self._each(some)
+                continue
+            raw, start = ids.tobytes(), 0
+            for stop in (stops * 4).tolist():
+                out.append(raw[start:stop])
+                start = stop
+        return out
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        decoded = [w.decode("utf-8", "replace") for w in words]
+        plain = {w: self.PARTS.findall(t.lower()) for w, t in zip(words, decoded, strict=True) if self.cuts and self.PLAIN.fullmatch(t)}
+        other = [(w, t) for w, t in zip(words, decoded, strict=True) if w not in plain]
+        found = dict(zip((w for w, _ in other), self._each([t for _, t in other]), strict=True))
+        asked = {p for ps in plain.values() for p in ps}
+        parts = self.parts.found(asked)
+        new = list(asked - parts.keys())
+        parts.update(zip(new, self._parts(new), strict=True))
+        self.parts.update({p: parts[p] for p in asked if len(p) <= CACHE_WORD_BYTES})
+        found.update((w, b"".join([parts[p] for p in ps])) for w, ps in plain.items())
+        return found
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        words = list(chain.from_iterable(split))
+        got = list(map(self.words.new.get, words))
+        at = [k for k, g in enumerate(got) if g is None]
+        if at:
+            lost = {words[k] for k in at}
+            fresh = self.words.found(lost)
+            fresh |= self._new(list(lost - fresh.keys()))
+            for k in at:
+                got[k] = fresh[words[k]]
+            self.words.update({w: i for w, i in fresh.items() if len(w) <= CACHE_WORD_BYTES})
+        out, start = [], 0
+        for ws in split:
+            out.append(b"".join(got[start : start + len(ws)]))
+            start += len(ws)
+        return out
+
+
+#: The encoder that this worker used last: workers outlive tasks.
+_encoders: dict[str, WordIds] = {}
+
+
+def word_ids(tokenizer_path: str) -> WordIds:
+    if tokenizer_path not in _encoders:
+        _encoders.clear()
+        _encoders[tokenizer_path] = WordIds(tokenizer_path)
+    return _encoders[tokenizer_path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,8 +156,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, text in enumerate(utf8(batch.column(1))):
-                found = encode(text or b"") + end
+            texts = [t or b"" for t in utf8(batch.column(1))]
+            encoded = chain.from_iterable(encode(texts[i : i + ENCODE_TEXTS]) for i in range(0, len(texts), ENCODE_TEXTS))
+            for row, found in enumerate(encoded):
+                found += end
                 for k, at in enumerate(range(0, len(found), 4 * capacity)):
                     part = found[at : at + 4 * capacity]
                     rows.append(row)
@@ -147,7 +231,27 @@ class Run:
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> list[Run]:
-    """Runs of sequences that hold counts[length] pieces of every length."""
+    """Runs of sequences that hold counts[length] pieces of every length, in as few sequences as were found.
+
+    Rounding up leaves space that small pieces may be too few to fill. So sequences in which more than `slack` is left are also
+    dissolved, for several values of slack, their pieces being packed like small ones; of equal outcomes the one that keeps most counts.
+    """
+    configured, rest = _configured(counts, capacity, large, groups)
+    best: list[Run] = []
+    for slack in (capacity, *(capacity >> k for k in range(3, 12)), 0, -1):
+        kept = [r for r in configured if r.left <= slack]
+        loose = dict(rest)
+        for r in configured:
+            for k, n in r.parts if r.left > slack else ():
+                loose[k] = loose.get(k, 0) + n * r.count
+        runs = _best_fit(kept, loose, capacity)
+        if not best or sum(r.count for r in runs) < sum(r.count for r in best):
+            best = runs
+    return best
+
+
+def _configured(counts: dict[int, int], capacity: int, large: float, groups: int) -> tuple[list[Run], dict[int, int]]:
+    """Runs of the large lengths by configurations of rounded ones, and the counts of what is left."""
     left = {k: v for k, v in counts.items() if v > 0}
     runs = []
     if full := left.pop(capacity, 0):
@@ -204,6 +308,11 @@ def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY, large: floa
                             members[g].pop(0)
                 runs.append(Run(int(same), capacity - sum(k * n for k, n in parts), parts))
                 times -= same
+    return runs, left
+
+
+def _best_fit(runs: list[Run], left: dict[int, int], capacity: int) -> list[Run]:
+    """runs with the left lengths added, largest first, each where least space is left for it."""
     by_left: dict[int, list[Run]] = {}
     for run in runs:
         by_left.setdefault(run.left, []).append(run)
