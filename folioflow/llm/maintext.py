@@ -2,7 +2,8 @@
 
 Every DOM node gets its characters per tag, scaled down by the share of its text and tags that are links (after Sun, Song and Liao,
 2011). The node with the largest sum of its children's densities holds the main text. The threshold is the largest density on the path
-from the body to it: what stands beside that path is taken as well if it is as dense as that. Elements that
+from the body to it: what stands beside that path is taken as well if it is as dense as that and
+not just a line. Elements that
 are no part of an article by their tag, role, class or id are left out before densities are computed.
 
 Cases: a null, empty or textless page gives an empty text; unclosed and stray tags are closed as browsers do; repeated rows give
@@ -24,6 +25,8 @@ from .common import map_arrow
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: What stands beside the path has at least this share of the main node's characters.
+LEAST_BESIDE = 0.05
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -195,7 +198,7 @@ class Page:
         for i in range(n):
             p = self.parent[i]
             if i and not self.out[i]:
-                taken[i] = i == best or taken[p] or (i not in on_path and p in on_path and chars[i] > 0 and density[i] >= least)
+                taken[i] = i == best or taken[p] or (i not in on_path and p in on_path and chars[i] > LEAST_BESIDE * chars[best] and density[i] >= least)
         heading: dict[int, int] = {}  # by parent, a heading with nothing else behind it yet
         for i in range(1, n):
             p = self.parent[i]
