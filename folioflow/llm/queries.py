@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, maintext, packing, pii, simhash
+from . import decontaminate, fixity, langid, lengths, licenses, maintext, packing, pii, quality, simhash
 
-MODULES = (decontaminate, langid, maintext, packing, pii, simhash)
+MODULES = (fixity, lengths, maintext, licenses, quality, langid, decontaminate, pii, simhash, packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
