@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple = ()
+MODULES = (catalog,)
 
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the hybrid search is in place."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+FLAGSHIP: Query = catalog.catalog_page
