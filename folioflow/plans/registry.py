@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, chunks
+from . import catalog, chunks, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (catalog, chunks)
+MODULES = (catalog, chunks, search)
 
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
-FLAGSHIP: Query = catalog.catalog_page
+FLAGSHIP: Query = search.hybrid_search
