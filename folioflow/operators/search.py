@@ -137,7 +137,9 @@ def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
     full = pairs.join(chunks.select(key, "chunk_text", "title", "category", "chunk_index"), key).join(F.broadcast(asked), "query_id")
     exact, part = F.lower("title") == F.col("phrase"), like("title")
     inside = like("chunk_text")
-    full = full.where(part | like("category") | (F.col("intent") != "exact_quote") | inside)
+    # An exact quote stands in the text with its words in a row, if not letter by letter.
+    in_a_row = F.contains(T.normalised("chunk_text"), T.normalised("phrase"))
+    full = full.where(part | like("category") | (F.col("intent") != "exact_quote") | inside | in_a_row)
     boost = lambda test, by: F.when(test, by).otherwise(0.0)
     score = F.col("text_score") + boost(exact, 10.0) + boost(part, 5.0) + boost(like("category"), 2.0) + boost(inside, 1.0)
     match = F.when(exact, 2.0).when(part, 1.0).otherwise(0.0)
