@@ -30,8 +30,8 @@ from .common import Scratch, map_arrow, utf8
 
 CAPACITY = 2048
 END_ID = 0
-#: Words, and parts of words, kept with their ids by a Python worker, in some 200 MB; longer ones are not kept.
-CACHE_WORDS, CACHE_PARTS, CACHE_WORD_BYTES = 800_000, 400_000, 64
+#: Words, and half as many parts of words, kept with their ids by a Python worker, in some 300 MB; longer ones are not kept.
+CACHE_WORDS, CACHE_WORD_BYTES = 800_000, 64
 #: Fixed value: how the default tokenizer file splits words into parts.
 TOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts encoded at once: few enough for their words to stay in the processor's caches.
@@ -73,7 +73,7 @@ class WordIds:
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
     SUFFIX = "</w>"
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, most_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,7 +84,7 @@ class WordIds:
         model = json.loads(self.tokenizer.to_str())
         patterns = [p.get("pattern", {}).get("Regex") for p in (model.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.cuts = bool(self.ends.any()) and TOKEN_PATTERN in patterns
-        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_PARTS)
+        self.words, self.parts = Recent(most_words), Recent(most_words // 2)
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -138,21 +138,21 @@ class WordIds:
 
 
 #: The encoder that this worker used last: workers outlive tasks.
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(tokenizer_path: str) -> WordIds:
-    if tokenizer_path not in _encoders:
+def word_ids(tokenizer_path: str, most_words: int = CACHE_WORDS) -> WordIds:
+    if (tokenizer_path, most_words) not in _encoders:
         _encoders.clear()
-        _encoders[tokenizer_path] = WordIds(tokenizer_path)
-    return _encoders[tokenizer_path]
+        _encoders[tokenizer_path, most_words] = WordIds(tokenizer_path, most_words)
+    return _encoders[tokenizer_path, most_words]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and an end id, cut every `capacity` ids."""
 
     def make():
-        encode, end = word_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = word_ids(tokenizer_path, cache_words), np.array([end_id], "<u4").tobytes()
 
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -390,14 +390,14 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, large: float = LARGE, group
     return ranked.mapInArrow(run, schema)
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of all documents."""
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     scratch = Scratch(docs.sparkSession, "packing")
-    return pack(scratch.keep(token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids, id_col=id_col, text_col=text_col)), capacity)
+    return pack(scratch.keep(token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids, id_col=id_col, text_col=text_col, cache_words=cache_words)), capacity)
 
 
 def op10_linear_grouping(spark, sf_dir: str) -> DataFrame:
