@@ -17,7 +17,7 @@ TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 LATIN_WORD = r"[A-Za-z0-9][A-Za-z0-9'-]*"
 ROMAN = r"^[ivxlcdmIVXLCDM]+$"
 PAGE_MARKER = r"(?i)\[Page\s+\d+\]"
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 CODE_LIKE = r"\b[A-Z]{1,6}[-_/]?\d{2,}\b|\b\d+[A-Z]+[-_/]?\d*\b"
 MOJIBAKE = ("Ãƒ", "Ã‚", "Ã¢Â€", "ï¿½")
 SEPARATORS = ("|", "\t", "  ", ",", ";", ":")

@@ -48,7 +48,7 @@ def repaired(text: Column) -> tuple[Column, Column]:
 
 def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, text, repeated_lines, boilerplate_lines, page_number_lines, joined_words)."""
-    whole = docs.select(key, F.regexp_replace(compatibility_form(F.coalesce(F.col(text), F.lit(""))), "[-]", "").alias("t"))
+    whole = docs.select(key, F.regexp_replace(compatibility_form(F.coalesce(F.col(text), F.lit(""))), "[\\uF000-\\uF8FF]", "").alias("t"))
     pages = F.filter(F.transform(F.split("t", r"(?im)(?=^\[Page\s+\d+\]$)"), T.stripped), lambda p: p != "")
     by_page = whole.select(key, F.size(pages).alias("pages"), F.posexplode_outer(pages).alias("page", "body"))
     rows = by_page.select(key, "pages", "page", F.posexplode_outer(T.lines("body")).alias("line", "text")).withColumn("line_key", T.line_key("text"))
