@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8
+from .common import Scratch, map_arrow, utf8
 from .packing import ENCODE_TEXTS, word_ids
 
-BLOCK = 1024
+#: Lengths whose sums run together.
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, tokenizer_path: str | None = None, text_col: str = "text") -> DataFrame:
@@ -52,7 +53,8 @@ def with_sums(counts: DataFrame) -> DataFrame:
     n_docs: of this length; docs_longer: of a greater one; docs_within, tokens_within: up to this one; tokens_kept: of all documents
     cut at this length; tokens_lost: the rest; quantile: docs_within over all documents.
     """
-    by_length = counts.groupBy("length").agg(F.sum("n").alias("n_docs")).withColumn("block", F.expr(f"length div {BLOCK}"))
+    # The histogram is used twice below: written once, so that texts are encoded once.
+    by_length = Scratch(counts.sparkSession, "lengths").keep(counts.groupBy("length").agg(F.sum("n").alias("n_docs")).withColumn("block", F.expr(f"length div {BLOCK}")))
     blocks = by_length.groupBy("block").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("length")).alias("tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
