@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from folioflow.functions.stem import stem
+from folioflow.sources.scratch import kept
 
 WEIGHT = 0.1
 WORD = r"[\p{L}\p{N}]+"
@@ -47,6 +48,15 @@ def index(chunks: DataFrame, key: str = "chunk_id", text: str = "chunk_text", st
     return joined.groupBy(key, "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("positions"))
 
 
+def index_of(chunks: DataFrame, asked: DataFrame, key: str = "chunk_id", text: str = "chunk_text", stemmed: bool = True) -> DataFrame:
+    """The part of index() that queries can meet, for chunks that have no stored index: only words with a query's stem are placed."""
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
+    vocabulary = stems(chunks.select(F.explode(F.array_distinct(words)).alias("word")), "word", stemmed)
+    met = vocabulary.join(F.broadcast(asked.select("term").distinct()), "term")  # the words of a stated block of queries
+    placed = chunks.select(key, F.posexplode(words).alias("position", "word")).join(met, "word")
+    return placed.groupBy(key, "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+
+
 def parsed(queries: DataFrame, phrase: str | None = None, stemmed: bool = True) -> DataFrame:
     """Rows (query_id, alternative, item, negative, place, term) of queries (query_id, query); a query that the column `phrase` marks is one phrase."""
     whole = F.regexp_extract_all("query", F.lit(r'-?"[^"]*"|\S+'), F.lit(0))
@@ -84,12 +94,17 @@ def search(terms_of: DataFrame, asked: DataFrame, key: str = "chunk_id") -> Data
 
     An item matches where its words stand side by side; an alternative where all its items match but none of the negative ones; a query by any alternative.
     """
-    wanted = F.broadcast(asked)  # a stated block of queries
-    met = terms_of.join(wanted, "term")
-    size = asked.groupBy("query_id", "alternative", "item").agg(F.count("*").alias("words"))
+    asked = kept(asked, "asked")
+    terms_of = kept(terms_of, "terms")
+    item_key = ["query_id", "alternative", "item"]
+    size = asked.groupBy(*item_key).agg(F.count("*").alias("words"))
+    # Chunks that have all words of an item, told without places; only theirs are looked at further. Queries are a stated block.
+    whole = terms_of.select(key, "term").join(F.broadcast(asked), "term").groupBy(key, *item_key).agg(F.count("*").alias("n"))
+    whole = kept(whole.join(F.broadcast(size), item_key).where("n = words").drop("n"), "whole")
+    met = kept(whole.join(F.broadcast(asked), item_key).join(terms_of, [key, "term"]), "met")
     # Starts at which an item could stand, by each of its words; where all of them agree, it does.
-    starts = met.select(key, "query_id", "alternative", "item", "negative", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"), "term", "place")
-    items = starts.groupBy(key, "query_id", "alternative", "item", "negative", "start").agg(F.count("*").alias("n")).join(F.broadcast(size), ["query_id", "alternative", "item"]).where("n = words")
+    starts = met.select(key, *item_key, "negative", "words", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
+    items = starts.groupBy(key, *item_key, "negative", "words", "start").agg(F.count("*").alias("n")).where("n = words")
     found = items.select(key, "query_id", "alternative", "item", "negative").distinct()
     need = asked.where("not negative").groupBy("query_id", "alternative").agg(F.count_distinct("item").alias("items"))
     per = found.groupBy(key, "query_id", "alternative").agg(F.count_if(~F.col("negative")).alias("n"), F.count_if(F.col("negative")).alias("bad"))

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.sources.scratch import kept
 
 LEAST_SIMILARITY = 0.1
 FACT_ENTITIES, FACT_RELATIONSHIPS = 200, 300
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where tables that cut lineage are written: spark.checkpoint.dir, a temporary folder only where that is unset."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")).rstrip("/")
-
-
 def capitalised_mentions(chunks: DataFrame) -> DataFrame:
     """Mentions by rule, without a model: runs of capitalised words inside a sentence. Rows (resource_id, chunk_id, chunk_index, name, entity_type, position)."""
     names = T.found("chunk_text", r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}'-]{2,}(?: \p{Lu}[\p{L}'-]{2,})*")
@@ -79,23 +71,16 @@ def communities(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Names take over the least name among their neighbours, then that name's own, until none changes. Each round is written to the shared folder.
     """
-    spark = edges.sparkSession
-    root = f"{shared_folder(spark)}/communities-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
     both = edges.select("resource_id", F.col("source_key").alias("a"), F.col("target_key").alias("b"))
     both = kept(both.unionByName(both.select("resource_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = both.groupBy("resource_id", F.col("a").alias("entity_key")).agg(F.least(F.col("a"), F.min("b")).alias("community"))
-    for i in range(most_rounds):
-        labels = kept(labels, f"round-{i}")
+    for _ in range(most_rounds):
+        labels = kept(labels, "labels")
         near = both.join(labels.withColumnsRenamed({"entity_key": "b"}), ["resource_id", "b"]).groupBy("resource_id", F.col("a").alias("entity_key")).agg(F.min("community").alias("near"))
         nearer = labels.join(near, ["resource_id", "entity_key"]).select("resource_id", "entity_key", F.col("community").alias("was"), F.least("community", "near").alias("to"))
         jump = labels.select("resource_id", F.col("entity_key").alias("to"), F.col("community").alias("further"))
         moved = nearer.join(jump, ["resource_id", "to"], "left").select("resource_id", "entity_key", "was", F.least("to", F.coalesce("further", "to")).alias("community"))
-        moved = kept(moved, f"moved-{i}")
+        moved = kept(moved, "labels")
         if moved.where("was <> community").isEmpty():
             return moved.drop("was")
         labels = moved.drop("was")

@@ -1,7 +1,7 @@
 """Retrieval for many queries at once: vectors, keywords, fusion, quality, reranking, ranking.
 
 Every stage is a DataFrame of candidates by query_id. Queries are a stated set held against all chunks: their block is small and
-broadcast; vector candidates are cut to k in each batch before anything is shuffled, keyword candidates meet by equal terms.
+broadcast; vector candidates are cut to k in each batch before anything is shuffled, keyword candidates meet by equal stems.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.sources.scratch import kept
+
+from . import fulltext as X
 
 MOST_K, OVERSAMPLE, RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 50, 5, 60, 0.7, 0.3
 #: Numbers of query vectors that are broadcast at once.
@@ -112,36 +115,26 @@ def vector_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_
     return out.withColumn("vector_rank", F.row_number().over(best)).where(F.col("vector_rank") <= k)
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
-    """Rows (key, term, tf): how often each search term stands in a chunk."""
-    return chunks.select(key, F.explode(T.search_terms(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
-    """Rows (query_id, key, keyword_score, resource_match_score, keyword_rank): chunks that hold all terms of a query, or its title or category.
+def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
+    """Rows (query_id, key, keyword_score, resource_match_score, keyword_rank): chunks whose text matches a query, or its title or category.
 
-    chunks: (key, chunk_text, title, category, chunk_index); queries: (query_id, normalised, intent, terms). Chunks meet queries by equal terms;
-    the score is the sum of tf over (tf + 1), plus boosts by where the whole query stands. An exact quote has to stand in the text as it is.
+    chunks: (key, chunk_text, title, category, chunk_index); queries: (query_id, normalised, intent). Texts match by full-text search, an exact quote as
+    a phrase; index is a stored one, if there is. The score is the cover density, plus boosts by where the whole query stands.
     """
-    asked = queries.select("query_id", F.lower("normalised").alias("phrase"), "intent", F.array_distinct("terms").alias("terms"))
-    wanted = asked.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    by_term = F.broadcast(wanted)  # a few words for each query of the block
-    matched = postings(chunks.select(key, "chunk_text"), key).join(by_term, "term").groupBy("query_id", key).agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum(F.col("tf") / (F.col("tf") + 1)).alias("text_score"))
-    held = matched.where("n = n_terms").select("query_id", key, "text_score")
+    asked = queries.select("query_id", F.lower("normalised").alias("phrase"))
+    parsed = X.parsed(queries.select("query_id", F.col("normalised").alias("query"), (F.col("intent") == "exact_quote").alias("exact")), "exact")
+    held = X.search(X.index_of(chunks, parsed, key) if index is None else index, parsed, key)
     # Titles are few and short beside the text: queries are looked for in distinct ones.
     titles = chunks.select("title", "category").distinct()
     like = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("phrase"))
-    named = titles.join(F.broadcast(asked.select("query_id", "phrase")), like("title") | like("category")).select("query_id", "title", "category")
-    by_name = chunks.select(key, "title", "category").join(named, ["title", "category"]).select("query_id", key)
+    named = titles.join(F.broadcast(asked), like("title") | like("category")).select("query_id", "title", "category")
+    same = F.col("n.title").eqNullSafe(F.col("c.title")) & F.col("n.category").eqNullSafe(F.col("c.category"))
+    by_name = chunks.select(key, "title", "category").alias("c").join(named.alias("n"), same).select("query_id", key)
     pairs = held.unionByName(by_name.withColumn("text_score", F.lit(0.0))).groupBy("query_id", key).agg(F.max("text_score").alias("text_score"))
     full = pairs.join(chunks.select(key, "chunk_text", "title", "category", "chunk_index"), key).join(F.broadcast(asked), "query_id")
     exact, part = F.lower("title") == F.col("phrase"), like("title")
-    inside = like("chunk_text")
-    # An exact quote stands in the text with its words in a row, if not letter by letter.
-    in_a_row = F.contains(T.normalised("chunk_text"), T.normalised("phrase"))
-    full = full.where(part | like("category") | (F.col("intent") != "exact_quote") | inside | in_a_row)
     boost = lambda test, by: F.when(test, by).otherwise(0.0)
-    score = F.col("text_score") + boost(exact, 10.0) + boost(part, 5.0) + boost(like("category"), 2.0) + boost(inside, 1.0)
+    score = F.col("text_score") + boost(exact, 10.0) + boost(part, 5.0) + boost(like("category"), 2.0) + boost(like("chunk_text"), 1.0)
     match = F.when(exact, 2.0).when(part, 1.0).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(F.desc("resource_match_score"), F.when(F.col("resource_match_score") > 0, F.col("chunk_index")).otherwise(0), F.desc("keyword_score"), key)
     scored = full.select("query_id", key, F.round(score, 9).alias("keyword_score"), match.alias("resource_match_score"), "chunk_index")
@@ -197,27 +190,53 @@ def searchable_text(text: Column, keep_tables: bool = True, least_alpha: float =
     return (F.size(T.meaningful(flat)) >= 5) & ~short_boilerplate(text) & ~poor & ~F.coalesce(T.mojibake_ratio(flat) > 0.08, F.lit(False))
 
 
-def decided(candidates: DataFrame, keep_tables: bool = True, least_alpha: float = 0.45) -> DataFrame:
+def text_features(chunks: DataFrame, key: str = "chunk_id", keep_tables: bool = True, least_alpha: float = 0.45) -> DataFrame:
+    """Rows (key, features) of what decided() and reranked() want to know of each chunk's text and title, whatever the query."""
+    text = F.coalesce(F.col("chunk_text"), F.lit(""))
+    section = F.coalesce(F.col("section_title"), F.lit("")) if "section_title" in chunks.columns else F.lit("")
+    title = F.coalesce(F.col("title"), F.lit("")) if "title" in chunks.columns else F.lit("")
+    low = F.lower(text)
+    features = F.struct(
+        short_boilerplate(text).alias("short"),
+        searchable_text(text, keep_tables, least_alpha).alias("searchable"),
+        F.array_distinct(T.search_terms(F.concat_ws(" ", text, section))).alias("terms"),
+        F.array_distinct(T.search_terms(title)).alias("title_terms"),
+        T.normalised(text).alias("normalised"),
+        sum((F.when(low.contains(m), 0.35).otherwise(0.0) for m in FRONT_MARKS), F.lit(0.0)).alias("front"),
+        sum((F.when(low.contains(m), 0.80).otherwise(0.0) for m in EVIDENCE), F.lit(0.0)).alias("evidence"),
+        F.length(text).alias("chars"),
+    )
+    return chunks.select(key, features.alias("features"))
+
+
+def with_features(candidates: DataFrame, key: str = "chunk_id", keep_tables: bool = True, least_alpha: float = 0.45) -> DataFrame:
+    """candidates with the features of their chunks: each chunk is looked at once, however many queries have found it."""
+    if "features" in candidates.columns:
+        return candidates
+    columns = [c for c in (key, "chunk_text", "title", "section_title") if c in candidates.columns]
+    chunks = candidates.select(columns).dropDuplicates([key])
+    return candidates.join(kept(text_features(chunks, key, keep_tables, least_alpha), "features"), key)
+
+
+def decided(candidates: DataFrame, keep_tables: bool = True, least_alpha: float = 0.45, key: str = "chunk_id") -> DataFrame:
     """candidates with keep and reason. chunk_searchable and chunk_quality, if there, are the chunk's own flags; null passes."""
     flags = [F.coalesce(F.col("chunk_searchable"), F.lit(True)) if "chunk_searchable" in candidates.columns else F.lit(True), F.coalesce(F.col("chunk_quality"), F.lit("")) != "filtered" if "chunk_quality" in candidates.columns else F.lit(True)]
-    text = F.coalesce(F.col("chunk_text"), F.lit(""))
     reason = (
         F.when(~(flags[0] & flags[1]), "chunk_metadata_not_searchable")
-        .when(short_boilerplate(text), "short_boilerplate_text")
+        .when(F.col("features.short"), "short_boilerplate_text")
         .when(F.coalesce("resource_match_score", F.lit(0.0)) > 0, "resource_metadata_match")
-        .when(~searchable_text(text, keep_tables, least_alpha), "low_value_result_text")
+        .when(~F.col("features.searchable"), "low_value_result_text")
         .otherwise("searchable_text")
     )
-    return candidates.withColumn("reason", reason).withColumn("keep", F.col("reason").isin("resource_metadata_match", "searchable_text"))
+    told = with_features(candidates, key, keep_tables, least_alpha).withColumn("reason", reason)
+    return told.withColumn("keep", F.col("reason").isin("resource_metadata_match", "searchable_text"))
 
 
 def front_penalty() -> Column:
     """Up to 1.0 for front matter, boilerplate, a short first chunk, and marks of a title page."""
-    low = F.lower("chunk_text")
-    marks = sum((F.when(low.contains(m), 0.35).otherwise(0.0) for m in FRONT_MARKS), F.lit(0.0))
     flag = lambda c, by: F.when(F.col(c), by).otherwise(0.0)
-    short = F.when((F.col("chunk_index") == 0) & (F.length("chunk_text") < 350), 0.25).otherwise(0.0)
-    return F.least(flag("front_matter", 0.55) + flag("boilerplate", 0.65) + short + marks, F.lit(1.0))
+    short = F.when((F.col("chunk_index") == 0) & (F.col("features.chars") < 350), 0.25).otherwise(0.0)
+    return F.least(flag("front_matter", 0.55) + flag("boilerplate", 0.65) + short + F.col("features.front"), F.lit(1.0))
 
 
 def reranked(candidates: DataFrame, top_n: int, key: str = "chunk_id") -> DataFrame:
@@ -225,25 +244,20 @@ def reranked(candidates: DataFrame, top_n: int, key: str = "chunk_id") -> DataFr
 
     Coverage of the query's terms by text and title, the phrase itself, the resource's match, evidence words, and penalties by intent.
     """
-    for c, default in (("front_matter", F.lit(False)), ("boilerplate", F.lit(False)), ("section_title", F.lit("")), ("title", F.lit("")), ("chunk_text", F.lit("")), ("exact_phrase_match", F.lit(False)), ("resource_match_score", F.lit(0.0))):
+    for c, default in (("front_matter", F.lit(False)), ("boilerplate", F.lit(False)), ("exact_phrase_match", F.lit(False)), ("resource_match_score", F.lit(0.0))):
         candidates = candidates.withColumn(c, F.coalesce(F.col(c), default) if c in candidates.columns else default)
-    rows = candidates.withColumns(
-        {
-            "__asked": F.array_distinct(T.search_terms("query")),
-            "__text": F.array_distinct(T.search_terms(F.concat_ws(" ", "chunk_text", "section_title"))),
-            "__title": F.array_distinct(T.search_terms("title")),
-            "__phrase": T.phrase_in("query", "chunk_text"),
-            "__penalty": front_penalty(),
-        }
-    )
+    asked = candidates.select("query_id", "query").dropDuplicates(["query_id"])
+    asked = asked.select("query_id", F.array_distinct(T.search_terms("query")).alias("__asked"), T.normalised("query").alias("__query"), F.size(T.words("query")).alias("__words"))
+    rows = with_features(candidates, key).join(F.broadcast(kept(asked, "asked")), "query_id")  # one row a query of the block
+    rows = rows.withColumns({"__phrase": (F.col("__query") != "") & F.contains("features.normalised", "__query"), "__penalty": front_penalty()})
     n = F.size("__asked")
     lookup = (F.col("intent") == "title_lookup") | n.between(1, 4)
     match, phrase, penalty = F.col("resource_match_score"), F.col("__phrase"), F.col("__penalty")
-    missing = F.size(F.array_except("__asked", "__text"))
+    missing = F.size(F.array_except("__asked", "features.terms"))
     coverage = F.when(
         n > 0,
         2.5 * (n - missing) / n
-        + F.when(lookup, 1.2).otherwise(0.25) * F.size(F.array_intersect("__asked", "__title")) / n
+        + F.when(lookup, 1.2).otherwise(0.25) * F.size(F.array_intersect("__asked", "features.title_terms")) / n
         + F.when(missing == 0, 0.75).when(missing <= F.greatest(F.lit(1), F.floor(n / 4)), 0.35).otherwise(0.0),
     ).otherwise(0.0)
     resource = F.when(lookup, F.least(match * 0.35, F.lit(0.70))).otherwise(F.least(match * 0.08, F.lit(0.12)))
@@ -254,15 +268,14 @@ def reranked(candidates: DataFrame, top_n: int, key: str = "chunk_id") -> DataFr
         .when(F.col("intent") == "broad_document_query", F.least(match * 0.20, F.lit(0.35)) - penalty * 0.60)
         .otherwise(0.0)
     )
-    low, text_low = F.lower("query"), F.lower("chunk_text")
-    marks = sum((F.when(text_low.contains(m), 0.80).otherwise(0.0) for m in EVIDENCE), F.lit(0.0))
-    impression = F.when(low.contains("impression") | low.contains("perceiv"), marks).otherwise(0.0)
-    quote = F.when((low.contains("quote") | (F.size(T.words("query")) > 8)) & phrase, 1.0).otherwise(0.0)
+    low = F.lower("query")
+    impression = F.when(low.contains("impression") | low.contains("perceiv"), F.col("features.evidence")).otherwise(0.0)
+    quote = F.when((low.contains("quote") | (F.col("__words") > 8)) & phrase, 1.0).otherwise(0.0)
     rerank = F.when(phrase, 3.0).when(F.col("exact_phrase_match"), 2.0).otherwise(0.0) + coverage + resource + early + intent + F.least(impression + quote, F.lit(3.5)) - F.when(lookup, 0.0).otherwise(penalty)
     scored = rows.withColumnRenamed("score", "retrieval_score").withColumn("rerank_score", F.round(rerank, 9))
     final = F.col("rerank_score") + F.least(F.log1p(F.greatest(F.col("retrieval_score"), F.lit(0.0))) / 10, F.lit(0.60))
     order = Window.partitionBy("query_id").orderBy(F.desc("exact_phrase_match"), F.desc("score"), "chunk_index", key)
-    return scored.withColumn("score", F.round(final, 9)).withColumn("rerank_rank", F.row_number().over(order)).where(F.col("rerank_rank") <= top_n).drop("__asked", "__text", "__title", "__phrase", "__penalty")
+    return scored.withColumn("score", F.round(final, 9)).withColumn("rerank_rank", F.row_number().over(order)).where(F.col("rerank_rank") <= top_n).drop("__asked", "__query", "__words", "__phrase", "__penalty", "features")
 
 
 def ranked(candidates: DataFrame, top_k: int, least: float = 0.0, key: str = "chunk_id") -> DataFrame:
@@ -273,15 +286,19 @@ def ranked(candidates: DataFrame, top_k: int, least: float = 0.0, key: str = "ch
 
 def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float = 0.0, rerank_n: int = 50, vector: str = "vector") -> DataFrame:
     """The whole search: understood queries (query_id, query[, vector]) against chunks (chunk_id, chunk_text, title, category, chunk_index[, vector])."""
-    asked = understood(queries)
+    asked = kept(understood(queries), "queries")
     k = retrieval_k(top_k)
     keyword = keyword_top(chunks, asked, k)
     if vector in chunks.columns and "vector" in queries.columns:
         found = vector_top(chunks, asked, k, vector=vector)
     else:
         found = keyword.select("query_id", "chunk_id", F.lit(None).cast("double").alias("vector_score"), F.lit(None).cast("int").alias("vector_rank")).limit(0)
-    merged = fused_by_rank(found, keyword)
-    full = merged.join(chunks.select("chunk_id", "chunk_text", "title", "chunk_index"), "chunk_id").join(F.broadcast(asked.select("query_id", F.col("normalised").alias("query"), "intent")), "query_id")
-    kept = decided(full).where("keep")
-    best = ranked(reranked(kept, max(top_k, rerank_n)), top_k, least)
-    return best.select("query_id", "rank", "chunk_id", "title", "chunk_index", F.round("score", 6).alias("score"), "vector_score", "keyword_score", "reason", T.snippet(T.display("chunk_text"), "query").alias("snippet"))
+    merged = kept(fused_by_rank(found, keyword), "fused")
+    wording = asked.select("query_id", F.col("normalised").alias("query"), "intent")
+    # Texts of candidates are read once for their features, and once more for the snippets of the final ranks.
+    ids = merged.select("chunk_id").distinct()
+    features = kept(text_features(chunks.join(ids, "chunk_id", "left_semi")), "features")
+    full = merged.join(features, "chunk_id").join(chunks.select("chunk_id", "title", "chunk_index"), "chunk_id").join(F.broadcast(wording), "query_id")
+    best = kept(ranked(reranked(decided(full).where("keep"), max(top_k, rerank_n)), top_k, least), "ranked")
+    out = best.join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
+    return out.select("query_id", "rank", "chunk_id", "title", "chunk_index", F.round("score", 6).alias("score"), "vector_score", "keyword_score", "reason", T.snippet(T.display("chunk_text"), "query").alias("snippet"))

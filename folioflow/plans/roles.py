@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources.scratch import spread
+
+#: Tables of long texts: work on them is spread over all cores.
+TEXTS = ("documents", "pages")
 #: Role -> (table, columns as expressions of that table).
 ROLES: dict[str, tuple[str, dict[str, str]]] = {
     "resources": (
@@ -37,7 +41,8 @@ BRIDGE = "select distinct l_partkey as resource_id, l_suppkey as author_id from
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.functions import vectors as V
 from folioflow.operators import search as S
+from folioflow.sources.scratch import kept
 
 from .roles import table
 
@@ -79,7 +80,7 @@ def quality_decisions(spark, sf_dir):
 def reranking(spark, sf_dir):
     """Each passage against the documents that hold it, by the rerank formula."""
     asked = S.understood(_passages(spark, sf_dir)).select("query_id", F.col("normalised").alias("query"), "intent")
-    found = S.keyword_top(_chunks(spark, sf_dir), S.understood(_passages(spark, sf_dir)), K).withColumn("score", F.col("keyword_score"))
+    found = kept(S.keyword_top(_chunks(spark, sf_dir), S.understood(_passages(spark, sf_dir)), K), "found").withColumn("score", F.col("keyword_score"))
     full = found.join(_chunks(spark, sf_dir), "chunk_id").join(F.broadcast(asked), "query_id")
     return S.ranked(S.reranked(full, K), K).select("query_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), F.round("score", 6).alias("score"))
 

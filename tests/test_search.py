@@ -69,12 +69,12 @@ def test_keyword_top(spark):
     queries = S.understood(spark.createDataFrame([(1, "golden rivers")], "query_id int, query string"))
     rows = S.keyword_top(chunks, queries, 5).orderBy("keyword_rank").collect()
     assert [(r.chunk_id, r.resource_match_score) for r in rows] == [("c", 2.0), ("a", 0.0)]
-    assert rows[0].keyword_score == pytest.approx(15.0) and rows[1].keyword_score == pytest.approx(2.0)
+    assert rows[0].keyword_score == pytest.approx(15.0) and rows[1].keyword_score == pytest.approx(1.1)
 
 
 def decide(spark, text, **more):
-    values = {"chunk_text": text, "resource_match_score": 0.0, "chunk_searchable": None, "chunk_quality": None} | more
-    df = spark.createDataFrame([tuple(values.values())], "chunk_text string, resource_match_score double, chunk_searchable boolean, chunk_quality string")
+    values = {"chunk_id": 1, "chunk_text": text, "resource_match_score": 0.0, "chunk_searchable": None, "chunk_quality": None} | more
+    df = spark.createDataFrame([tuple(values.values())], "chunk_id int, chunk_text string, resource_match_score double, chunk_searchable boolean, chunk_quality string")
     r = S.decided(df).first()
     return r.keep, r.reason
 
