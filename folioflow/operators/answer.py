@@ -49,22 +49,29 @@ def focus_score(text: Column, weights: Column) -> Column:
     return F.aggregate(hits, F.lit(0), lambda s, e: s + e["value"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: expressions inside lambdas are computed wherever they stand."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def excerpt(text: Column, weights: Column, limit: Column) -> Column:
     """The text if it fits, else the sentences around the one of greatest weight, else a window of characters at its start."""
-    flat = T.one_space(text)
-    sentences = T.found(flat, r"[^.!?]+[.!?]?")
-    scores = F.transform(sentences, lambda s: focus_score(s, weights))
-    best = F.array_position(scores, F.array_max(scores)).cast("int")
-    first = F.greatest(F.lit(1), best - 2)
-    near = T.stripped(F.array_join(F.slice(sentences, first, best + 4 - first), ""))
-    # Sentences leave out marks that stand alone, so their start is looked up in the text.
-    begin = F.instr(flat, F.element_at(sentences, best))
-    start = F.greatest(F.lit(0), begin - 1 - F.floor(limit / 3).cast("int"))
-    end = F.least(F.length(flat), start + limit)
-    start = F.greatest(F.lit(0), end - limit)
-    cut = F.concat(F.when(start > 0, "...").otherwise(""), T.stripped(F.substring(flat, start + 1, end - start)), F.when(end < F.length(flat), "...").otherwise(""))
-    plain = F.concat(F.rtrim(F.substring(flat, F.lit(1), limit)), F.lit("..."))
-    return F.when(F.length(flat) <= limit, flat).when((F.size(sentences) == 0) | (F.size(weights) == 0), plain).when(F.length(near) <= limit, near).otherwise(cut)
+
+    def around(flat: Column, sentences: Column, best: Column) -> Column:
+        first = F.greatest(F.lit(1), best - 2)
+        near = T.stripped(F.array_join(F.slice(sentences, first, best + 4 - first), ""))
+        # Sentences leave out marks that stand alone, so their start is looked up in the text.
+        begin = F.instr(flat, F.element_at(sentences, best)) - 1 - F.floor(limit / 3).cast("int")
+        end = F.least(F.length(flat), F.greatest(F.lit(0), begin) + limit)
+        cut = lambda start: F.concat(F.when(start > 0, "...").otherwise(""), T.stripped(F.substring(flat, start + 1, end - start)), F.when(end < F.length(flat), "...").otherwise(""))
+        return let(near, lambda n: F.when(F.length(n) <= limit, n).otherwise(let(F.greatest(F.lit(0), end - limit), cut)))
+
+    def chosen(flat: Column, sentences: Column) -> Column:
+        plain = F.concat(F.rtrim(F.substring(flat, F.lit(1), limit)), F.lit("..."))
+        best = let(F.transform(sentences, lambda x: focus_score(x, weights)), lambda scores: F.array_position(scores, F.array_max(scores)).cast("int"))
+        return F.when((F.size(sentences) == 0) | (F.size(weights) == 0), plain).otherwise(let(best, lambda b: around(flat, sentences, b)))
+
+    return let(T.one_space(text), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(let(T.found(flat, r"[^.!?]+[.!?]?"), lambda found: chosen(flat, found))))
 
 
 def citation_label(s: Column) -> Column:
@@ -95,16 +102,15 @@ def packed_context(results: DataFrame, k: int = 8, most: int = MOST_CHARS, per_s
     def add(state: Column, item: Column) -> Column:
         s, left = item["s"], state["left"]
         limit = F.least(F.lit(per_source), share, F.greatest(F.lit(500), left - 250))
-        whole = F.concat(citation_label(s), F.lit("\n"), excerpt(s["chunk_text"], F.col("weights"), limit))
-        over = state["over"] | (left <= 0) | ((F.length(whole) > left) & (left < 500))
-        block = F.when(F.length(whole) > left, F.rtrim(F.substring(whole, F.lit(1), left))).otherwise(whole)
-        skip = over | (F.trim(F.coalesce(s["chunk_text"], F.lit(""))) == "")
-        return F.struct(
-            F.when(skip, left).otherwise(left - F.length(block)).alias("left"),
-            over.alias("over"),
-            F.when(skip, state["blocks"]).otherwise(F.concat(state["blocks"], F.array(block))).alias("blocks"),
-            F.when(skip, state["ranks"]).otherwise(F.concat(state["ranks"], F.array(s["rank"].cast("int")))).alias("ranks"),
-        )
+
+        def put(whole: Column) -> Column:
+            over = (F.length(whole) > left) & (left < 500)
+            block = F.when(F.length(whole) > left, F.rtrim(F.substring(whole, F.lit(1), left))).otherwise(whole)
+            added = F.struct((left - F.length(block)).alias("left"), F.lit(False).alias("over"), F.concat(state["blocks"], F.array(block)).alias("blocks"), F.concat(state["ranks"], F.array(s["rank"].cast("int"))).alias("ranks"))
+            return F.when(over, F.struct(left.alias("left"), F.lit(True).alias("over"), state["blocks"].alias("blocks"), state["ranks"].alias("ranks"))).otherwise(added)
+
+        skip = state["over"] | (left <= 0) | (F.trim(F.coalesce(s["chunk_text"], F.lit(""))) == "")
+        return F.when(skip, state).otherwise(let(F.concat(citation_label(s), F.lit("\n"), excerpt(s["chunk_text"], F.col("weights"), limit)), put))
 
     done = one.withColumn("state", F.aggregate("all", start, add))
     chosen = F.filter(F.transform("all", lambda a: a["s"]), lambda s: F.array_contains(F.col("state.ranks"), s["rank"].cast("int")))
