@@ -4,6 +4,8 @@ Two fingerprints at distance 2 or less agree on at least one of three blocks of
 on at least one of three blocks again. So the tries are dealt out by nine keys of about 35 equal bits, and in each group of a
 key the node pairs of a path-compressed binary trie are followed together until their differing bits exceed the
 budget. Each group returns a spanning star of its links, so copies and dense groups never expand into all pairs.
+Where a block's value is shared by more than HOT fingerprints, its groups are dealt out by a third block as well, which leaves 20 bits
+open at most: no group is larger than the greater of HOT and 2 ** 20, however many documents resemble each other.
 
 Cases: null and empty texts have fingerprint zero and link like any other; repeated rows give repeated result rows;
 a null id stays null and takes part by its text only (component_id is the least id that isn't null); an empty
@@ -31,6 +33,8 @@ COUNT_ROWS = 1 << 14
 FRONTIER = 1 << 19
 #: Fingerprints of whole groups that are joined at once; a larger group is joined alone.
 RUN = 1 << 17
+#: Fingerprints that may share the value of a block before its groups are dealt out once more.
+HOT = 1 << 16
 
 
 def fingerprint(words: list[bytes], size: int = 3) -> int:
@@ -65,17 +69,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), make, f"doc_id {kind}, fp long")
 
 
-def _key(block: int, inner: int) -> F.Column:
-    """The bits of one block and of one inner block of the rest, with the numbers of both, as a long."""
-    turned = [F.col("fp"), F.expr("shiftleft(fp, 21) | shiftrightunsigned(fp, 43)"), F.expr("shiftleft(fp, 42) | shiftrightunsigned(fp, 22)")][block]
-    # After the turn, the block is on top: 21, 21 and 22 bits wide; 43, 43 and 42 bits are below it.
-    wide = (21, 21, 22)[block]
-    rest = 64 - wide
-    cut = [0, 14, 28, rest]
-    top = F.shiftrightunsigned(turned, rest)
-    low, high = cut[inner], cut[inner + 1]
-    below = F.shiftrightunsigned(turned, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
-    return F.shiftleft(top, 20).bitwiseOR(F.shiftleft(below, 4)).bitwiseOR(F.lit(block * 3 + inner))
+def _cut(value: F.Column, width: int, count: int = 3) -> list[tuple[F.Column, F.Column, int]]:
+    """Blocks of the `width` low bits of value: (the block's bits, the other bits joined, how many those are)."""
+    out, step = [], width // count
+    for k in range(count):
+        low, high = k * step, (k + 1) * step if k < count - 1 else width
+        block = F.shiftrightunsigned(value, low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+        above = F.shiftrightunsigned(value, high).bitwiseAND(F.lit((1 << (width - high)) - 1)) if high < width else F.lit(0).cast("long")
+        below = value.bitwiseAND(F.lit((1 << low) - 1))
+        out.append((block, F.shiftleft(above, low).bitwiseOR(below), width - (high - low)))
+    return out
+
+
+def _joined(*parts: tuple[F.Column, int]) -> F.Column:
+    """One long of the parts, each with its width in bits."""
+    out = F.lit(0).cast("long")
+    for value, width in parts:
+        out = F.shiftleft(out, width).bitwiseOR(value)
+    return out
+
+
+def _keys(block: int, deep: bool) -> list[F.Column]:
+    """Keys of the groups in which a pair that agrees on this block meets; deep: by a third block too."""
+    first, rest, width = _cut(F.col("fp"), 64)[block]
+    out = []
+    for k, (second, left, open_) in enumerate(_cut(rest, width)):
+        number = F.lit(block * 3 + k)
+        if deep:
+            out += [_joined((first, 22), (second, 15), (third, 11), (F.lit(j + 1), 2), (number, 4)) for j, (third, _, _) in enumerate(_cut(left, open_))]
+        else:
+            out.append(_joined((first, 22), (second, 15), (number, 16)))
+    return out
 
 
 def _top_bit(x: np.ndarray) -> np.ndarray:
@@ -175,19 +199,29 @@ def _links(batches, budget: int = BUDGET) -> Iterator[pa.RecordBatch]:
         yield joined(keys, fps)
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """Links (u, v) between distinct values of fp that join all pairs at distance 2 or less into classes."""
-    keys = F.explode(F.array(*(_key(b, i) for b in range(3) for i in range(3)))).alias("key")
-    dealt = prints.select(keys, "fp").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_links, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+    blocks = [_joined((first, 22), (F.lit(b), 2)) for b, (first, _, _) in enumerate(_cut(F.col("fp"), 64))]
+    # Three blocks of 21 or 22 bits have 2 ** 23 values at most: counts are summed up before they are shuffled.
+    sizes = prints.select(F.explode(F.array(*blocks)).alias("block")).groupBy("block").agg(F.count("*").alias("n"))
+    shared = scratch.keep(sizes.where(F.col("n") > hot).select("block", F.lit(True).alias("hot")))
+    if shared.isEmpty():
+        keys = F.array(*(k for b in range(3) for k in _keys(b, False)))
+        dealt = prints.select(F.explode(keys).alias("key"), "fp")
+    else:
+        marked = prints.select(F.explode(F.array(*blocks)).alias("block"), "fp").join(shared, "block", "left")
+        of = lambda b: F.when(F.col("hot"), F.array(*_keys(b, True))).otherwise(F.array(*_keys(b, False)))
+        number = F.col("block").bitwiseAND(F.lit(3))
+        dealt = marked.select(F.explode(F.when(number == 0, of(0)).when(number == 1, of(1)).otherwise(of(2))).alias("key"), "fp")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, hot: int = HOT) -> DataFrame:
     """Rows (doc_id, fp, component_id), one for each row of docs."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(fingerprints(docs, id_col, text_col, size))
     values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = components(links(values.select("fp")), scratch).withColumnsRenamed({"node": "fp"})
+    classes = components(links(values.select("fp"), scratch, hot), scratch).withColumnsRenamed({"node": "fp"})
     # The least id of each class, then of each fingerprint: copies are summed up before they meet.
     named = values.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
