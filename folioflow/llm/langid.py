@@ -156,7 +156,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
         return each
 
-    sample = map_arrow(chosen, make, "lang string, order long, windows array<binary>").collect()
+    # One text an id and language: an id that is repeated without end counts once.
+    sample = map_arrow(chosen, make, "lang string, order long, windows array<binary>").groupBy("lang", "order").agg(F.min("windows").alias("windows")).collect()
     by_lang: dict[str, list] = {r["lang"]: [] for r in counts}
     for r in sorted(sample, key=lambda r: (r["order"], r["windows"])):
         if len(by_lang[r["lang"]]) < SAMPLE_DOCS:
