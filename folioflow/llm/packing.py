@@ -358,7 +358,10 @@ def places(runs: list[Run]) -> dict[str, np.ndarray]:
 
 
 def pack(sized: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """sized, a stored table with a column length of 1..capacity, with sequence_id and offset added."""
+    """sized, a stored table with a column length of 1..capacity, with sequence_id and offset added.
+
+    order: columns that tell the pieces of a length apart, if only by a number of the row: they are ranked in buckets of their hash.
+    """
     counts = {int(r["length"]): int(r["n"]) for r in sized.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if any(not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths must be 1..{capacity}")
@@ -397,7 +400,10 @@ def packed_documents(docs: DataFrame, tokenizer_path: str | None = None, capacit
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
     scratch = Scratch(docs.sparkSession, "packing")
-    return pack(scratch.keep(token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids, id_col=id_col, text_col=text_col, cache_words=cache_words)), capacity)
+    sized = token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids, id_col=id_col, text_col=text_col, cache_words=cache_words)
+    # The number of a row, stored with it, spreads the rows of an id that is repeated without end.
+    numbered = scratch.keep(sized.withColumn("__row", F.monotonically_increasing_id()))
+    return pack(numbered, capacity, order=("doc_id", "piece", "__row")).drop("__row")
 
 
 def op10_linear_grouping(spark, sf_dir: str) -> DataFrame:
