@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
+TAG = re.compile(r"""<!--(?:-?>|.*?(?:-->|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: What stands beside the path has at least this share of the main node's characters.
 LEAST_BESIDE = 0.05
@@ -62,13 +63,16 @@ class Page:
 
     def __init__(self, text: str):
         self.tag, self.parent, self.out, self.article = ["#root"], [-1], [False], [False]
+        self.in_head, self.in_article = [False], [False]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self._parse(text)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
-        out = tag in NEVER or (tag == "header" and not self._inside(parent, {"article", "main"}))
+        self.in_head.append(tag == "head" or self.in_head[parent])
+        self.in_article.append(tag in ("article", "main") or self.in_article[parent])
+        out = tag in NEVER or (tag == "header" and not self.in_article[parent])
         article = tag in ("article", "main")
         if attributes and tag not in ("html", "body"):
             given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
@@ -82,21 +86,21 @@ class Page:
         self.article.append(article and tag not in HEADINGS)
         return len(self.tag) - 1
 
-    def _inside(self, node: int, tags: set[str]) -> bool:
-        while node > 0 and self.tag[node] not in tags:
-            node = self.parent[node]
-        return node > 0
-
     def _parse(self, text: str) -> None:
         stack, at, events = [0], 0, self.events
+        standing: Counter[str] = Counter()  # open elements by tag
+        cut = text.rfind(">") + 1  # no tag ends behind it: what begins and doesn't end isn't tried again and again
 
         def close(upto: int) -> None:
             while len(stack) > upto:
                 node = stack.pop()
+                standing[self.tag[node]] -= 1
                 if self.tag[node] in BLOCK:
                     events.append((node, None))
 
         def last(tags, fence) -> int:
+            if not any(standing[t] for t in tags):
+                return 0
             for k in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[k]] in tags:
                     return k
@@ -105,13 +109,15 @@ class Page:
             return 0
 
         while True:
-            m = TAG.search(text, at)
+            m = TAG.search(text, at, cut)
             if m is None:
                 break
             if m.start() > at:
                 events.append((stack[-1], text[at : m.start()]))
             at = m.end()
             if m[2] is None:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(text)
                 continue
             tag = m[2].lower()
             if m[1]:
@@ -132,12 +138,14 @@ class Page:
             if tag in BLOCK:
                 events.append((node, None))
             if tag in RAW:
-                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(text, at)
+                end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(text, at, cut)
                 at = end.end() if end else len(text)
             elif tag not in VOID and not m[3].endswith("/") or tag in BLOCK and tag not in VOID:
                 stack.append(node)
-        if at < len(text):
-            events.append((stack[-1], text[at:]))
+                standing[tag] += 1
+        comment = text.find("<!--", at)
+        if rest := text[at : comment if comment >= 0 else len(text)]:
+            events.append((stack[-1], rest))
         close(1)
 
     def densities(self) -> tuple[list[float], list[float], list[int]]:
@@ -148,7 +156,7 @@ class Page:
         for i in range(1, n):
             in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
         for node, text in self.events:
-            if text is not None and (size := len("".join(text.split()))) and not self._in_head(node):
+            if text is not None and (size := len("".join(text.split()))) and not self.in_head[node]:
                 body_chars += size
                 body_linked += size * in_link[node]
                 if not self.out[node]:
@@ -171,9 +179,6 @@ class Page:
                 total[p] += density[i]
         return density, total, chars
 
-    def _in_head(self, node: int) -> bool:
-        return self._inside(node, {"head"})
-
     def main_nodes(self) -> list[bool]:
         """Which nodes' text is main text."""
         n = len(self.tag)

@@ -123,6 +123,7 @@ TAIL = '<aside>Related things to read next time around here.</aside><div id="com
         (page(f"<article>{ARTICLE}<script>var a = '<p>no</p>';</script><style>p</style></article>"), PLAIN),
         (page("<article><p>A &amp; B &lt;i&gt;  spaced\n out<p>unclosed <b>bold</article>"), "A & B <i> spaced out\nunclosed bold"),
         ("just text", "just text"),
+        ("a<!-->b<!-- c > d", "ab"),
     ],
 )
 def test_main_text(html, text):
@@ -142,7 +143,7 @@ def test_main_text_of_pages(spark, small):
 
 
 def test_broken_pages_end(spark):
-    for text in ("<", "<p", "<!--", "<script>", "<a title=\"", "</p></div>", "<table><tr><td>a<td>b<tr><td>c", "<ul><li>a<li>b", "<p>" * 3000 + "deep"):
+    for text in ("<", "<p", "<!--", "<script>", "<a title=\"", "</p></div>", "<table><tr><td>a<td>b<tr><td>c", "<ul><li>a<li>b", "<p>" * 3000 + "deep", "a<b " * 100_000, "<div>x " * 30_000, "<header>" * 30_000, "<script>" + "</script " * 50_000):
         assert isinstance(maintext.main_text(text), str)
 
 
@@ -432,7 +433,8 @@ def test_simhash_cases(spark, docs, nothing):
     assert kept.columns == docs.columns and by_id(kept, "doc_id") == [(1,), (2,), (5,), (6,), (7,), (None,)]
 
 
-def test_trie_join_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 3, 0])
+def test_trie_join_equals_brute_force(spark, hot):
     rng = np.random.default_rng(8)
     centres = rng.integers(0, 2**63, 40, dtype=np.uint64)
     values = set(centres.tolist())
@@ -444,7 +446,7 @@ def test_trie_join_equals_brute_force(spark):
     rows = [(i, v) for i, v in enumerate(sorted(values))]
     df = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for _, v in rows], "fp long")
     root = {v: v for _, v in rows}
-    found = components(simhash.links(df), Scratch(spark, "t")).collect()
+    found = components(simhash.links(df, Scratch(spark, "t"), hot), Scratch(spark, "t")).collect()
     groups = {}
     for r in found:
         groups.setdefault(r.root, set()).add(r.node % 2**64)
@@ -494,6 +496,11 @@ def check_packing(rows, texts):
     assert len(bins) <= 1.02 * total / 2048 + 1
 
 
+def test_packing_of_one_repeated_row(spark):
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    check_packing(packing.packed_documents(rows).collect(), [(1, "one two three")] * 3000)
+
+
 def test_packing_cases(docs, nothing):
     check_packing(packing.packed_documents(docs).collect(), TEXTS)
     assert packing.packed_documents(nothing).count() == 0
