@@ -229,23 +229,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of its class; of repeated rows of that id, one.
-
-    Classes in which no row has an id keep one row each.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = found.where(same).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = kept.withColumnRenamed("doc_id", "__id")
-    named = docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")))
-    once = named.where("__rows = 1").select(docs.columns)
-    repeated = named.where("__rows > 1").select(docs.columns)
-    if any(t in d for _, d in docs.dtypes for t in ("map", "variant")):
-        return once.unionByName(repeated)
-    # Rows of one id may still differ in text and so stand in different classes.
-    again = repeated.dropDuplicates([id_col, text_col])
-    return once.unionByName(again)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """One row of each class: that of the least id, null ids last; of several such rows, the first as they are read."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    # Ids may repeat or be null, so rows are told apart by a number stored beside them.
+    given = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    stored = scratch.keep(given.withColumn("__row", F.monotonically_increasing_id()))
+    id_, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    rank = F.struct(F.col(id_).isNull().alias("unnamed"), F.col(id_).alias("id"), F.col("__row").alias("row"))
+    prints = scratch.keep(fingerprints(stored.select(rank.alias("rank"), text), "rank", text))
+    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = components(links(values.select("fp"), scratch, hot), scratch).withColumnsRenamed({"node": "fp"})
+    named = values.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    rows = stored.join(kept.hint("shuffle_hash"), "__row")
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op9_simhash_trie(spark, sf_dir: str) -> DataFrame:

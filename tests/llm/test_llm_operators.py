@@ -433,6 +433,21 @@ def test_simhash_cases(spark, docs, nothing):
     assert kept.columns == docs.columns and by_id(kept, "doc_id") == [(1,), (2,), (5,), (6,), (7,), (None,)]
 
 
+def test_one_row_of_each_class_whatever_its_id(spark):
+    words = [f"word{i}" for i in range(1000)]
+    near = [" ".join(words), " ".join([*words[:200], "other", *words[201:]]), " ".join([*words, "more"])]
+    far = [" ".join(f"{k}{i}" for i in range(90)) for k in "xyz"]
+    classes = brute_classes(list(enumerate(map(brute_print, [*near, *far]))))
+    assert classes == [0, 0, 0, 3, 4, 5]
+    # Null-id copies beside an identified one, a class without ids, and one id in two classes and twice in one.
+    rows = [*((None, t) for t in near), (9, near[1]), (None, near[1]), (None, far[0]), (None, far[0]), (4, far[1]), (4, far[2]), (4, far[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = sorted([(9, near[1]), (None, far[0]), (4, far[1]), (4, far[2])], key=repr)
+    assert by_id(simhash.one_of_each(df), "doc_id", "text") == wanted
+    unnamed = spark.createDataFrame([(None, t) for t in near], "doc_id long, text string").repartition(3)
+    assert simhash.one_of_each(unnamed).count() == 1
+
+
 @pytest.mark.parametrize("hot", [simhash.HOT, 3, 0])
 def test_trie_join_equals_brute_force(spark, hot):
     rng = np.random.default_rng(8)
