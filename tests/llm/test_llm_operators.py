@@ -377,6 +377,21 @@ def test_pii_terms_by_brute_force(spark):
     assert out[0] == "today  wrote [EMAIL] again" and out[2] == "today someone wrote [EMAIL] again" and out[5] == texts[5]
 
 
+def test_pii_terms_everywhere_in_documents_of_their_entity(spark):
+    # Zorblatt and Wu never stand within six words of the address, and Zorblatt stands twice.
+    far = "one thing that nobody would think about for very long at all here"
+    texts = [f"Zorblatt Wu {far} today ada@x.org again {far} Zorblatt", f"Zorblatt Wu {far} later ada@x.org more", f"Zorblatt {far} without any address", *[f"{far} today again later more"] * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [texts[r.doc_id][t["start"] : t["end"]] for t in r.terms] for r in pii.find(df).collect()}
+    assert found.pop(0) == ["Zorblatt", "Wu", "Zorblatt"] and found.pop(1) == ["Zorblatt", "Wu"] and not any(found.values())
+    out = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "Wu" not in out[0] + out[1] and "Zorblatt" not in out[0] + out[1] and out[2] == texts[2]
+    # A name near two places of one document is marked at all of its places there.
+    once = [f"Zorblatt wrote ada@x.org today {far} Zorblatt {far} later Zorblatt sent ada@x.org", *texts[3:]]
+    row = pii.find(spark.createDataFrame(list(enumerate(once)), "doc_id long, text string")).where("doc_id = 0").first()
+    assert [once[0][t["start"] : t["end"]] for t in row.terms].count("Zorblatt") == 3
+
+
 def test_pii_cases(spark, docs, nothing):
     assert pii.find(docs).count() == len(TEXTS) and pii.find(nothing).count() == 0
     out = pii.sanitise(docs)
