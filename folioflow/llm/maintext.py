@@ -1,9 +1,8 @@
 """Main text of web pages by composite text density.
 
 Every DOM node gets its characters per tag, scaled down by the share of its text and tags that are links (after Sun, Song and Liao,
-2011). The node with the largest sum of its children's densities holds the main text. The threshold is the largest density on the path
-from the body to it: what stands beside that path is taken as well if it is as dense as that and
-not just a line. Elements that
+2011). The node with the largest sum of its children's densities holds the main text. The threshold is the least density on the path
+from the body to it: what stands beside that path is taken as well if it is as dense as that and not mostly links. Elements that
 are no part of an article by their tag, role, class or id are left out before densities are computed.
 
 Cases: a null, empty or textless page gives an empty text; unclosed and stray tags are closed as browsers do; repeated rows give
@@ -26,8 +25,8 @@ from .common import map_arrow
 
 TAG = re.compile(r"""<!--(?:-?>|.*?(?:-->|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-#: What stands beside the path has at least this share of the main node's characters.
-LEAST_BESIDE = 0.05
+#: What stands beside the path has no greater share of its characters in links.
+MOST_LINKED = 0.5
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -148,8 +147,8 @@ class Page:
             events.append((stack[-1], rest))
         close(1)
 
-    def densities(self) -> tuple[list[float], list[float], list[int]]:
-        """Composite text density, sum of the children's, and characters, of each node."""
+    def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
+        """Composite text density, sum of the children's, characters, and those in links, of each node."""
         n = len(self.tag)
         chars, linked, tags, links = [0] * n, [0] * n, [0] * n, [0] * n
         in_link, body_chars, body_linked = [False] * n, 0, 0
@@ -177,25 +176,26 @@ class Page:
                 tags[p] += t + 1
                 links[p] += lt + (self.tag[i] == "a")
                 total[p] += density[i]
-        return density, total, chars
+        return density, total, chars, linked
 
     def main_nodes(self) -> list[bool]:
         """Which nodes' text is main text."""
         n = len(self.tag)
-        density, total, chars = self.densities()
+        density, total, chars, linked = self.densities()
         inside = [i for i in range(1, n) if chars[i] and not self.out[i]]
         if not inside:
             return [not out for out in self.out]
         best = max(inside, key=lambda i: (total[i], density[i], -i))
         node = best
-        while node > 0 and not self.article[node]:
+        while node > 0:  # outwards to the last article that isn't the page itself
+            if self.article[node] and self.tag[node] not in ("body", "html"):
+                best = node
             node = self.parent[node]
-        best = node if node > 0 else best
         path, node = [], best
         while node > 0 and self.tag[node] not in ("body", "html"):
             path.append(node)
             node = self.parent[node]
-        least = max((density[i] for i in path), default=0.0)
+        least = min((density[i] for i in [*path, node] if density[i]), default=0.0)
         on_path, taken = {*path, 0, node}, [False] * n
         while node > 0:
             on_path.add(node)
@@ -203,7 +203,7 @@ class Page:
         for i in range(n):
             p = self.parent[i]
             if i and not self.out[i]:
-                taken[i] = i == best or taken[p] or (i not in on_path and p in on_path and chars[i] > LEAST_BESIDE * chars[best] and density[i] >= least)
+                taken[i] = i == best or taken[p] or (i not in on_path and p in on_path and chars[i] and linked[i] <= MOST_LINKED * chars[i] and density[i] >= least)
         heading: dict[int, int] = {}  # by parent, a heading with nothing else behind it yet
         for i in range(1, n):
             p = self.parent[i]

@@ -130,6 +130,21 @@ def test_main_text(html, text):
     assert maintext.main_text(html) == text
 
 
+def section(name, size):
+    return f"<h2>Head {name}</h2>" + "".join(f"<p>{name}{i} {('plain words of it ' * 40)[:size]}</p>" for i in range(4))
+
+
+def test_main_text_of_several_sections():
+    parts = [section("a", 500), section("b", 450)]
+    wanted = ["Head a", "a0", "a1", "a2", "a3", "Head b", "b0", "b1", "b2", "b3"]
+    for body in (f'<div class="wrap"><section>{parts[0]}</section><section>{parts[1]}</section></div>', f'<article><div class="post-part">{parts[0]}</div><div class="post-part">{parts[1]}</div></article>'):
+        lines = maintext.main_text(page(f"{NOISE}{body}{TAIL}")).split("\n")
+        assert [line[: len(w)] for line, w in zip(lines, wanted, strict=True)] == wanted
+    lead = "A lead of one sentence that is far shorter than the article below it, though as dense as it."
+    long = "".join(f"<p>{('More plain words. ' * 5)}</p>" for _ in range(40))
+    assert maintext.main_text(page(f"{NOISE}<div><div>{lead}</div><section>{long}</section></div>{TAIL}")).startswith(lead)
+
+
 def test_main_text_of_pages(spark, small):
     for r in maintext.op3_text_density(spark, small).collect():
         assert r.n_chars == len(r.text) and r.text == re.sub(r"[^\S\n]+", " ", r.text).strip()
