@@ -3,7 +3,8 @@
 Every DOM node gets its characters per tag, scaled down by the share of its text and tags that are links (after Sun, Song and Liao,
 2011). The node with the largest sum of its children's densities holds the main text. The threshold is the least density on the path
 from the body to it: what stands beside that path is taken as well if it is as dense as that and not mostly links. Elements that
-are no part of an article by their tag, role, class or id are left out before densities are computed.
+are no part of an article by their tag, role, class or id are left out before densities are computed; one that is a form or has such a
+name stays if it holds the page's main article or, on pages without one, most of its text, and names count for nothing where no text would be left.
 
 Cases: a null, empty or textless page gives an empty text; unclosed and stray tags are closed as browsers do; repeated rows give
 repeated result rows; null ids and addresses stay null; an empty table gives an empty result; other columns are ignored.
@@ -52,6 +53,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget widgets toolbar paywall".split()
 )
+#: The part of a name behind one of these says what an element lacks or has beside it.
+BESIDE = frozenset("has no with without".split())
+#: Parts of names that even most of the page's text doesn't outweigh: there may be more comments than article.
+ANSWERS = frozenset("comment comments disqus reply replies respond".split())
 PAGE_HEADER = frozenset("header masthead topbar".split())
 ARTICLE = frozenset("article post entry story content main".split())
 WHOLE = frozenset("html body article main".split())
@@ -63,25 +68,32 @@ class Page:
     def __init__(self, text: str):
         self.tag, self.parent, self.out, self.article = ["#root"], [-1], [False], [False]
         self.in_head, self.in_article = [False], [False]
+        self.named, self.answers = [False], [False]  # left out by a name or as a form, unless the page's text is inside
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self._parse(text)
+        self._prune()
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.in_head.append(tag == "head" or self.in_head[parent])
         self.in_article.append(tag in ("article", "main") or self.in_article[parent])
-        out = tag in NEVER or (tag == "header" and not self.in_article[parent])
+        named, answers = tag == "form", False
+        out = tag in NEVER and not named or (tag == "header" and not self.in_article[parent])
         article = tag in ("article", "main")
         if attributes and tag not in ("html", "body"):
             given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-            names = {p.lower() for k in ("class", "id") for p in NAME_PARTS.findall(given.get(k, ""))}
+            parts = [[p.lower() for p in NAME_PARTS.findall(name)] for k in ("class", "id") for name in given.get(k, "").split()]
+            names = {p for ps in parts for before, p in zip(["", *ps], ps, strict=False) if before not in BESIDE}
             about = names & ARTICLE
             article = article or bool(about) or given.get("role", "").lower() in ("main", "article")
             if tag not in WHOLE:
-                out = out or bool(names & BOILERPLATE) or (bool(names & PAGE_HEADER) and not about)
+                named = named or bool(names & BOILERPLATE) or (bool(names & PAGE_HEADER) and not about)
+                answers = bool(names & ANSWERS)
             out = out or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(given.get("style", "")))
         self.out.append(out or self.out[parent])
+        self.named.append(named)
+        self.answers.append(answers)
         self.article.append(article and tag not in HEADINGS)
         return len(self.tag) - 1
 
@@ -147,6 +159,33 @@ class Page:
             events.append((stack[-1], rest))
         close(1)
 
+    def _prune(self) -> None:
+        """Leave out what is named so, but for what holds the page's text."""
+        n = len(self.tag)
+        plain, in_link, under = [0] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = self.tag[i] == "a" or in_link[self.parent[i]]
+            under[i] = self.answers[i] or under[self.parent[i]]
+        for node, text in self.events:
+            if text is not None and not in_link[node] and not self.out[node] and not self.in_head[node]:
+                plain[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+        whole, keeps = plain[0], [False] * n
+        for tag in ("main", "article"):
+            chief = max((i for i in range(n) if self.tag[i] == tag), key=lambda i: (not under[i], plain[i]), default=0)
+            if chief and plain[chief] * (2 if under[chief] else 4) >= whole:  # not a card among links to other articles
+                while chief > 0:
+                    keeps[chief] = True
+                    chief = self.parent[chief]
+        if not any(keeps):
+            keeps = [2 * plain[i] > whole and not self.answers[i] for i in range(n)]
+        out = list(self.out)
+        for i in range(1, n):
+            out[i] = out[i] or out[self.parent[i]] or (self.named[i] and not keeps[i])
+        if any(text is not None and not out[node] and not self.in_head[node] and text.strip() for node, text in self.events):
+            self.out = out
+
     def densities(self) -> tuple[list[float], list[float], list[int], list[int]]:
         """Composite text density, sum of the children's, characters, and those in links, of each node."""
         n = len(self.tag)

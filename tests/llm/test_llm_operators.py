@@ -145,6 +145,23 @@ def test_main_text_of_several_sections():
     assert maintext.main_text(page(f"{NOISE}<div><div>{lead}</div><section>{long}</section></div>{TAIL}")).startswith(lead)
 
 
+@pytest.mark.parametrize(
+    "before,after",
+    [
+        ('<div class="site has-sidebar">', "</div>"),
+        ('<div id="content-no-sidebar">', "</div>"),
+        ('<div class="page menu-open">', "</div>"),
+        ("<form id='aspnetForm'>", "</form>"),
+        ('<div class="comments-open">', "</div>"),
+    ],
+)
+def test_main_text_in_wrappers_named_like_boilerplate(before, after):
+    for body in (f"<article>{ARTICLE}</article>", f"<div><div>{ARTICLE}</div></div>"):
+        assert maintext.main_text(page(f"{before}{body}{after}")) == PLAIN
+    assert maintext.main_text(page(f"{before}<article>{ARTICLE}</article>{TAIL}{after}<footer>outside</footer>")) == PLAIN
+    assert maintext.main_text(page(f'<article>{ARTICLE}</article><div class="comments">{ARTICLE * 3}</div>')) == PLAIN
+
+
 def test_main_text_of_pages(spark, small):
     for r in maintext.op3_text_density(spark, small).collect():
         assert r.n_chars == len(r.text) and r.text == re.sub(r"[^\S\n]+", " ", r.text).strip()
