@@ -1,10 +1,13 @@
 """Main text of web pages by composite text density.
 
 Every DOM node gets its characters per tag, scaled down by the share of its text and tags that are links (after Sun, Song and Liao,
-2011). The node with the largest sum of its children's densities holds the main text. The threshold is the least density on the path
-from the body to it: what stands beside that path is taken as well if it is as dense as that and not mostly links. Elements that
-are no part of an article by their tag, role, class or id are left out before densities are computed; one that is a form or has such a
-name stays if it holds the page's main article or, on pages without one, most of its text, and names count for nothing where no text would be left.
+2011). The node with the largest sum of its children's densities holds the main text; where that is a paragraph or the like, what it
+stands in. The body itself gives way to the largest node in it that has half of its sum. The threshold is the least density on the path from
+the body to it: what stands beside that path is taken as well if it is as dense as that and not mostly links; in an element that holds navigation too, only a block
+with SHARE of the main node's sum. An article or main element around the main node is taken whole.
+
+Navigation, asides, footers, forms and what a class or id names as such are not counted and not taken, but never if half of the page's
+text that isn't links is in them: tags and names choose no node and remove no main text.
 
 Cases: a null, empty or textless page gives an empty text; unclosed and stray tags are closed as browsers do; repeated rows give
 repeated result rows; null ids and addresses stay null; an empty table gives an empty result; other columns are ignored.
@@ -47,19 +50,36 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+# Elements that show no text of the page's own.
+NEVER = frozenset("head select dialog noscript template svg canvas object audio video search option datalist".split())
 # What is no part of an article, by tag, by role, and by a part of a class or id.
-NEVER = frozenset("head nav footer aside form button select input label dialog noscript template svg canvas object audio video menu search option".split())
+BESIDES = frozenset("nav footer aside form menu".split())
+STRICT = frozenset("nav footer".split())
+CONTROLS = frozenset("button label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BOILERPLATE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget widgets toolbar paywall".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox sponsor sponsored promo promotion promoted banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager widget widgets toolbar paywall masthead topbar".split()
 )
-#: The part of a name behind one of these says what an element lacks or has beside it.
+#: Parts of names that say nothing of what an element holds.
+NEUTRAL = frozenset("area bar block bottom box col column container footer form frame global group header holder id inner item items js layer left level link links list page panel region right row section site slot small sticky text thread top unit wrap wrapper".split())
+#: A name with one of these says what an element lacks or has beside it.
 BESIDE = frozenset("has no with without".split())
 #: Parts of names that even most of the page's text doesn't outweigh: there may be more comments than article.
 ANSWERS = frozenset("comment comments disqus reply replies respond".split())
-PAGE_HEADER = frozenset("header masthead topbar".split())
-ARTICLE = frozenset("article post entry story content main".split())
 WHOLE = frozenset("html body article main".split())
+#: Parts of a running text: the main node is never one of them.
+PARTS = frozenset("p ul ol li dl dt dd blockquote pre figure figcaption address h1 h2 h3 h4 h5 h6 hgroup hr table caption thead tbody tfoot tr center details summary".split())
+ROOTS = frozenset("#root html body".split())
+#: Of the main node's sum, what a block beside the path has at least; of the body's, what its largest node has to stand for it.
+SHARE, STANDS_FOR = 0.2, 0.5
+
+
+def named_boilerplate(name: str) -> bool:
+    """Whether a class or id names something that is no part of an article."""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if not parts or BESIDE & set(parts):
+        return False
+    return parts[-1] in BOILERPLATE or (not BOILERPLATE.isdisjoint(parts) and all(p in BOILERPLATE or p in NEUTRAL or p.isdigit() or len(p) == 1 for p in parts))
 
 
 class Page:
@@ -67,8 +87,8 @@ class Page:
 
     def __init__(self, text: str):
         self.tag, self.parent, self.out, self.article = ["#root"], [-1], [False], [False]
-        self.in_head, self.in_article = [False], [False]
-        self.named, self.answers = [False], [False]  # left out by a name or as a form, unless the page's text is inside
+        self.in_head, self.in_article, self.in_text = [False], [False], [False]
+        self.named, self.answers = [False], [False]  # left out unless the page's text is inside
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self._parse(text)
         self._prune()
@@ -78,23 +98,22 @@ class Page:
         self.parent.append(parent)
         self.in_head.append(tag == "head" or self.in_head[parent])
         self.in_article.append(tag in ("article", "main") or self.in_article[parent])
-        named, answers = tag == "form", False
-        out = tag in NEVER and not named or (tag == "header" and not self.in_article[parent])
-        article = tag in ("article", "main")
+        self.in_text.append(tag in PARTS or self.in_text[parent])
+        named, answers = tag in BESIDES or (tag == "header" and not self.in_article[parent]) or (tag in CONTROLS and not self.in_text[parent]), False
+        out, article = tag in NEVER, tag in ("article", "main")
         if attributes and tag not in ("html", "body"):
             given = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
-            parts = [[p.lower() for p in NAME_PARTS.findall(name)] for k in ("class", "id") for name in given.get(k, "").split()]
-            names = {p for ps in parts for before, p in zip(["", *ps], ps, strict=False) if before not in BESIDE}
-            about = names & ARTICLE
-            article = article or bool(about) or given.get("role", "").lower() in ("main", "article")
+            role = given.get("role", "").lower()
+            article = article or role in ("main", "article")
             if tag not in WHOLE:
-                named = named or bool(names & BOILERPLATE) or (bool(names & PAGE_HEADER) and not about)
-                answers = bool(names & ANSWERS)
-            out = out or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(given.get("style", "")))
+                told = [name for k in ("class", "id") for name in given.get(k, "").split() if named_boilerplate(name)]
+                named = named or bool(told) or role in ROLES
+                answers = any(not ANSWERS.isdisjoint(p.lower() for p in NAME_PARTS.findall(name)) for name in told)
+            out = out or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or bool(HIDDEN.search(given.get("style", "")))
         self.out.append(out or self.out[parent])
         self.named.append(named)
         self.answers.append(answers)
-        self.article.append(article and tag not in HEADINGS)
+        self.article.append(article)
         return len(self.tag) - 1
 
     def _parse(self, text: str) -> None:
@@ -171,15 +190,19 @@ class Page:
                 plain[node] += len("".join(text.split()))
         for i in range(n - 1, 0, -1):
             plain[self.parent[i]] += plain[i]
-        whole, keeps = plain[0], [False] * n
-        for tag in ("main", "article"):
-            chief = max((i for i in range(n) if self.tag[i] == tag), key=lambda i: (not under[i], plain[i]), default=0)
-            if chief and plain[chief] * (2 if under[chief] else 4) >= whole:  # not a card among links to other articles
-                while chief > 0:
-                    keeps[chief] = True
-                    chief = self.parent[chief]
-        if not any(keeps):
-            keeps = [2 * plain[i] > whole and not self.answers[i] for i in range(n)]
+        comments = sum(plain[i] for i in range(n) if self.answers[i] and not under[self.parent[i]])
+        whole = plain[0] - comments if 4 * comments >= plain[0] else plain[0]
+        # Text outside an article with a quarter of the page's isn't the page's text.
+        chief = max((i for i in range(n) if self.article[i] and not under[i]), key=lambda i: plain[i], default=0)
+        within = [not chief or 4 * plain[chief] < whole] * n
+        if not within[0]:
+            node = chief
+            while node >= 0:
+                within[node] = True
+                node = self.parent[node]
+            for i in range(1, n):
+                within[i] = within[i] or (i > chief and within[self.parent[i]] and self.parent[i] >= chief)
+        keeps = [2 * plain[i] >= whole and within[i] and not under[i] and self.tag[i] not in STRICT for i in range(n)]
         out = list(self.out)
         for i in range(1, n):
             out[i] = out[i] or out[self.parent[i]] or (self.named[i] and not keeps[i])
@@ -200,6 +223,7 @@ class Page:
                 if not self.out[node]:
                     chars[node] += size
                     linked[node] += size * in_link[node]
+        own, breaks = list(chars), [0] * n
         density, total = [0.0] * n, [0.0] * n
         share = body_linked / max(1, body_chars)
         for i in range(n - 1, -1, -1):
@@ -208,8 +232,11 @@ class Page:
                 base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
                 plain = c / max(1, t)
                 density[i] = plain * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base) if base > 1 + 1e-9 else plain
+            if breaks[i] and own[i]:  # lines parted by breaks are like paragraphs
+                total[i] += own[i] * math.log(max(1.0, own[i] / (breaks[i] + 1)))
             if i and not self.out[i]:
                 p = self.parent[i]
+                breaks[p] += self.tag[i] == "br"
                 chars[p] += c
                 linked[p] += lc
                 tags[p] += t + 1
@@ -217,6 +244,12 @@ class Page:
                 total[p] += density[i]
         return density, total, chars, linked
 
+    def _outside_parts(self, node: int) -> int:
+        """The first of the node and what it stands in that is no part of a running text nor inside a line of it."""
+        while node > 0 and (self.tag[node] in PARTS or self.tag[node] not in BLOCK) and self.tag[node] not in ROOTS:
+            node = self.parent[node]
+        return node
+
     def main_nodes(self) -> list[bool]:
         """Which nodes' text is main text."""
         n = len(self.tag)
@@ -224,25 +257,41 @@ class Page:
         inside = [i for i in range(1, n) if chars[i] and not self.out[i]]
         if not inside:
             return [not out for out in self.out]
-        best = max(inside, key=lambda i: (total[i], density[i], -i))
+        largest = lambda nodes: max(nodes, key=lambda i: (total[i], density[i], -i))
+        best = self._outside_parts(largest(inside))
+        if self.tag[best] in ROOTS and (blocks := [i for i in inside if self.tag[i] not in ROOTS and self._outside_parts(i) == i]):
+            chief = largest(blocks)
+            if total[chief] and total[chief] >= STANDS_FOR * total[best]:
+                best = chief
         node = best
-        while node > 0:  # outwards to the last article that isn't the page itself
-            if self.article[node] and self.tag[node] not in ("body", "html"):
+        while node > 0:  # outwards to the last article around it
+            if self.article[node] and self.tag[node] not in ROOTS:
                 best = node
             node = self.parent[node]
         path, node = [], best
-        while node > 0 and self.tag[node] not in ("body", "html"):
+        while node > 0 and self.tag[node] not in ROOTS:
             path.append(node)
             node = self.parent[node]
         least = min((density[i] for i in [*path, node] if density[i]), default=0.0)
-        on_path, taken = {*path, 0, node}, [False] * n
+        on_path, taken, enough = {*path, 0, node}, [False] * n, SHARE * total[best]
         while node > 0:
             on_path.add(node)
             node = self.parent[node]
+        # What holds navigation and the like is the page, not the article.
+        around = [tag in ROOTS for tag in self.tag]
+        for i in range(1, n):
+            if (self.out[i] and self.named[i]) or (chars[i] and linked[i] > MOST_LINKED * chars[i] and self.tag[i] in BLOCK):
+                around[self.parent[i]] = True
         for i in range(n):
             p = self.parent[i]
-            if i and not self.out[i]:
-                taken[i] = i == best or taken[p] or (i not in on_path and p in on_path and chars[i] and linked[i] <= MOST_LINKED * chars[i] and density[i] >= least)
+            if not i or self.out[i]:
+                continue
+            if i == best or taken[p]:
+                taken[i] = True
+            elif i not in on_path and p in on_path and chars[i] and linked[i] <= MOST_LINKED * chars[i] and density[i] >= least:
+                taken[i] = total[i] >= enough > 0 or not around[p]
+            elif self.tag[i] in PARTS and p == self.parent[best] and not around[p]:  # a lead or the like, however short
+                taken[i] = bool(chars[i]) and linked[i] <= MOST_LINKED * chars[i]
         heading: dict[int, int] = {}  # by parent, a heading with nothing else behind it yet
         for i in range(1, n):
             p = self.parent[i]
@@ -258,8 +307,8 @@ class Page:
                 heading.pop(p)
         for i in range(1, n):
             taken[i] = not self.out[i] and (taken[i] or taken[self.parent[i]])
-        if self.tag[best] == "body" or not path:
-            taken[0] = True
+        if not path:
+            taken[0] = taken[best] = True
         return taken
 
 
@@ -281,7 +330,9 @@ def main_text(page: str) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The columns named in keep, with text and n_chars, its code points."""
+    """The columns named in keep, none of them text or n_chars, with text and n_chars, its code points."""
+    if {"text", "n_chars"} & {c.lower() for c in keep}:
+        raise ValueError("keep must not name text or n_chars")
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
