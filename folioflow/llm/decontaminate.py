@@ -4,7 +4,8 @@ Texts and items are normalised: A-Z lower-cased, runs of ASCII white space and p
 either end. An item of n bytes may be met with up to k = floor(RATE * n) edits. It is cut into k + 1 pieces: k edits leave one of them
 whole. An Aho-Corasick automaton of all pieces finds the whole ones. Pieces are the leaves of a binary tree, in which budgets
 k1 + k2 = k - 1 of the halves keep the same guarantee, so a hit is verified from small ranges to the whole item, by Myers's
-bit-parallel distance, and most false hits end after a few steps.
+bit-parallel distance, and most false hits end after a few steps. A text that repeats itself may hit an item's pieces at every turn: once an
+item has been tried TRIES times in a text, the places of its other hits are united and each united range is gone through once.
 
 The test items are taken in blocks of about BLOCK_BYTES, every block against all rows; only a block is broadcast.
 
@@ -26,6 +27,8 @@ from .common import lower_table, map_arrow, utf8
 
 RATE = 0.1
 BLOCK_BYTES = 2 << 20
+#: Hits of an item in a text that are verified one by one; bits of a place that are left out where others are united.
+TRIES, PLACE_BITS = 64, 6
 DELIMITERS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 TABLE = lower_table(DELIMITERS)
 
@@ -109,23 +112,51 @@ class Item:
             if parent < 0:
                 break
             node = parent
-        _, back = distance(bits(self.text[::-1]), len(self.text), part[:stop][::-1], found, anchored=True)
+        return self._placed(part, found, stop, first)
+
+    def _placed(self, part: str, found: int, stop: int, first: int) -> tuple[int, int, int]:
+        """(distance, start, end) of what ends at part[stop], part being text[first:]."""
+        before = part[max(0, stop - len(self.text) - found) : stop]
+        _, back = distance(bits(self.text[::-1]), len(self.text), before[::-1], found, anchored=True)
         return found, first + stop - back, first + stop
 
+    def search(self, text: str, first: int, last: int) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the best place that lies in text[first:last], or None."""
+        part = text[first:last]
+        if 0 not in self._bits:
+            self._bits[0] = bits(self.text)
+        found, stop = distance(self._bits[0], len(self.text), part, self.budget)
+        return None if found > self.budget else self._placed(part, found, stop, first)
+
+
+def ranges(places: dict[int, list[int]], before: int, behind: int, size: int) -> Iterator[tuple[int, int]]:
+    """United ranges of a text of this size around hits: places holds, by the start of a piece in its item, where it was hit, in units of 2 ** PLACE_BITS."""
+    around = sorted({((p << PLACE_BITS) - start - before, ((p + 1) << PLACE_BITS) - start + behind) for start, ps in places.items() for p in ps})
+    low = high = None
+    for a, b in around:
+        if high is not None and a <= high:
+            high = max(high, b)
+            continue
+        if high is not None:
+            yield max(0, low), min(high, size)
+        low, high = a, b
+    if high is not None:
+        yield max(0, low), min(high, size)
+
 
 class Matcher:
     """All items of a block."""
 
     def __init__(self, texts: list[bytes | None], rate: float = RATE):
         self.items = [Item(n, rate) if (n := normalised(t or b"")) else None for t in texts]
-        pieces: dict[str, list[tuple[int, int]]] = {}
+        pieces: dict[str, dict[int, list[int]]] = {}  # of a piece, the items it is of, and which leaves
         for i, item in enumerate(self.items):
             for leaf in item.leaves if item else ():
                 start, end, _, _ = item.nodes[leaf]
-                pieces.setdefault(item.text[start:end], []).append((i, leaf))
+                pieces.setdefault(item.text[start:end], {}).setdefault(i, []).append(leaf)
         self.automaton = ahocorasick.Automaton()
         for piece, owners in pieces.items():
-            self.automaton.add_word(piece, (len(piece), owners))
+            self.automaton.add_word(piece, (piece, tuple(owners.items())))
         if pieces:
             self.automaton.make_automaton()
 
@@ -135,20 +166,37 @@ class Matcher:
         if not text or not len(self.automaton):
             return []
         best: dict[int, tuple[int, int, int]] = {}
-        tried: set[tuple[int, int]] = set()
-        for last, (size, owners) in self.automaton.iter(text):
-            at = last + 1 - size
-            for i, leaf in owners:
+        tries: dict[int, int] = {}
+        later: dict[tuple[int, str], set[int]] = {}
+        for last, (piece, owners) in self.automaton.iter(text):
+            at = last + 1 - len(piece)
+            for i, leaves in owners:
                 if i in best and best[i][0] == 0:
                     continue
-                item = self.items[i]
-                if i in best and best[i][1] <= at < best[i][2] and (i, at - item.nodes[leaf][0]) in tried:
+                if tries.get(i, 0) >= TRIES:
+                    later.setdefault((i, piece), set()).add(at >> PLACE_BITS)
                     continue
-                found = item.verify(leaf, text, at)
+                tries[i] = tries.get(i, 0) + len(leaves)
+                for leaf in leaves:
+                    found = self.items[i].verify(leaf, text, at)
+                    if found:
+                        if first_only:
+                            return [(i, *found)]
+                        if i not in best or found < best[i]:
+                            best[i] = found
+        left: dict[int, dict[int, list[int]]] = {}
+        for (i, piece), places in later.items():
+            for leaf in dict(self.automaton.get(piece)[1])[i]:
+                left.setdefault(i, {})[self.items[i].nodes[leaf][0]] = sorted(places)
+        for i, places in left.items():
+            item = self.items[i]
+            for first, end in ranges(places, item.budget, len(item.text) + item.budget, len(text)):
+                if i in best and best[i][0] == 0:
+                    break
+                found = item.search(text, first, end)
                 if found:
                     if first_only:
                         return [(i, *found)]
-                    tried.add((i, at - item.nodes[leaf][0]))
                     if i not in best or found < best[i]:
                         best[i] = found
         if not best:
@@ -177,13 +225,13 @@ def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK_BYTES
             yield sorted(((r["item_id"], r["text"].encode()) for r in rows), key=lambda r: (r[0] is not None, r[0], r[1]))
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, item_id, distance, start, end): each item's best place in each document that it is met in."""
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     doc_kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
     schema = f"doc_id {doc_kind}, item_id {item_kind}, distance int, start long, end long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(items, item_id_col, item_text_col):
+    for block in blocks(items, item_id_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def make(shared=shared):
@@ -202,10 +250,10 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
     return out
 
 
-def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def without_matches(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs, as they are, in which no item is met."""
     at = docs.columns.index(text_col)
-    for block in blocks(items, item_id_col, item_text_col):
+    for block in blocks(items, item_id_col, item_text_col, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
 
         def make(shared=shared):
