@@ -1,20 +1,22 @@
 """Licence scans: an Aho-Corasick automaton over the words of whole texts, and licence expressions behind identifier tags.
 
 A-Z are lower-cased and texts cut into words; the automaton runs over the words joined by single spaces, so a phrase is found
-wherever its words stand consecutively, whatever stands between them. Behind an identifier tag, the rest of the line is read as a
-licence expression: the shunting-yard algorithm orders its operators and a stack evaluates it.
+wherever its words stand consecutively, whatever stands between them. Behind an identifier tag, the rest of the line, up to the next tag, is
+read as a licence expression: the shunting-yard algorithm orders its operators and a stack evaluates it. Names count as licences if LICENCES or
+EXCEPTIONS knows them, with a version behind the family's name or none, or if they begin with LicenseRef-; an expression ends where another word stands.
 
 Every licence has a restriction from 0 (anything goes) to 1 (all rights reserved). `a OR b` leaves the choice: the lesser one; `a AND b`
-binds to both: the greater one; `a WITH e` halves that of a. A text's score is the greatest of its findings', 0 without any.
+binds to both: the greater one; `a WITH e` halves that of a, and e is a label too. A text's score is the greatest of its findings', 0 without any.
 
-Cases: a null or empty text has no words and no findings; an expression that can't be parsed counts as all its names joined by AND; repeated
-rows give repeated result rows; a null id stays null; an empty table gives an empty result; other columns are ignored.
+Cases: a null or empty text has no words and no findings; an expression that ends with an operator is read as far as it is whole, one with a
+parenthesis that is never closed as all its names joined by AND; repeated rows give repeated result rows; a null id stays null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -28,6 +30,7 @@ TABLE = lower_table(DELIMITERS)
 
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 TAG = "spdx license identifier"
+WORD = re.compile(rb"[^\t-\r ]+")
 NOTICES = {
     "mit license": "mit",
     "permission is hereby granted free of charge": "mit",
@@ -49,51 +52,90 @@ NOTICES = {
     "no part of this publication may be reproduced": "reserved",
     "confidential and proprietary": "proprietary",
 }
-#: Restriction by the beginning of a licence's name; the longest beginning counts.
-RESTRICTION = {
-    "cc0": 0.0, "unlicense": 0.0, "public-domain": 0.0, "0bsd": 0.0, "wtfpl": 0.0,
-    "mit": 0.1, "bsd": 0.1, "isc": 0.1, "apache": 0.1, "boost": 0.1, "bsl": 0.1, "zlib": 0.1, "cc-by": 0.2,
-    "mpl": 0.4, "lgpl": 0.4, "epl": 0.4, "cc-by-sa": 0.5, "gpl": 0.6, "agpl": 0.7,
-    "cc-by-nd": 0.8, "cc-by-nc": 0.8, "proprietary": 1.0, "reserved": 1.0,
+#: Restriction by a licence's family.
+LICENCES = {
+    "cc0": 0.0, "unlicense": 0.0, "public-domain": 0.0, "0bsd": 0.0, "wtfpl": 0.0, "pddl": 0.0,
+    "mit": 0.1, "mit-0": 0.1, "bsd": 0.1, "isc": 0.1, "apache": 0.1, "boost": 0.1, "bsl": 0.1, "zlib": 0.1, "python": 0.1, "psf": 0.1, "ncsa": 0.1, "x11": 0.1,
+    "postgresql": 0.1, "curl": 0.1, "openssl": 0.1, "artistic": 0.2, "cc-by": 0.2, "odc-by": 0.2, "ofl": 0.2, "afl": 0.2, "ms-pl": 0.2, "ecl": 0.2,
+    "mpl": 0.4, "lgpl": 0.4, "epl": 0.4, "cddl": 0.4, "cpl": 0.4, "eupl": 0.4, "ms-rl": 0.4, "gfdl": 0.5, "cc-by-sa": 0.5, "odbl": 0.5, "osl": 0.5, "gpl": 0.6, "agpl": 0.7, "sspl": 0.8,
+    "cc-by-nd": 0.8, "cc-by-nc": 0.8, "cc-by-nc-sa": 0.8, "cc-by-nc-nd": 0.8, "busl": 0.9, "proprietary": 1.0, "reserved": 1.0,
 }
+#: Families of exceptions that follow WITH.
+EXCEPTIONS = ("classpath-exception", "autoconf-exception", "bison-exception", "gcc-exception", "font-exception", "llvm-exception", "linux-syscall-note", "openssl-exception", "u-boot-exception", "swift-exception", "ocaml-lgpl-linking-exception", "lgpl-3.0-linking-exception", "mif-exception", "wxwindows-exception", "eclipse-public-license-exception")
+REFERENCE, OF_REFERENCE = ("licenseref-", "documentref-"), 0.9
 UNKNOWN = 0.9
-
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*(?::[A-Za-z0-9.+-]+)?")
-BEHIND_TAG = re.compile(r"[^\S\n]*:?[^\S\n]*([^\n]*)")
+#: Characters of a licence's name at most, references aside.
+LONGEST = 64
+#: What may follow a family's name: a version, its clauses or variant.
+VERSION = re.compile(r"(?:-v?[0-9]+(?:\.[0-9]+)*[a-z]?(?:-[a-z]+)?)?(?:-clause(?:-[a-z]+)*|-only|-or-later|-universal)?\+?")
+
+TOKEN = re.compile(rb"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*(?::[A-Za-z0-9.+-]+)?")
+BEHIND_TAG = re.compile(rb"[\x20\t\r\f\v]*:?")
+#: What an expression can be made of: another character ends it.
+GAP = re.compile(rb"[\x20\t\r\f\v]*")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 
+@lru_cache(1 << 12)
+def family(low: str, exception: bool = False) -> str | None:
+    """The longest known name that a lower-cased one is, a version or variant aside."""
+    return max((k for k in (EXCEPTIONS if exception else LICENCES) if low.startswith(k) and VERSION.fullmatch(low, len(k))), key=len, default=None)
+
+
 def restriction(name: str) -> float:
-    parts = name.lower()
-    best = max((k for k in RESTRICTION if parts.startswith(k)), key=len, default=None)
-    return UNKNOWN if best is None else RESTRICTION[best]
+    if name.lower().startswith(REFERENCE):
+        return OF_REFERENCE
+    found = family(name.lower())
+    return UNKNOWN if found is None else LICENCES[found]
+
+
+def is_name(token: str, exception: bool = False) -> bool:
+    """Whether a token names a licence, or, behind WITH, an exception."""
+    if token.lower().startswith(REFERENCE):
+        return True
+    return len(token) <= LONGEST and family(token.lower(), exception) is not None
 
 
-def expression(text: str) -> tuple[list[str], list[str]]:
-    """(tokens of the longest well-formed beginning, the same in postfix order by the shunting-yard algorithm)."""
+def tokens_of(raw: bytes, start: int = 0, end: int | None = None) -> list[str]:
+    """Tokens of the longest whole expression that raw[start:end] begins with, nothing but blanks between them.
+
+    If a parenthesis is never closed, the names read so far joined by AND.
+    """
     tokens: list[str] = []
-    depth, operand = 0, False
-    for token in TOKEN.findall(text):
+    end = len(raw) if end is None else end
+    depth, operand, whole, at = 0, False, 0, start
+    while m := TOKEN.match(raw, GAP.match(raw, at, end).end(), end):
+        token = m[0].decode("ascii").rstrip(".-")
         low = token.lower()
         if low in BINDS:
-            if not operand:
+            if not operand or (low == "with" and tokens[-1] == ")"):
                 break
             operand = False
         elif token == "(":
-            if operand:
+            if operand or (tokens and tokens[-1].lower() == "with"):
                 break
             depth += 1
         elif token == ")":
             if not operand or not depth:
                 break
             depth -= 1
-        elif operand:
+        elif operand or not is_name(token, bool(tokens) and tokens[-1].lower() == "with"):
             break
         else:
             operand = True
         tokens.append(token)
-    if depth or not operand:
-        return [t for t in tokens if t not in "()" and t.lower() not in BINDS], []
+        at = m.end()
+        if operand and not depth:
+            whole = len(tokens)
+        if len(m[0]) != len(token):  # a full stop behind a name ends the sentence
+            break
+    if depth:  # never closed
+        return [x for t in tokens if t not in ("(", ")") and t.lower() not in BINDS for x in ("and", t)][1:]
+    return tokens[:whole]
+
+
+def postfix(tokens: list[str]) -> list[str]:
+    """A whole expression in postfix order, by the shunting-yard algorithm."""
     out: list[str] = []
     waiting: list[str] = []
     for token in tokens:
@@ -110,27 +152,23 @@ def expression(text: str) -> tuple[list[str], list[str]]:
             waiting.pop()
         else:
             out.append(token)
-    return tokens, out + waiting[::-1]
+    return out + waiting[::-1]
 
 
-def evaluate(text: str) -> tuple[set[str], float] | None:
+def evaluate(text: bytes | str, start: int = 0, end: int | None = None) -> tuple[set[str], float] | None:
     """(names, restriction) of the licence expression that the text begins with; None if it begins with none."""
-    tokens, postfix = expression(text)
+    tokens = tokens_of(text.encode() if isinstance(text, str) else text, start, end)
     if not tokens:
         return None
-    if not postfix:
-        return {t.lower() for t in tokens}, max(map(restriction, tokens))
-    stack: list[tuple[set[str], float]] = []
-    for token in postfix:
+    names = {t.lower() for t in tokens if t not in ("(", ")") and t.lower() not in BINDS}
+    stack: list[float] = []
+    for token in postfix(tokens):
         if token not in BINDS:
-            stack.append(({token.lower()}, restriction(token)))
+            stack.append(restriction(token))
             continue
-        (names, right), (more, left) = stack.pop(), stack.pop()
-        if token == "with":
-            stack.append((more, left / 2))
-        else:
-            stack.append((more | names, min(left, right) if token == "or" else max(left, right)))
-    return stack[0]
+        right, left = stack.pop(), stack.pop()
+        stack.append(left / 2 if token == "with" else min(left, right) if token == "or" else max(left, right))
+    return names, stack[0]
 
 
 class Scanner:
@@ -149,8 +187,8 @@ class Scanner:
         """(words, findings (label, base, first word), score)."""
         words = raw.translate(TABLE).split()
         text = f" {b' '.join(words).decode('latin-1')} " if words else ""
-        findings, score, counted, word = [], 0.0, 0, 0
-        spans = None
+        findings, tags, score, counted, word = [], [], 0.0, 0, 0
+        ends = None  # of the words in raw
         hits = sorted((last + 1 - len(phrase), phrase, labels) for last, (phrase, labels) in self.automaton.iter(text))
         for at, phrase, labels in hits:
             word += text.count(" ", counted, at)
@@ -159,13 +197,17 @@ class Scanner:
                 findings.append((label, base, word))
                 score = max(score, restriction(label))
             if phrase.strip() == TAG:
-                if spans is None:
-                    spans = [m.end() for m in re.finditer(rb"[^ ]+", re.sub(rb"[\t-\r]", b" ", raw.translate(TABLE)))]
-                end = spans[word + TAG.count(" ")]
-                line = BEHIND_TAG.match(raw[end : raw.find(b"\n", end) if raw.find(b"\n", end) >= 0 else len(raw)].decode("utf-8", "replace"))
-                if found := evaluate(line[1]):
-                    findings += [(name, False, word) for name in sorted(found[0])]
-                    score = max(score, found[1])
+                if ends is None:
+                    ends = [m.end() for m in WORD.finditer(raw.translate(TABLE))]
+                tags.append((word, ends[word + TAG.count(" ")]))
+        for k, (word, end) in enumerate(tags):
+            start = BEHIND_TAG.match(raw, end).end()
+            stop = raw.find(b"\n", start, tags[k + 1][1] if k + 1 < len(tags) else len(raw))
+            if stop < 0:
+                stop = tags[k + 1][1] if k + 1 < len(tags) else len(raw)
+            if found := evaluate(raw, start, stop):
+                findings += [(name, False, word) for name in sorted(found[0])]
+                score = max(score, found[1])
         return len(words), findings, score
 
 

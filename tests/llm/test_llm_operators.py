@@ -208,7 +208,7 @@ def test_licence_base(spark, docs, small, nothing):
         ("MIT AND GPL-3.0-only", {"mit", "gpl-3.0-only"}, 0.6),
         ("MIT OR GPL-3.0 AND LGPL-2.1", {"mit", "gpl-3.0", "lgpl-2.1"}, 0.1),
         ("(MIT OR GPL-3.0) AND LGPL-2.1", {"mit", "gpl-3.0", "lgpl-2.1"}, 0.4),
-        ("GPL-2.0 WITH Classpath-exception-2.0 */", {"gpl-2.0"}, 0.3),
+        ("GPL-2.0 WITH Classpath-exception-2.0 */", {"gpl-2.0", "classpath-exception-2.0"}, 0.3),
         ("MIT AND (GPL-2.0", {"mit", "gpl-2.0"}, 0.6),
     ],
 )
