@@ -7,6 +7,9 @@ budget. Each group returns a spanning star of its links, so copies and dense gro
 Where a block's value is shared by more than HOT fingerprints, its groups are dealt out by a third block as well, which leaves 20 bits
 open at most: no group is larger than the greater of HOT and 2 ** 20, however many documents resemble each other.
 
+The pipeline's stage, one_of_each(), is for texts that differ by more: its fingerprints have four times as many bits, of five-word shingles,
+the tries are dealt out by least hashes of these, and a link has to hold on all bits.
+
 Cases: null and empty texts have fingerprint zero and link like any other; repeated rows give repeated result rows;
 a null id stays null and takes part by its text only (component_id is the least id that isn't null); an empty
 table gives an empty result; other columns are ignored.
@@ -36,6 +39,14 @@ RUN = 1 << 17
 #: Fingerprints that may share the value of a block before its groups are dealt out once more.
 HOT = 1 << 16
 
+# Of the pipeline's stage: words of a shingle; 64-bit words of a fingerprint, and as many least hashes.
+SHINGLE, SKETCH = 5, 4
+#: Differing bits of 64 * SKETCH, and of the first 64, that make two texts similar: at a similarity of 0.8 about 39 and 10 are expected.
+MOST_BITS, FIRST_BITS = 44, 14
+#: Rows that may share a least hash before their group is split; rounds in which its rows are held against one of them.
+CROWD, LEADERS = 4096, 3
+ODD = np.uint64(0xD6E8FEB86659FD93)
+
 
 def fingerprint(words: list[bytes], size: int = 3) -> int:
     """SimHash of the word shingles: a bit is set if it is set in over half the XXH64 hashes."""
@@ -156,10 +167,15 @@ def trie_links(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int
             pairs.append((np.concatenate([slo, mid]), np.concatenate([mid, shi]), np.concatenate([olo, olo]), np.concatenate([ohi, ohi])))
 
 
-def _stars(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each position, the least position of its run that links reach."""
+def _stars(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int = BUDGET, near=None) -> np.ndarray:
+    """For each position, the least position of its run that links reach; near: a further test of pairs of positions."""
     root = np.arange(len(a))
-    for i, j in trie_links(a, starts, ends):
+    for i, j in trie_links(a, starts, ends, budget):
+        if near is not None:
+            apart = root[i] != root[j]
+            i, j = i[apart], j[apart]
+            keep = near(i, j)
+            i, j = i[keep], j[keep]
         while True:
             ri, rj = root[i], root[j]
             apart = ri != rj
@@ -229,18 +245,156 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """One row of each class: that of the least id, null ids last; of several such rows, the first as they are read."""
+def wide_print(words: list[bytes], size: int = SHINGLE) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """(fingerprint of SKETCH words of 64 bits, least hash of each) of the distinct word shingles."""
+    if not words:
+        return (0,) * SKETCH, (0,) * SKETCH
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= size:
+        shingles = {b" ".join(words)}
+    else:
+        shingles = {b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}
+    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    counts, least = np.zeros((SKETCH, 64), np.int64), np.full(SKETCH, np.uint64((1 << 64) - 1))
+    for i in range(0, len(hashes), COUNT_ROWS):
+        part = hashes[i : i + COUNT_ROWS]
+        for k in range(SKETCH):
+            if k:
+                part = (part ^ (part >> np.uint64(29))) * ODD
+                part = part ^ (part >> np.uint64(32))
+            counts[k] += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            least[k] = min(least[k], part.min())
+    bits = np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return tuple(bits.tolist()), tuple(least.tolist())
+
+
+def _wide(docs: DataFrame, rank: F.Column, text_col: str, size: int) -> DataFrame:
+    """Rows (rank, f0.., m0..): a document's wide fingerprint and least hashes."""
+    names = [f"f{k}" for k in range(SKETCH)] + [f"m{k}" for k in range(SKETCH)]
+
+    def make():
+        lower = lower_table()
+
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = np.array([sum(wide_print((t or b"").translate(lower).split(), size), ()) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["rank", *names])
+
+        return each
+
+    given = docs.select(rank.alias("rank"), F.col(text_col).alias("text"))
+    return map_arrow(given, make, f"rank {given.schema['rank'].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}")
+
+
+PRINT = [f"f{k}" for k in range(SKETCH)]
+#: Sets of least hashes by which documents are dealt out: one of them, or, where many share one, two.
+ONES = [(k,) for k in range(SKETCH)]
+PAIRS = [(j, k) for j in range(SKETCH) for k in range(j + 1, SKETCH)]
+
+
+def _key(part: tuple[int, ...]) -> F.Column:
+    """A number of the group in which documents that share these least hashes meet."""
+    return F.xxhash64(F.lit(sum(1 << k for k in part)), *(F.col(f"m{k}") for k in part))
+
+
+def _distance(one: str, other: str) -> F.Column:
+    """Differing bits of two wide fingerprints, columns f0.. behind the prefixes."""
+    return sum((F.bit_count(F.col(f"{one}{f}").bitwiseXOR(F.col(f"{other}{f}"))) for f in PRINT), F.lit(0))
+
+
+def _similar(most: int, first: int):
+    """Batches (key, f0..) in which the rows of a key stand together: links (u, v) between f0 of rows that differ in at most `most` bits."""
+
+    def joined(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key, prints = columns[0], np.stack(columns[1:], axis=1).view(np.uint64)
+        order = np.lexsort((prints[:, 0], key))
+        key, prints = key[order], prints[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (prints[1:, 0] != prints[:-1, 0])
+        key, prints = key[fresh], prints[fresh]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        fp = np.ascontiguousarray(prints[:, 0])
+        near = lambda i, j: np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= most
+        root = _stars(fp, starts, np.append(starts[1:], len(key)), first, near)
+        linked = root != np.arange(len(root))
+        return pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], ["u", "v"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64)] * (SKETCH + 1)
+        for batch in batches:
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            keys = held[0]
+            if len(keys) >= RUN and keys[0] != keys[-1]:
+                last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
+                yield joined([h[:last] for h in held])
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield joined(held)
+
+    return run
+
+
+def _joined_by(dealt: DataFrame, most: int, first: int) -> DataFrame:
+    return dealt.select("key", *PRINT).repartition("key").sortWithinPartitions("key").mapInArrow(_similar(most, first), "u long, v long")
+
+
+def similar_links(values: DataFrame, scratch: Scratch, most: int = MOST_BITS, first: int = FIRST_BITS, crowd: int = CROWD) -> DataFrame:
+    """Links (u, v) between values of f0 of rows (f0.., m0..) that share a least hash and whose fingerprints differ in at most `most` bits.
+
+    A least hash that more than `crowd` rows share is that of a passage of many documents, or of many near copies. Its rows are held against one
+    of them, LEADERS times: near copies are linked to it and leave this group, so a text that is similar to one of them, but not to the one they
+    were held against, is found only by another of its least hashes. What stays is dealt out by two least hashes, and if there are still
+    more than `crowd` of a pair, in pieces that meet two by two: no link is lost there, and no group grows with the table.
+    """
+    columns = [*PRINT, *(f"m{k}" for k in range(SKETCH))]
+
+    def keyed(rows: DataFrame, parts: list[tuple[int, ...]]) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(n).alias("part"), _key(p).alias("key")) for n, p in enumerate(parts)))
+        return rows.select(*columns, F.explode(pairs).alias("x")).select(*columns, "x.part", "x.key")
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        return scratch.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowd))
+
+    dealt = keyed(values, ONES)
+    many = crowded(dealt)
+    if many.isEmpty():
+        return _joined_by(dealt, most, first)
+    out = _joined_by(dealt.join(many, "key", "left_anti"), most, first)
+    rest = scratch.keep(dealt.join(many, "key", "left_semi"))
+    for _ in range(LEADERS):
+        leaders = rest.groupBy("key").agg(F.min(F.struct(*PRINT)).alias("l")).select("key", *(F.col(f"l.{f}").alias(f"l_{f}") for f in PRINT))
+        # A row a crowded key: there are no more of them than rows / crowd, and the join's skew is the adaptive plan's to split.
+        held = scratch.keep(rest.join(leaders, "key").withColumn("near", _distance("", "l_") <= most))
+        out = out.unionByName(held.where("near and f0 <> l_f0").select(F.col("f0").alias("u"), F.col("l_f0").alias("v")))
+        rest = held.where("not near").select(*columns, "part", "key")
+    # One of the two least hashes is the crowded one.
+    second = scratch.keep(keyed(rest.select(*columns).distinct(), PAIRS))
+    many = crowded(second)
+    if many.isEmpty():
+        return out.unionByName(_joined_by(second, most, first))
+    out = out.unionByName(_joined_by(second.join(many, "key", "left_anti"), most, first))
+    pieces = second.join(many, "key").withColumn("of", F.ceil(2 * F.col("n") / crowd).cast("int")).withColumn("piece", F.pmod(F.xxhash64("f0"), F.col("of")).cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.xxhash64("key", F.least(k, F.col("piece")), F.greatest(k, F.col("piece"))))
+    return out.unionByName(_joined_by(pieces.select(F.explode(met).alias("key"), *PRINT), most, first))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
+    """One row of each class of similar texts: that of the least id, null ids last; of several such rows, the first as they are read.
+
+    Similar are texts whose distinct shingles of `size` words have a Jaccard similarity of about 0.8 or more, by two measures of the same hashes: they
+    share one of SKETCH least hashes (at 0.8, 998 of 1,000 pairs do), and their fingerprints of 64 * SKETCH bits differ in at most `most`
+    bits. Texts without a word are all alike. Columns may be of any type.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
     # Ids may repeat or be null, so rows are told apart by a number stored beside them.
     given = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     stored = scratch.keep(given.withColumn("__row", F.monotonically_increasing_id()))
     id_, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     rank = F.struct(F.col(id_).isNull().alias("unnamed"), F.col(id_).alias("id"), F.col("__row").alias("row"))
-    prints = scratch.keep(fingerprints(stored.select(rank.alias("rank"), text), "rank", text))
-    values = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    classes = components(links(values.select("fp"), scratch, hot), scratch).withColumnsRenamed({"node": "fp"})
-    named = values.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = scratch.keep(_wide(stored, rank, text, size))
+    rest = F.struct(*(F.col(c) for c in prints.columns if c not in ("rank", "f0")))
+    values = scratch.keep(prints.groupBy("f0").agg(F.min("rank").alias("least"), F.min(rest).alias("s")).select("f0", "least", "s.*"))
+    classes = components(similar_links(values, scratch, most, crowd=crowd), scratch).withColumnsRenamed({"node": "f0"})
+    named = values.select("f0", "least").join(classes, "f0", "left").withColumn("root", F.coalesce("root", "f0"))
     kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
     rows = stored.join(kept.hint("shuffle_hash"), "__row")
     return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, fixity, langid, lengths, licenses, maintext, packing, pii, quality, simhash
-from folioflow.llm.common import Scratch, pieces
+from folioflow.llm.common import Scratch, lower_table, pieces
 from folioflow.llm.components import components
 from folioflow.llm.queries import ORACLES, QUERIES
 
@@ -613,14 +613,16 @@ def test_pieces_are_bounded():
 def test_pipeline(spark, small):
     import corpus_pipeline
 
+    from test_similar import roots, similar
+
     docs = spark.read.parquet(f"{small}/documents.parquet")
     now, counts = docs, [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         now = Scratch(spark, "t").keep(stage(spark, now, small))
         assert now.columns == docs.columns, name
         counts.append(now.count())
-    prints = [(r.doc_id, brute_print(r.text)) for r in docs.collect()]
-    assert counts[1] == counts[0] and counts[2] == len(set(brute_classes(prints)))
+    prints = [simhash.wide_print((r.text or "").encode().translate(lower_table()).split()) for r in docs.collect()]
+    assert counts[1] == counts[0] and counts[2] == len(set(roots(len(prints), lambda i, j: similar(prints[i], prints[j]))))
     items = [decontaminate.normalised(r.text.encode()) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     for r in now.collect():
         assert not any(i in decontaminate.normalised(r.text.encode()) for i in items) and not brute_spans(r.text) and r.n_chars == len(r.text)
