@@ -5,7 +5,7 @@ neighbouring nodes one of the next level, up to one root for each archive; a nod
 digests in order. Two replicas' roots are compared first, and from each level only the children of nodes that differ are looked at,
 down to the records. Record bytes are read once and never shuffled: only digests are.
 
-Cases: a null payload is an empty record, a null archive the archive -1; records repeated at one place make one leaf with their number,
+Cases: a null payload is an empty record, a null archive the archive -1, a null offset the offset -1; records repeated at one place make one leaf with their number,
 and differ from one copy of it; an archive or a range that one replica lacks is followed to its records; two empty replicas have
 no differences; other columns are ignored.
 """
@@ -22,6 +22,8 @@ from .common import Scratch
 RANGE_BYTES, FAN = 1 << 16, 16
 #: Records of one archive file, as of web crawls: about a gigabyte of pages.
 ARCHIVE_RECORDS = 1024
+#: Parts that the digests of one id are cut into, and deals of equal records of one id.
+PARTS, DEALS = 4096, 64
 
 
 @dataclass
@@ -33,7 +35,7 @@ class Tree:
 
 def leaves(records: DataFrame) -> DataFrame:
     """records (archive, offset, length, digest) as leaves; records at one place make one leaf, in the order of their digests."""
-    keyed = records.select(F.coalesce(F.col("archive").cast("long"), F.lit(-1)).alias("archive"), F.col("offset").cast("long").alias("no"), "digest", F.col("length").cast("long").alias("length"))
+    keyed = records.select(F.coalesce(F.col("archive").cast("long"), F.lit(-1)).alias("archive"), F.coalesce(F.col("offset").cast("long"), F.lit(-1)).alias("no"), "digest", F.col("length").cast("long").alias("length"))
     once = keyed.groupBy("archive", "no", "digest").agg(F.count("*").alias("n"), F.max("length").alias("length"))
     whole = F.when((F.count("*") == 1) & (F.max("n") == 1), F.min("digest")).otherwise(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws("x", "digest", "n"))), ","), 256))
     return once.groupBy("archive", "no").agg(whole.alias("digest"), F.max("length").alias("length"))
@@ -107,6 +109,31 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return pages.select(F.col(id_col).alias("page_id"), archive.alias("archive"), F.concat(head, payload, F.lit("\r\n\r\n")).alias("record"))
 
 
+def with_offsets(records: DataFrame) -> DataFrame:
+    """records (archive, page_id, digest, length, __row, ...), a stored table, with offset: the bytes before it in its archive by id, then digest.
+
+    An id that is null or repeated without end would be one long window. So the bytes before a record are those of the ids and PARTS parts of
+    digests before it, of the digests in its part, and of equal records: each is a sum of sums over a group of its own.
+    """
+    id_ = [F.col("page_id").isNull().alias("__null"), F.coalesce("page_id", F.lit(0)).alias("__id")]
+    part, deal = F.floor(F.conv(F.substring("digest", 1, 4), 16, 10).cast("int") * PARTS / 65536).cast("int"), F.pmod(F.xxhash64("__row"), F.lit(DEALS)).cast("int")
+    keyed = records.select("*", *id_, part.alias("__part"), deal.alias("__deal"))
+    ids = ["archive", "__null", "__id", "__part"]
+    before = lambda value, keys, *order: F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    equal = keyed.groupBy(*ids, "digest", "__deal").agg(F.count("*").alias("n"), F.min("length").alias("size"))
+    digests = equal.groupBy(*ids, "digest").agg((F.sum("n") * F.min("size")).alias("bytes"))
+    parts = digests.groupBy(*ids).agg(F.sum("bytes").alias("bytes"))
+    starts = (
+        equal.select(*ids, "digest", "__deal", (before("n", [*ids, "digest"], "__deal") * F.col("size")).alias("__a"))
+        .join(digests.select(*ids, "digest", before("bytes", ids, "digest").alias("__b")), [*ids, "digest"])
+        .join(parts.select(*ids, before("bytes", ["archive"], F.desc("__null"), "__id", "__part").alias("__c")), ids)
+        .select(*ids, "digest", "__deal", (F.col("__a") + F.col("__b") + F.col("__c")).alias("__start"))
+    )
+    nth = F.row_number().over(Window.partitionBy(*ids, "digest", "__deal").orderBy("__row")) - 1
+    placed = keyed.withColumn("__nth", nth).join(starts, [*ids, "digest", "__deal"])
+    return placed.select(*(F.col(c) for c in records.columns), (F.col("__start") + F.col("__nth") * F.col("length")).alias("offset"))
+
+
 def drill(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records of pages, and of a replica with known damage, as a drill of the audit: by a rule on the id, a byte is changed, a
     record cut short, or lost. Offsets are those of the archive's index, so what is lost or cut leaves a gap.
@@ -123,8 +150,9 @@ def drill(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.octet_length(F.coalesce(damaged, "record")).cast("long").alias("replica_length"),
         F.coalesce(rule % 83 == 0, F.lit(False)).alias("lost"),
     )
-    before = Window.partitionBy("archive").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = Scratch(pages.sparkSession, "drill").keep(digests.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
+    scratch = Scratch(pages.sparkSession, "drill")
+    stored = scratch.keep(digests.withColumn("__row", F.monotonically_increasing_id()))
+    placed = scratch.keep(with_offsets(stored).drop("__row"))
     return placed, placed.where("not lost").select("archive", "offset", F.col("replica_length").alias("length"), F.col("replica_digest").alias("digest"))
 
 

@@ -4,8 +4,8 @@ A text's bytes are cut into windows of fixed length, the last padded with zeros.
 filters of several widths slide over it, the largest response of each filter in the window goes through a softmax layer. A
 document's probabilities are those of its windows, weighted by their bytes: whole texts are read, no matter how long.
 
-Training: rows with a language whose crc32(id as text) mod 4 is not 2, from a bounded sample: SAMPLE_DOCS documents of each of
-the MOST_LANGUAGES commonest languages, WINDOWS_A_DOC windows each. The sample is chosen by a hash of the id, and everything is
+Training: rows with a language whose crc32(id as text) mod 4 is not 2, from a bounded sample: SAMPLE_DOCS documents of every
+language, fewer where there are more than ALL_DOCS / SAMPLE_DOCS languages but one at least, WINDOWS_A_DOC windows each. The sample is chosen by a hash of the id, and everything is
 seeded, so that a model depends on the table alone.
 
 Cases: a null text, or one without any letter, is `und` with score 0; repeated rows give repeated result rows; a null id is
@@ -30,7 +30,7 @@ from .common import map_arrow, utf8
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
-SAMPLE_DOCS, MOST_LANGUAGES, WINDOWS_A_DOC = 400, 256, 4
+SAMPLE_DOCS, ALL_DOCS, WINDOWS_A_DOC = 400, 100_000, 4
 EPOCHS, BATCH, RATE, SEED = 8, 64, 4e-3, 7
 #: Windows whose responses are computed at once.
 INFER = 64
@@ -141,13 +141,16 @@ def held_out(id_col: str) -> F.Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network of the languages of docs, from the bounded sample; None if no row has a language and a text."""
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()  # a row a language
     if not counts:
         return None
-    # Twice the wanted share by hash, then the wanted number in the hash's order: a few thousand rows reach the driver.
-    shares = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * SAMPLE_DOCS / r["n"])))))
+    wanted = max(1, min(SAMPLE_DOCS, ALL_DOCS // len(counts)))
+    # Somewhat more than the wanted number by hash, so that no language is left without, then that number in the hash's order.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * wanted + 16) / r["n"])) for r in counts], "lang string, share double")
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
-    chosen = rows.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("text")).where((F.shiftrightunsigned("order", 11) * F.lit(2.0**-53)) < shares[F.col("lang")])
+    given = rows.select(F.col(lang_col).alias("lang"), order.alias("order"), F.col(text_col).alias("text"))
+    # A row a language is broadcast, as the model itself is.
+    chosen = given.join(F.broadcast(shares), "lang").where((F.shiftrightunsigned("order", 11) * F.lit(2.0**-53)) < F.col("share")).select("lang", "order", "text")
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = map_arrow(chosen, make, "lang string, order long, windows array<binary>").groupBy("lang", "order").agg(F.min("windows").alias("windows")).collect()
     by_lang: dict[str, list] = {r["lang"]: [] for r in counts}
     for r in sorted(sample, key=lambda r: (r["order"], r["windows"])):
-        if len(by_lang[r["lang"]]) < SAMPLE_DOCS:
+        if len(by_lang[r["lang"]]) < wanted:
             by_lang[r["lang"]].append(r["windows"])
     languages = sorted(k for k, v in by_lang.items() if v)
     if not languages:

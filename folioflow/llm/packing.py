@@ -38,8 +38,8 @@ TOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ENCODE_TEXTS = 16
 #: Lengths over this share of the capacity are large; groups of equal cardinality they are cut into.
 LARGE, GROUPS = 1 / 8, 48
-#: Pieces of one length are ranked in buckets; about this many pieces of all lengths share a bucket number.
-BUCKET_ROWS, MOST_BUCKETS = 100_000, 512
+#: Pieces of one length are ranked in buckets of about this many.
+BUCKET_ROWS = 100_000
 
 
 class Recent:
@@ -357,22 +357,32 @@ def places(runs: list[Run]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "each", "sequence", "offset"), table.T, strict=True))
 
 
-def pack(sized: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS, order: tuple[str, ...] = ("doc_id", "piece"), row: str | None = None) -> DataFrame:
     """sized, a stored table with a column length of 1..capacity, with sequence_id and offset added.
 
     order: columns that tell the pieces of a length apart, if only by a number of the row: they are ranked in buckets of their hash.
+    row: a column of distinct numbers from 0; if there is one, pieces that fill a sequence take a negative number made of it, and need no rank.
     """
     counts = {int(r["length"]): int(r["n"]) for r in sized.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if any(not 1 <= k <= capacity for k in counts):
         raise ValueError(f"lengths must be 1..{capacity}")
+    if row is not None:
+        whole = sized.where(F.col("length") == capacity).withColumns({"sequence_id": (-1 - F.col(row)).cast("long"), "offset": F.lit(0).cast("long")})
+        counts.pop(capacity, None)
+        return _ranked(sized.where(F.col("length") < capacity), counts, capacity, large, groups, order).unionByName(whole)
+    return _ranked(sized, counts, capacity, large, groups, order)
+
+
+def _ranked(sized: DataFrame, counts: dict[int, int], capacity: int, large: float, groups: int, order: tuple[str, ...]) -> DataFrame:
     where = places(pack_histogram(counts, capacity, large, groups))
-    buckets = min(MOST_BUCKETS, max(8, sum(counts.values()) // BUCKET_ROWS))
-    bucketed = sized.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    # At most `capacity` rows, and of the bases no more than that and one for each BUCKET_ROWS pieces.
+    buckets = sized.sparkSession.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, __buckets long")
+    dealt = sized.join(F.broadcast(buckets), "length")
+    bucketed = dealt.select(*sized.columns, F.pmod(F.xxhash64(*order), F.col("__buckets")).cast("int").alias("__bucket"))
     sums = bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("length", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("length", "__bucket").orderBy(*order)
-    # The bases are at most capacity * buckets rows of three numbers.
     ranked = bucketed.withColumn("__in", F.row_number().over(inside)).join(F.broadcast(base), ["length", "__bucket"])
     ranked = ranked.select(*sized.columns, (F.col("__base") + F.col("__in") - 1).alias("__rank"))
     at_length, at_rank = sized.columns.index("length"), len(sized.columns)
@@ -403,7 +413,7 @@ def packed_documents(docs: DataFrame, tokenizer_path: str | None = None, capacit
     sized = token_pieces(docs, tokenizer_path, capacity, with_ids=with_ids, id_col=id_col, text_col=text_col, cache_words=cache_words)
     # The number of a row, stored with it, spreads the rows of an id that is repeated without end.
     numbered = scratch.keep(sized.withColumn("__row", F.monotonically_increasing_id()))
-    return pack(numbered, capacity, order=("doc_id", "piece", "__row")).drop("__row")
+    return pack(numbered, capacity, order=("doc_id", "piece", "__row"), row="__row").drop("__row")
 
 
 def op10_linear_grouping(spark, sf_dir: str) -> DataFrame:

@@ -628,3 +628,24 @@ def test_pipeline(spark, small):
         assert not any(i in decontaminate.normalised(r.text.encode()) for i in items) and not brute_spans(r.text) and r.n_chars == len(r.text)
     rows = corpus_pipeline.run(spark, small).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in now.collect()])
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """However many there are, each is in the sample."""
+    monkeypatch.setattr(langid, "ALL_DOCS", 12)
+    rows = [(i, f"{'abcdefghij'[i % 30 % 10] * 6} {i % 30} text", f"l{i % 30}") for i in range(600)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.languages == sorted({f"l{k}" for k in range(30)})
+
+
+def test_language_by_a_plain_forward_pass():
+    """Windows of a small network, filter by filter."""
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 256, (6, langid.WINDOW)).astype(np.uint8)
+    net = langid.train(windows, np.array([0, 1, 2, 0, 1, 2]), ["a", "b", "c"])
+    taps = max(langid.WIDTHS)
+    for window, p in zip(windows, net.probabilities(windows), strict=True):
+        seen = np.concatenate([net.embedding[window], np.repeat(net.embedding[:1], taps - 1, axis=0)])
+        pooled = [max(float(seen[i : i + taps].ravel() @ net.filters[:, f]) for i in range(langid.WINDOW)) + net.bias[f] for f in range(net.filters.shape[1])]
+        z = np.maximum(pooled, 0) @ net.weights + net.offset
+        assert np.allclose(np.exp(z - z.max()) / np.exp(z - z.max()).sum(), p, atol=1e-4)
