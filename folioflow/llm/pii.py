@@ -8,7 +8,7 @@ information, IC = log(N / n(e)): a term whose PMI is at least DISCLOSES of the I
 n(e,t) count different contexts, so that copies of one passage count once; df(t) counts documents. Terms met in one
 context only tell nothing about the corpus and stay. Disclosing terms are generalised to a class, and removed from REMOVES on.
 
-The corpus is read twice: for entities with their contexts, and for df of the candidate terms; documents with an entity are stored and
+The corpus is read twice: for entities with their contexts, and for the df of all words; documents with an entity are stored and
 read twice more. Fixed-size bit tables of hashes keep other words out of the shuffles; they only save work.
 
 Cases: null and empty texts have no spans; repeated rows give repeated result rows and count as documents each; a null id
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, utf8
+from .common import Scratch, map_arrow, pieces
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -49,6 +49,8 @@ WORD = re.compile(r"[^\W\d_]{2,}")
 COUNTED = 3
 #: Pairs of an entity and a word that are handed on at once.
 PAIRS = 1 << 16
+#: Words that a task counts before it hands its counts on.
+COUNTED_WORDS = 1 << 18
 NOT_DIGITS = re.compile(r"[^0-9]+")
 
 Span = tuple[str, int, int]
@@ -213,24 +215,30 @@ def _own_words(scanned: DataFrame, shared, placed: bool) -> DataFrame:
     return map_arrow(scanned.select("__row", "__text", "__spans", F.transform("__contexts", lambda c: F.struct(c["entity"].alias("entity"), c["document"].alias("document"))).alias("around")), make, kinds)
 
 
-def document_frequency(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """Rows (term, df): documents of docs that hold each of the terms."""
-    shared = _bit_table(terms, F.xxhash64("term"))
+def document_frequency(docs: DataFrame, text_col: str) -> DataFrame:
+    """Rows (term, df): documents of docs that hold each word.
 
-    def make():
-        held = _held(shared)
-        mask, digest = (1 << TABLE_BITS) - 1, xxhash.xxh64_intdigest
+    All words are counted, not only the candidate terms: the number of those grows faster than the corpus, that of a task's words doesn't.
+    """
 
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            counts: Counter[str] = Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(w for w in set(map(str.lower, WORD.findall(text))) if held[digest(w.encode(), SEED) & mask])
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "df"])
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
 
-        return each
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "df"])
+
+        for batch in batches:
+            for piece in pieces(batch):
+                for text in piece.column(0).to_pylist():
+                    if text:
+                        counts.update({w.lower() for w in WORD.findall(text)})
+                    if len(counts) > COUNTED_WORDS:
+                        yield counted()
+                        counts.clear()
+        if counts:
+            yield counted()
 
-    counted = map_arrow(docs.select(F.col(text_col).alias("text")), make, "term string, df long")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "term string, df long")
     return counted.groupBy("term").agg(F.sum("df").alias("df"))
 
 
@@ -245,10 +253,9 @@ def disclosing(near: DataFrame, scanned: DataFrame, docs: DataFrame, text_col: s
     places = places.unionByName(whole.select("entity", F.lit(True).alias("whole"), F.col("document").alias("context"), "term"))
     by_pair = places.distinct().groupBy("entity", "whole", "term").agg(F.count("*").alias("together")).where(F.col("together") >= LEAST_CONTEXTS)
     pairs = scratch.keep(by_pair.join(by_entity, ["entity", "whole"]))
-    terms = pairs.select("term").distinct()
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    counted = pairs.join(document_frequency(docs, terms, text_col), "term")
+    counted = pairs.join(document_frequency(docs, text_col), "term")
     # Logarithms of counts; an entity in every document tells nothing.
     information = F.log(F.lit(float(total)) / F.col("contexts"))
     pmi = F.log(F.col("together") * F.lit(float(total)) / (F.col("contexts") * F.col("df")))
