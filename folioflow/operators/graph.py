@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.sources.scratch import kept
 
+from .substrings import inside
+
 LEAST_SIMILARITY = 0.1
 FACT_ENTITIES, FACT_RELATIONSHIPS = 200, 300
 
@@ -96,32 +98,96 @@ def community_summaries(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def _first_of_each(rows: DataFrame, most: int, *columns: str) -> DataFrame:
+    """Rows (resource_id, first): the first `most` structs of the columns of each resource as JSON; no more than that are gathered."""
+    from pyspark.sql import Window
+
+    cut = rows.withColumn("__n", F.row_number().over(Window.partitionBy("resource_id").orderBy(*columns))).where(F.col("__n") <= most)
+    return cut.groupBy("resource_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*columns)))).alias("first"))
+
+
 def facts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Rows (resource_id, entities, relationships): the first ones of each resource as JSON, for a summary's prompt."""
-    ent = nodes.groupBy("resource_id").agg(F.to_json(F.slice(F.sort_array(F.collect_list(F.struct("entity_key", "name", "entity_type", "chunk_count"))), 1, FACT_ENTITIES)).alias("entities"))
-    rel = links.groupBy("resource_id").agg(F.to_json(F.slice(F.sort_array(F.collect_list(F.struct("source_key", "target_key", "relationship_type", "mention_count"))), 1, FACT_RELATIONSHIPS)).alias("relationships"))
+    ent = _first_of_each(nodes, FACT_ENTITIES, "entity_key", "name", "entity_type", "chunk_count").withColumnRenamed("first", "entities")
+    rel = _first_of_each(links, FACT_RELATIONSHIPS, "source_key", "target_key", "relationship_type", "mention_count").withColumnRenamed("first", "relationships")
     return ent.join(rel, "resource_id", "left").withColumn("relationships", F.coalesce("relationships", F.lit("[]")))
 
 
 def similar_names(nodes: DataFrame, queries: DataFrame, k: int, key: str = "entity_key", name: str = "name") -> DataFrame:
     """Rows (query_id, key, score, rank): names that contain a query or share more than LEAST_SIMILARITY of its trigrams.
 
-    nodes: distinct (key, name); queries: (query_id, query). Candidates meet by equal trigrams, which names that contain a query of three letters
-    share as well; shorter queries are looked for in all names.
+    nodes: distinct (key, name); queries: (query_id, query). Candidates meet by equal trigrams, and where a name holds a query.
     """
     from pyspark.sql import Window
 
     own = nodes.select(key, F.col(name).alias("__name"), T.trigrams(name).alias("__t"))
-    asked = F.broadcast(queries.select("query_id", "query", T.trigrams("query").alias("__q")))  # a stated block of queries
-    met = own.select(key, F.explode("__t").alias("t")).join(asked.select("query_id", F.explode("__q").alias("t")), "t").select(key, "query_id").distinct()
-    inside = own.join(asked.select("query_id", "query"), F.contains(F.lower("__name"), F.lower("query"))).select(key, "query_id")
-    pairs = met.unionByName(inside).distinct().join(own, key).join(asked, "query_id")
+    asked = queries.select("query_id", "query", T.trigrams("query").alias("__q"))
+    pairs = _met(own, asked, key).join(own, key).join(asked, "query_id")
     contains = F.contains(F.lower("__name"), F.lower("query"))
     score = F.greatest(T.trigram_similarity(F.col("__t"), F.col("__q")), F.when(contains, 1.0).otherwise(0.0))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return pairs.select("query_id", key, score.alias("score")).where(F.col("score") > LEAST_SIMILARITY).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _met(own: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Distinct rows (key, query_id) of own (key, __name, __t) and asked (query_id, query, __q) that share a trigram or where the name holds the query."""
+    met = own.select(key, F.explode("__t").alias("t")).join(asked.select("query_id", F.explode("__q").alias("t")), "t").select(key, "query_id")
+    held = inside(own.select(F.lower("__name").alias("value")), asked.select("query_id", F.lower("query").alias("phrase")))
+    return met.unionByName(own.select(key, F.lower("__name").alias("value")).join(held, "value").select(key, "query_id")).distinct()
+
+
+def _best(scored: DataFrame, k: int, *order) -> DataFrame:
+    from pyspark.sql import Window
+
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order))).where(F.col("rank") <= k)
+
+
+def relationship_top(links: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, relationship_id, resource_id, score, rank): relationships that a query names.
+
+    links: (relationship_id, resource_id, relationship_type, description, source_name, target_name); queries: (query_id, query). A relationship is found by a
+    description that is similar to the query, and where the query stands in its description, type or names; ties go by relationship_id.
+    """
+    text = F.coalesce(F.col("description"), F.lit(""))
+    own = links.select("relationship_id", text.alias("__name"), T.trigrams(text).alias("__t"))
+    asked = queries.select("query_id", "query", T.trigrams("query").alias("__q"))
+    values = links.select("relationship_id", F.explode(F.array(*(F.lower(c) for c in ("relationship_type", "source_name", "target_name")))).alias("value"))
+    held = values.join(inside(values.select("value"), asked.select("query_id", F.lower("query").alias("phrase"))), "value").select("relationship_id", "query_id", F.lit(True).alias("__held"))
+    pairs = _met(own, asked, "relationship_id").withColumn("__held", F.lit(False)).unionByName(held).groupBy("relationship_id", "query_id").agg(F.max("__held").alias("__held"))
+    full = pairs.join(links, "relationship_id").join(asked.select("query_id", "query"), "query_id")
+    similar = T.trigram_similarity(T.trigrams(text), T.trigrams("query"))
+    found = full.where(F.col("__held") | (similar > LEAST_SIMILARITY) | F.contains(F.lower(text), F.lower("query")))
+    score = relationship_score(F.col("query"), F.col("description"), F.col("relationship_type"), F.col("source_name"), F.col("target_name"))
+    return _best(found.select("query_id", "relationship_id", "resource_id", score.alias("score")), k, "relationship_id")
+
+
+def summary_top(summaries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, summary_id, resource_id, score, rank): summaries (summary_id, resource_id, summary_text) that are similar to a query or hold it."""
+    own = summaries.select("summary_id", F.col("summary_text").alias("__name"), T.trigrams("summary_text").alias("__t"))
+    asked = queries.select("query_id", "query", T.trigrams("query").alias("__q"))
+    pairs = _met(own, asked, "summary_id").join(own, "summary_id").join(asked, "query_id").join(summaries.select("summary_id", "resource_id"), "summary_id")
+    score = T.trigram_similarity(F.col("__t"), F.col("__q"))
+    found = pairs.where((score > LEAST_SIMILARITY) | F.contains(F.lower("__name"), F.lower("query")))
+    return _best(found.select("query_id", "summary_id", "resource_id", score.alias("score")), k, "summary_id")
+
+
+def graph_search(nodes: DataFrame, links: DataFrame, summaries: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> dict[str, DataFrame]:
+    """entities, relationships, summaries and chunks by query: the first three as found, the chunks of the resources that these are of.
+
+    nodes: (entity_key, name, resource_id); chunks: (chunk_id, resource_id, chunk_index, chunk_text). All are of resources that a search may see.
+    """
+    found = kept(similar_names(nodes.select("entity_key", "name").distinct(), queries, k), "entities")
+    entities = found.join(nodes.select("entity_key", "resource_id").distinct(), "entity_key")
+    relationships, abstracts = kept(relationship_top(links, queries, k), "relationships"), kept(summary_top(summaries, queries, k), "summaries")
+    resources = entities.select("query_id", "resource_id").unionByName(relationships.select("query_id", "resource_id")).unionByName(abstracts.select("query_id", "resource_id")).distinct()
+    # The first k chunks of a resource are enough for any query's first k.
+    from pyspark.sql import Window
+
+    first = chunks.withColumn("__n", F.row_number().over(Window.partitionBy("resource_id").orderBy("chunk_index", "chunk_id"))).where(F.col("__n") <= k)
+    around = first.join(resources, "resource_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_index", "chunk_id"))).where(F.col("rank") <= k)
+    return {"entities": entities, "relationships": relationships, "summaries": abstracts, "chunks": around.select("query_id", "chunk_id", "resource_id", "chunk_index", F.left("chunk_text", F.lit(700)).alias("snippet"), "rank")}
+
+
 def related_chunks(chunks: DataFrame, resource_ids: DataFrame, chunk_ids: DataFrame, k: int) -> DataFrame:
     """The first k chunks that are named or belong to a named resource, with 700 characters of their text."""
     named = chunks.join(resource_ids.select("resource_id").distinct(), "resource_id", "left_semi").unionByName(chunks.join(chunk_ids.select("chunk_id").distinct(), "chunk_id", "left_semi"))

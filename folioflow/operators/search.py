@@ -17,6 +17,7 @@ from folioflow.functions import text as T
 from folioflow.sources.scratch import kept
 
 from . import fulltext as X
+from .substrings import inside
 
 MOST_K, OVERSAMPLE, RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 50, 5, 60, 0.7, 0.3
 #: Numbers of query vectors that are broadcast at once.
@@ -115,27 +116,35 @@ def vector_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_
     return out.withColumn("vector_rank", F.row_number().over(best)).where(F.col("vector_rank") <= k)
 
 
-def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", index: DataFrame | None = None) -> DataFrame:
-    """Rows (query_id, key, keyword_score, resource_match_score, keyword_rank): chunks whose text matches a query, or its title or category.
+#: Columns beside a chunk's text that keyword search looks at, and what a query that stands in one adds to the score.
+FIELDS = {"title": 5.0, "author": 3.0, "category": 2.0, "tags": 2.0}
+SAME_TITLE, IN_TEXT = 10.0, 1.0
 
-    chunks: (key, chunk_text, title, category, chunk_index); queries: (query_id, normalised, intent). Texts match by full-text search, an exact quote as
-    a phrase; index is a stored one, if there is. The score is the cover density, plus boosts by where the whole query stands.
+
+def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", index: DataFrame | None = None, wildcards: bool = False) -> DataFrame:
+    """Rows (query_id, key, keyword_score, resource_match_score, keyword_rank): chunks whose text, title, author, category or tags match a query.
+
+    chunks: (key, chunk_text, title, chunk_index[, author, category, tags]); queries: (query_id, normalised, intent). Texts match by full-text search,
+    an exact quote as a phrase; index is a stored one, if there is; the other columns where the whole query stands in them, with wildcards as LIKE reads
+    them. The score is the cover density, plus boosts by where the whole query stands.
     """
-    asked = queries.select("query_id", F.lower("normalised").alias("phrase"))
+    fields = {c: by for c, by in FIELDS.items() if c in chunks.columns}
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    asked = kept(queries.select("query_id", F.lower("normalised").alias("phrase")), "asked")
     parsed = X.parsed(queries.select("query_id", F.col("normalised").alias("query"), (F.col("intent") == "exact_quote").alias("exact")), "exact")
     held = X.search(X.index_of(chunks, parsed, key) if index is None else index, parsed, key)
-    # Titles are few and short beside the text: queries are looked for in distinct ones.
-    titles = chunks.select("title", "category").distinct()
-    like = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.col("phrase"))
-    named = titles.join(F.broadcast(asked), like("title") | like("category")).select("query_id", "title", "category")
-    same = F.col("n.title").eqNullSafe(F.col("c.title")) & F.col("n.category").eqNullSafe(F.col("c.category"))
-    by_name = chunks.select(key, "title", "category").alias("c").join(named.alias("n"), same).select("query_id", key)
-    pairs = held.unionByName(by_name.withColumn("text_score", F.lit(0.0))).groupBy("query_id", key).agg(F.max("text_score").alias("text_score"))
-    full = pairs.join(chunks.select(key, "chunk_text", "title", "category", "chunk_index"), key).join(F.broadcast(asked), "query_id")
-    exact, part = F.lower("title") == F.col("phrase"), like("title")
+    # Phrases and distinct field values meet by a rare piece of the phrase; what a field says is looked up again from there.
+    values = chunks.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), low(c).alias("value")) for c in fields))).alias("f")).select(key, "f.field", "f.value")
+    met = kept(inside(values.where("value <> ''").select("value"), asked, wildcards), "met")
+    named = values.join(met, "value").groupBy("query_id", key).agg(*(F.max(F.col("field") == c).alias(f"__{c}") for c in fields))
+    pairs = held.join(named, ["query_id", key], "full")
+    full = pairs.join(chunks.select(key, "chunk_text", "title", "chunk_index"), key).join(asked, "query_id")
     boost = lambda test, by: F.when(test, by).otherwise(0.0)
-    score = F.col("text_score") + boost(exact, 10.0) + boost(part, 5.0) + boost(like("category"), 2.0) + boost(like("chunk_text"), 1.0)
-    match = F.when(exact, 2.0).when(part, 1.0).otherwise(0.0)
+    same, part = low("title") == F.col("phrase"), F.coalesce(F.col("__title"), F.lit(False))
+    score = F.coalesce("text_score", F.lit(0.0)) + boost(same, SAME_TITLE) + boost(F.contains(low("chunk_text"), F.col("phrase")), IN_TEXT)
+    for c, by in fields.items():
+        score = score + boost(F.col(f"__{c}"), by)
+    match = F.when(same, 2.0).when(part, 1.0).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(F.desc("resource_match_score"), F.when(F.col("resource_match_score") > 0, F.col("chunk_index")).otherwise(0), F.desc("keyword_score"), key)
     scored = full.select("query_id", key, F.round(score, 9).alias("keyword_score"), match.alias("resource_match_score"), "chunk_index")
     return scored.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= k).drop("chunk_index")
@@ -284,15 +293,23 @@ def ranked(candidates: DataFrame, top_k: int, least: float = 0.0, key: str = "ch
     return candidates.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float = 0.0, rerank_n: int = 50, vector: str = "vector") -> DataFrame:
-    """The whole search: understood queries (query_id, query[, vector]) against chunks (chunk_id, chunk_text, title, category, chunk_index[, vector])."""
+def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float = 0.0, rerank_n: int = 50, vector: str = "vector", mode: str = "hybrid") -> DataFrame:
+    """The whole search: understood queries (query_id, query[, vector]) against chunks (chunk_id, chunk_text, title, chunk_index[, category, author, tags, vector]).
+
+    mode: hybrid, vector or keyword; without vectors, hybrid is keyword. least: the score that a result has at least. What a search may see is said
+    beforehand, by gates.visible().
+    """
+    if mode not in ("hybrid", "vector", "keyword"):
+        raise ValueError(f"no mode {mode}")
     asked = kept(understood(queries), "queries")
-    k = retrieval_k(top_k)
-    keyword = keyword_top(chunks, asked, k)
-    if vector in chunks.columns and "vector" in queries.columns:
+    k = retrieval_k(top_k, hybrid=mode == "hybrid")
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    none = lambda columns: chunks.sparkSession.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {kind}, {columns}")
+    keyword = keyword_top(chunks, asked, k) if mode != "vector" else none("keyword_score double, resource_match_score double, keyword_rank int")
+    if mode != "keyword" and vector in chunks.columns and "vector" in queries.columns:
         found = vector_top(chunks, asked, k, vector=vector)
     else:
-        found = keyword.select("query_id", "chunk_id", F.lit(None).cast("double").alias("vector_score"), F.lit(None).cast("int").alias("vector_rank")).limit(0)
+        found = none("vector_score double, vector_rank int")
     merged = kept(fused_by_rank(found, keyword), "fused")
     wording = asked.select("query_id", F.col("normalised").alias("query"), "intent")
     # Texts of candidates are read once for their features, and once more for the snippets of the final ranks.

@@ -79,6 +79,40 @@ def entity_search(spark, sf_dir):
     return G.similar_names(names, queries, 5).select("query_id", "entity_key", F.round("score", 6).alias("score"), "rank")
 
 
+def _graph_queries(spark, sf_dir):
+    return table(spark, sf_dir, "part").where("p_partkey % 50 = 0").selectExpr("p_partkey as query_id", "case when p_partkey % 100 = 0 then substring(p_type, 3, 6) else concat(substring(p_name, 1, 7), ' x') end as query")
+
+
+def _links(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as relationship_id", "p_partkey % 40 as resource_id", "upper(replace(substring(p_type, 1, 12), ' ', '_')) as relationship_type", "case when p_partkey % 4 = 0 then null else p_type end as description", "p_name as source_name", "p_brand as target_name"
+    )
+
+
+def _abstracts(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey as summary_id", "p_partkey % 40 as resource_id", "concat(p_name, ' ', p_type) as summary_text")
+
+
+def relationship_search(spark, sf_dir):
+    """Relationships that a query names, by description, type or either end."""
+    return G.relationship_top(_links(spark, sf_dir), _graph_queries(spark, sf_dir), 5).select("query_id", "relationship_id", F.round("score", 6).alias("score"), "rank")
+
+
+def summary_search(spark, sf_dir):
+    return G.summary_top(_abstracts(spark, sf_dir), _graph_queries(spark, sf_dir), 5).select("query_id", "summary_id", F.round("score", 6).alias("score"), "rank")
+
+
+def graph_search(spark, sf_dir):
+    """All of a graph search: entities, relationships, summaries, and the first chunks of the resources that they are of."""
+    part = table(spark, sf_dir, "part")
+    nodes = part.selectExpr("p_name as entity_key", "p_name as name", "p_partkey % 40 as resource_id")
+    chunks = part.selectExpr("p_partkey as chunk_id", "p_partkey % 40 as resource_id", "p_size as chunk_index", "p_type as chunk_text")
+    found = G.graph_search(nodes, _links(spark, sf_dir), _abstracts(spark, sf_dir), chunks, _graph_queries(spark, sf_dir), 5)
+    ids = {"entities": "entity_key", "relationships": "relationship_id", "summaries": "summary_id", "chunks": "chunk_id"}
+    rows = [found[kind].select("query_id", F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), "rank").distinct() for kind, key in ids.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def related_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("resource_id"), (F.col("doc_id") % 13).alias("chunk_index"), F.col("text").alias("chunk_text"))
     return G.related_chunks(docs, docs.where("resource_id = 'src3'"), docs.where("chunk_id % 50 = 7"), 60)
@@ -175,7 +209,24 @@ SPARSE = "sparse as (select distinct p_partkey % 4 as resource_id, concat('n', c
 REACH = f"""{SPARSE}, links as (select resource_id, a, b from sparse union select resource_id, b, a from sparse),
 reach as (select resource_id, a, a as b from links union select r.resource_id, r.a, l.b from reach r join links l on l.resource_id = r.resource_id and l.a = r.b),
 labels as (select resource_id, a as entity_key, min(b) as community from reach group by all)"""
+SIMILAR = "coalesce(len(list_intersect({0}, {1})) / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
+GRAPH = f"""gq as (select p_partkey as query_id, case when p_partkey % 100 = 0 then substring(p_type, 3, 6) else substring(p_name, 1, 7) || ' x' end as query from part where p_partkey % 50 = 0),
+  gl as (select p_partkey as relationship_id, p_partkey % 40 as resource_id, upper(replace(substring(p_type, 1, 12), ' ', '_')) as kind, case when p_partkey % 4 = 0 then null else p_type end as description, p_name as source, p_brand as target from part),
+  rels as (select query_id, relationship_id, resource_id, {SIMILAR.format(TRI.format("coalesce(description, '')"), TRI.format("query"))} as sim, {SIMILAR.format(TRI.format("kind"), TRI.format("query"))} as kind_sim,
+    contains(lower(coalesce(description, '')), lower(query)) as d, contains(lower(kind), lower(query)) as t, contains(lower(source), lower(query)) or contains(lower(target), lower(query)) as e from gl, gq),
+  rel_scored as (select query_id, relationship_id, resource_id, greatest(sim, kind_sim, case when d then 1 else 0 end, case when e then 0.8 else 0 end) as score from rels where sim > 0.1 or d or t or e),
+  rel_top as (select * from (select *, cast(row_number() over (partition by query_id order by score desc, relationship_id) as int) as rank from rel_scored) where rank <= 5),
+  sums as (select query_id, p_partkey as summary_id, p_partkey % 40 as resource_id, {SIMILAR.format(TRI.format("(p_name || ' ' || p_type)"), TRI.format("query"))} as score, contains(lower(p_name || ' ' || p_type), lower(query)) as d from part, gq),
+  sum_top as (select * from (select *, cast(row_number() over (partition by query_id order by score desc, summary_id) as int) as rank from sums where score > 0.1 or d) where rank <= 5),
+  ents as (select query_id, entity_key, greatest({SIMILAR.format(TRI.format("entity_key"), TRI.format("query"))}, case when contains(lower(entity_key), lower(query)) then 1 else 0 end) as score from (select distinct p_name as entity_key from part), gq),
+  ent_top as (select * from (select *, cast(row_number() over (partition by query_id order by score desc, entity_key) as int) as rank from ents where score > 0.1) where rank <= 5),
+  near as (select query_id, p_partkey % 40 as resource_id from ent_top join part on p_name = entity_key union select query_id, resource_id from rel_top union select query_id, resource_id from sum_top),
+  chunk_top as (select * from (select query_id, p_partkey as chunk_id, cast(row_number() over (partition by query_id order by p_size, p_partkey) as int) as rank from near join part on p_partkey % 40 = resource_id) where rank <= 5)"""
 ORACLES = {
+    "relationship_search": f"with {GRAPH} select query_id, relationship_id, round(score, 6) as score, rank from rel_top",
+    "summary_search": f"with {GRAPH} select query_id, summary_id, round(score, 6) as score, rank from sum_top",
+    "graph_search": f"""with {GRAPH} select query_id, 'entities' as kind, entity_key as id, rank from ent_top union all select query_id, 'relationships', cast(relationship_id as varchar), rank from rel_top
+      union all select query_id, 'summaries', cast(summary_id as varchar), rank from sum_top union all select query_id, 'chunks', cast(chunk_id as varchar), rank from chunk_top""",
     "graph_entities": f"with {MENTIONS} select * from entities",
     "graph_relationships": f"""with {MENTIONS}, edges as (select l_orderkey % 20 as resource_id, l_orderkey as chunk_id, {KEY.format(MENTION)} as source_key, 'part ' || (l_suppkey % 45) as target_key,
       case when l_tax > 0.04 then 'SOLD_WITH' else 'RELATED_TO' end as relationship_type, l_tax as confidence from lineitem)

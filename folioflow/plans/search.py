@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.functions import vectors as V
+from folioflow.operators import gates as G
 from folioflow.operators import search as S
 from folioflow.sources.scratch import kept
 
-from .roles import table
+from .roles import resource_tags, role, table, with_roles
 
 K = 10
 
@@ -37,11 +38,50 @@ def vector_search(spark, sf_dir):
 
 
 def vector_search_in_space(spark, sf_dir):
-    """The same inside one embedding space, for one query: a filter, a cosine, a top-k."""
-    one = _vectors(spark, sf_dir).where("chunk_id = 0").select(F.col("vector").alias("asked"))
-    space = _vectors(spark, sf_dir).where("label = 3")
-    scored = space.crossJoin(F.broadcast(one)).select("chunk_id", V.cosine(F.col("vector"), F.col("asked")).alias("score"))
-    return scored.orderBy(F.desc("score"), "chunk_id").limit(K).select("chunk_id", F.round("score", 6).alias("score"))
+    """The same queries inside one embedding space, whose name is the label."""
+    named = _vectors(spark, sf_dir).withColumns({"embedding_provider": F.lit("given"), "embedding_model": F.concat(F.lit("m"), "label"), "embedding_version": F.lit("1"), "embedding_dimension": F.size("vector")})
+    space = G.in_space(named, "given", "m3", "1", 64)
+    return S.vector_top(space, _asked_vectors(spark, sf_dir), K).select("query_id", "chunk_id", F.round("vector_score", 6).alias("score"), "vector_rank")
+
+
+#: What the filtered searches ask for, beside resources that are ready and open.
+ASKED_TAGS, ASKED_CATEGORY = ("small", "steel", "navy"), "GERMANY"
+
+
+def _resources(spark, sf_dir):
+    return role(spark, sf_dir, "resources").join(F.broadcast(role(spark, sf_dir, "categories").select("category_id", "category_name")), "category_id", "left")
+
+
+def vector_search_filtered(spark, sf_dir):
+    """Vectors of resources that are ready, open, and have any of the tags; a vector belongs to the resource of its number."""
+    vectors = _vectors(spark, sf_dir).withColumn("resource_id", F.col("chunk_id") + 1)
+    seen = G.visible(vectors, _resources(spark, sf_dir), G.Filters(tags=ASKED_TAGS), resource_tags(spark, sf_dir))
+    return S.vector_top(seen, _asked_vectors(spark, sf_dir), K).select("query_id", "chunk_id", F.round("vector_score", 6).alias("score"), "vector_rank")
+
+
+def _named_chunks(spark, sf_dir):
+    """Parts as chunks without a text, so that only names match."""
+    tags = F.lower("description").alias("tags")
+    return _resources(spark, sf_dir).select("resource_id", F.col("resource_id").alias("chunk_id"), F.lit("").alias("chunk_text"), "title", F.col("publisher").alias("author"), F.col("category_name").alias("category"), tags, (F.col("resource_id") % 7).alias("chunk_index"))
+
+
+def _name_queries(spark, sf_dir):
+    """Letters from the middle of a name, a brand, or a category, inside words as well."""
+    part = table(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    wording = "case p_partkey % 4 when 0 then substring(p_name, 3, 7) when 1 then p_brand when 2 then p_name else substring(lower(p_type), 2, 8) end"
+    return part.selectExpr("p_partkey as query_id", f"{wording} as normalised", "'title_lookup' as intent")
+
+
+def keyword_search_by_names(spark, sf_dir):
+    """Title, author, category and tags, with their boosts, over ready and open resources."""
+    seen = G.visible(_named_chunks(spark, sf_dir), _resources(spark, sf_dir))
+    return S.keyword_top(seen, _name_queries(spark, sf_dir), K).select("query_id", "chunk_id", "keyword_score", "resource_match_score", "keyword_rank")
+
+
+def keyword_search_filtered(spark, sf_dir):
+    """The same in one category."""
+    seen = G.visible(_named_chunks(spark, sf_dir), _resources(spark, sf_dir), G.Filters(category=ASKED_CATEGORY))
+    return S.keyword_top(seen, _name_queries(spark, sf_dir), K).select("query_id", "chunk_id", "keyword_score", "resource_match_score", "keyword_rank")
 
 
 def query_understanding(spark, sf_dir):
@@ -55,14 +95,11 @@ def keyword_search(spark, sf_dir):
 
 
 def _two_lists(spark, sf_dir):
+    """Two lists of the same queries: by whole vectors, and by their first eight numbers."""
     vector = S.vector_top(_vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), K)
-    # A second list of the same queries, by the first number of the vector.
-    sides = _vectors(spark, sf_dir).select("chunk_id", F.col("vector")[0].cast("double").alias("side"))
-    from pyspark.sql import Window
-
-    pairs = sides.crossJoin(F.broadcast(_asked_vectors(spark, sf_dir).select("query_id", F.col("vector")[0].cast("double").alias("asked"))))
-    nearest = pairs.withColumn("keyword_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.abs(F.col("side") - F.col("asked")), "chunk_id"))).where(f"keyword_rank <= {K}")
-    return vector, nearest.select("query_id", "chunk_id", (1 / (1 + F.abs(F.col("side") - F.col("asked")))).alias("keyword_score"), (F.col("chunk_id") % 3).cast("double").alias("resource_match_score"), "keyword_rank", (F.col("chunk_id") % 7 == 0).alias("exact_phrase_match"))
+    head = lambda rows: rows.withColumn("vector", F.slice("vector", 1, 8))
+    other = S.vector_top(head(_vectors(spark, sf_dir)), head(_asked_vectors(spark, sf_dir)), K)
+    return vector, other.select("query_id", "chunk_id", F.col("vector_score").alias("keyword_score"), (F.col("chunk_id") % 3).cast("double").alias("resource_match_score"), F.col("vector_rank").alias("keyword_rank"), (F.col("chunk_id") % 7 == 0).alias("exact_phrase_match"))
 
 
 def fusion_by_rank(spark, sf_dir):
@@ -101,13 +138,29 @@ def relevance_labels(spark, sf_dir):
 COSINE = "list_cosine_similarity(cast({0} as double[]), cast({1} as double[]))"
 RANKED = f"""vector_top as (select * from (select q.vec_id as query_id, e.vec_id as chunk_id, {COSINE.format("e.embedding", "q.embedding")} as vector_score,
   cast(row_number() over (partition by q.vec_id order by {COSINE.format("e.embedding", "q.embedding")} desc, e.vec_id) as int) as vector_rank from embeddings e, embeddings q where q.vec_id % 50 = 0) where vector_rank <= {K})"""
-LISTS = f"""{RANKED}, keyword_top as (select query_id, chunk_id, 1 / (1 + gap) as keyword_score, cast(chunk_id % 3 as double) as resource_match_score, keyword_rank, chunk_id % 7 = 0 as exact from (
-  select q.vec_id as query_id, e.vec_id as chunk_id, abs(cast(e.embedding[1] as double) - cast(q.embedding[1] as double)) as gap,
-    cast(row_number() over (partition by q.vec_id order by abs(cast(e.embedding[1] as double) - cast(q.embedding[1] as double)), e.vec_id) as int) as keyword_rank from embeddings e, embeddings q where q.vec_id % 50 = 0) where keyword_rank <= {K})"""
+HEAD = COSINE.format("e.embedding[1:8]", "q.embedding[1:8]")
+LISTS = f"""{RANKED}, keyword_top as (select query_id, chunk_id, score as keyword_score, cast(chunk_id % 3 as double) as resource_match_score, keyword_rank, chunk_id % 7 = 0 as exact from (
+  select q.vec_id as query_id, e.vec_id as chunk_id, {HEAD} as score, cast(row_number() over (partition by q.vec_id order by {HEAD} desc, e.vec_id) as int) as keyword_rank
+  from embeddings e, embeddings q where q.vec_id % 50 = 0) where keyword_rank <= {K})"""
+OPEN = "select r.*, c.category_name from resources r left join categories c using (category_id) where r.rag_enabled and r.ingestion_status = 'READY'"
+BY_NAMES = """, seen as ({open}), asked as (select p_partkey as query_id, lower(case p_partkey % 4 when 0 then substring(p_name, 3, 7) when 1 then p_brand when 2 then p_name else substring(lower(p_type), 2, 8) end) as phrase from part where p_partkey % 50 = 0),
+  told as (select query_id, resource_id as chunk_id, resource_id % 7 as chunk_index, lower(title) = phrase as same, contains(lower(title), phrase) as t, contains(lower(publisher), phrase) as a, contains(lower(coalesce(category_name, '')), phrase) as c, contains(lower(description), phrase) as d from seen, asked),
+  scored as (select query_id, chunk_id, chunk_index, 10.0 * cast(same as int) + 5 * cast(t as int) + 3 * cast(a as int) + 2 * cast(c as int) + 2 * cast(d as int) as s, case when same then 2.0 when t then 1.0 else 0.0 end as m from told where t or a or c or d),
+  ranked as (select *, cast(row_number() over (partition by query_id order by m desc, case when m > 0 then chunk_index else 0 end, s desc, chunk_id) as int) as keyword_rank from scored)
+  select query_id, chunk_id, cast(s as double) as keyword_score, cast(m as double) as resource_match_score, keyword_rank from ranked where keyword_rank <= {k}"""
 PART = "case when max({0}) over w > min({0}) over w then ({0} - min({0}) over w) / (max({0}) over w - min({0}) over w) else cast({0} > 0 as double) end"
 ORACLES = {
     "vector_search": f"with {RANKED} select query_id, chunk_id, round(vector_score, 6) as score, vector_rank from vector_top",
-    "vector_search_in_space": f"select e.vec_id as chunk_id, round({COSINE.format('e.embedding', 'q.embedding')}, 6) as score from embeddings e, embeddings q where q.vec_id = 0 and e.label = 3 order by {COSINE.format('e.embedding', 'q.embedding')} desc, e.vec_id limit {K}",
+    "vector_search_in_space": f"""select query_id, chunk_id, round(score, 6) as score, vector_rank from (select q.vec_id as query_id, e.vec_id as chunk_id, {COSINE.format("e.embedding", "q.embedding")} as score,
+      cast(row_number() over (partition by q.vec_id order by {COSINE.format("e.embedding", "q.embedding")} desc, e.vec_id) as int) as vector_rank from embeddings e, embeddings q where q.vec_id % 50 = 0 and e.label = 3) where vector_rank <= {K}""",
+    "vector_search_filtered": with_roles(
+        f""", seen as ({OPEN} and exists (select 1 from resource_tags t where t.resource_id = r.resource_id and t.tag_name in {ASKED_TAGS}))
+      select query_id, chunk_id, round(score, 6) as score, vector_rank from (select q.vec_id as query_id, e.vec_id as chunk_id, {COSINE.format("e.embedding", "q.embedding")} as score,
+      cast(row_number() over (partition by q.vec_id order by {COSINE.format("e.embedding", "q.embedding")} desc, e.vec_id) as int) as vector_rank from embeddings e join seen on seen.resource_id = e.vec_id + 1, embeddings q where q.vec_id % 50 = 0) where vector_rank <= {K}""",
+        "resources", "categories", "resource_tags",
+    ),
+    "keyword_search_by_names": with_roles(BY_NAMES.format(open=OPEN, k=K), "resources", "categories"),
+    "keyword_search_filtered": with_roles(BY_NAMES.format(open=f"{OPEN} and category_name = '{ASKED_CATEGORY}'", k=K), "resources", "categories"),
     "fusion_by_rank": f"""with {LISTS} select query_id, chunk_id, vector_rank, keyword_rank, round(coalesce(0.7 / (60 + vector_rank), 0) + coalesce(0.3 / (60 + keyword_rank), 0) + coalesce(cast(exact as double), 0), 9) as score
       from vector_top full join keyword_top using (query_id, chunk_id)""",
     "fusion_by_score": f"""with {LISTS}, v as (select *, {PART.format("vector_score")} as part from vector_top window w as (partition by query_id)), k as (select *, {PART.format("keyword_score")} as part from keyword_top window w as (partition by query_id)),
