@@ -45,7 +45,7 @@ def vector_search_in_space(spark, sf_dir):
 
 
 #: What the filtered searches ask for, beside resources that are ready and open.
-ASKED_TAGS, ASKED_CATEGORY = ("small", "steel", "navy"), "GERMANY"
+ASKED_TAGS, ASKED_CATEGORY = ("small", "steel", "navy"), "NATION_7"
 
 
 def _resources(spark, sf_dir):
