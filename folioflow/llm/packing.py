@@ -38,8 +38,8 @@ TOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 ENCODE_TEXTS = 16
 #: Lengths over this share of the capacity are large; groups of equal cardinality they are cut into.
 LARGE, GROUPS = 1 / 8, 48
-#: Pieces of one length are ranked in buckets of about this many.
-BUCKET_ROWS = 100_000
+#: Pieces of one length are ranked in buckets of about this many, and in this many buckets at least.
+BUCKET_ROWS, LEAST_BUCKETS = 100_000, 32
 
 
 class Recent:
@@ -375,8 +375,8 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, large: float = LARGE, group
 
 def _ranked(sized: DataFrame, counts: dict[int, int], capacity: int, large: float, groups: int, order: tuple[str, ...]) -> DataFrame:
     where = places(pack_histogram(counts, capacity, large, groups))
-    # At most `capacity` rows, and of the bases no more than that and one for each BUCKET_ROWS pieces.
-    buckets = sized.sparkSession.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, __buckets long")
+    # At most `capacity` rows, and of the bases no more than LEAST_BUCKETS times that and one for each BUCKET_ROWS pieces.
+    buckets = sized.sparkSession.createDataFrame([(k, max(LEAST_BUCKETS, -(-n // BUCKET_ROWS))) for k, n in counts.items()], "length long, __buckets long")
     dealt = sized.join(F.broadcast(buckets), "length")
     bucketed = dealt.select(*sized.columns, F.pmod(F.xxhash64(*order), F.col("__buckets")).cast("int").alias("__bucket"))
     sums = bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
