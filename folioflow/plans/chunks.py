@@ -35,8 +35,8 @@ def text_measures(spark, sf_dir):
 
 
 def text_cleaned(spark, sf_dir):
-    """Cleaned chunk text, display text, line key of the first line."""
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(T.cleaned_chunk("text"), 256).alias("cleaned"), F.length(T.display("text")).alias("display_chars"), T.line_key(F.substring_index("text", "\n", 1)).alias("first_line"))
+    """Cleaned chunk text, display text, keys of all lines."""
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(T.cleaned_chunk("text"), 256).alias("cleaned"), F.length(T.display("text")).alias("display_chars"), F.sha2(F.array_join(F.transform(F.split("text", "\n", -1), T.line_key), "\n"), 256).alias("line_keys"))
 
 
 def search_terms(spark, sf_dir):
@@ -125,7 +125,7 @@ ORACLES = {
       {TABLE_HEAVY.format("text")} as numeric_table, list_bool_or(list_transform({_list(K.BOILERPLATE)}, lambda p: contains(lower(text), p))) as boilerplate from documents""",
     "text_cleaned": r"""select doc_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '(?i)\[Page\s+\d+\]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) as cleaned,
       cast(length(trim(regexp_replace(regexp_replace(text, '(?i)\[Page\s+\d+\]', ' ', 'g'), '\s+', ' ', 'g'))) as int) as display_chars,
-      lower(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g'))) as first_line from documents""",
+      sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), chr(10))) as line_keys from documents""",
     "search_terms": rf"""select conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda w: lower(trim(w, '''-'))),
       lambda w: length(w) >= 3 and not list_contains({STOP}, w)), lambda w: coalesce(element_at(map({_list(T.ALIASES)}, {_list(T.ALIASES.values())}), w)[1], w)))), ' ') as terms,
       cast(length(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda w: lower(trim(w, '''-'))), ' ')) as int) as normalised_chars from conversations""",

@@ -11,10 +11,12 @@ _fallback: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only on a local master where that is unset, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _fallback.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="shared-"))
 
 

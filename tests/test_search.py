@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +114,29 @@ def test_ranking_drops_low_scores(spark):
 def test_term_match(spark):
     df = spark.createDataFrame([(["golden", "rivers"], "Golden Rivers"), (["golden"], "Golden Gate Bridge Park"), (["x"], "y")], "q array<string>, t string")
     assert [r[0] for r in df.select(S.term_match(F.col("q"), F.col("t"))).collect()] == [2.0, 1.0, 0.0]
+
+
+def test_ci_metrics_as_tab_separated_values(spark, tmp_path):
+    from folioflow.sources import web
+
+    report = '{"component": {"key": "shop", "measures": [{"metric": "coverage", "value": "87.5"}, {"metric": "bugs", "value": "3"}]}}'
+    rows = web.ci_metrics(spark.createDataFrame([(report,), ("no json",), (None,)], "report string"))
+    web.write_tsv(rows.coalesce(1), str(tmp_path / "out"))
+    text = next((tmp_path / "out").glob("part-*.csv")).read_text()
+    assert text.splitlines() == ["project\tmetric\tvalue", "shop\tcoverage\t87.5", "shop\tbugs\t3.0"]
+
+
+def test_phrases_inside_values_by_brute_force(spark):
+    import random
+
+    from folioflow.operators.substrings import inside
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abc %_") for _ in range(rng.randrange(n)))
+    values, phrases = [word(14) for _ in range(60)] + [None, ""], [(i, word(6)) for i in range(80)] + [(80, None), (81, "")]
+    found = inside(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(phrases, "query_id int, phrase string"))
+    assert sorted(map(tuple, found.collect())) == sorted({(i, v) for i, p in phrases if p for v in values if v and p in v})
+    like = lambda p: re.compile(".*" + "".join("." if c == "_" else ".*" if c == "%" else c for c in p) + ".*", re.S)
+    found = inside(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(phrases, "query_id int, phrase string"), wildcards=True)
+    got = {tuple(r) for r in found.collect() if r[1]}
+    assert got == {(i, v) for i, p in phrases if p for v in values if v and like(p).fullmatch(v)}
