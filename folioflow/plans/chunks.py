@@ -92,6 +92,8 @@ TABLE_HEAVY = (
     r" or len(regexp_extract_all({0}, '\b[A-Z]{{1,6}}[-_/]?\d{{2,}}\b|\b\d+[A-Z]+[-_/]?\d*\b')) >= 2))"
 )
 STOP = _list(T.STOP_WORDS)
+TERMS = f"""list_transform(list_filter(list_transform(regexp_extract_all({{0}}, '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda w: lower(trim(w, '''-'))),
+  lambda w: length(w) >= 3 and not list_contains({STOP}, w)), lambda w: coalesce(map({_list(T.ALIASES)}, {_list(T.ALIASES.values())})[w], w))"""
 HEADING = r"""(length(l) <= 120 and not regexp_full_match(l, '\p{L}') and (starts_with(l, '#') or (upper(l) = l and lower(l) <> l)
   or (ends_with(l, ':') and len(list_filter(string_split_regex(trim(l, '#: '), '\s+'), lambda w: w <> '')) between 1 and 4 and not regexp_matches(trim(l, '#: '), '[,;?!—]')
     and not (lower(substring(trim(l, '#: '), 1, 1)) = substring(trim(l, '#: '), 1, 1) and upper(substring(trim(l, '#: '), 1, 1)) <> substring(trim(l, '#: '), 1, 1)))))"""
@@ -126,9 +128,13 @@ ORACLES = {
     "text_cleaned": r"""select doc_id, sha256(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '(?i)\[Page\s+\d+\]', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))) as cleaned,
       cast(length(trim(regexp_replace(regexp_replace(text, '(?i)\[Page\s+\d+\]', ' ', 'g'), '\s+', ' ', 'g'))) as int) as display_chars,
       sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), chr(10))) as line_keys from documents""",
-    "search_terms": rf"""select conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda w: lower(trim(w, '''-'))),
-      lambda w: length(w) >= 3 and not list_contains({STOP}, w)), lambda w: coalesce(element_at(map({_list(T.ALIASES)}, {_list(T.ALIASES.values())}), w)[1], w)))), ' ') as terms,
+    "search_terms": rf"""select conv_id, turn, array_to_string(list_sort(list_distinct({TERMS.format("text")})), ' ') as terms,
       cast(length(array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]*'), lambda w: lower(trim(w, '''-'))), ' ')) as int) as normalised_chars from conversations""",
+    "snippets": r"""with flat as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from documents),
+      placed as (select *, case when regexp_matches(t, '(?i)license|password|theth') then length(regexp_extract(t, '(?is)^(.*?)(license|password|theth)', 1)) + 1 else 0 end as hit from flat),
+      cut as (select *, greatest(hit - 1 - 40, 0) as s, least(greatest(hit - 1 - 40, 0) + 120, length(t)) as e from placed)
+      select doc_id, case when length(t) <= 120 then t when hit > 0 then case when s > 0 then '...' else '' end || trim(substring(t, s + 1, e - s)) || case when e < length(t) then '...' else '' end
+        else rtrim(substring(t, 1, 117)) || '...' end as snippet from cut""",
     "sections": f"with {SECTIONS} select doc_id, cast(section as int) as section, title, cast(len(words) as int) as n_words from sections",
     "recursive_chunks": f"with {CHUNKS} select doc_id, chunk_index, section_title, cast(len(regexp_extract_all(chunk_text, '{TOKEN}')) as int) as token_count, cast(length(chunk_text) as int) as char_count, sha256(chunk_text) as chunk_hash from chunks",
     "chunk_classes": f"with {CLASSES} select quality, searchable, front_matter, boilerplate, count(*) as n, cast(sum(meaningful) as bigint) as meaningful from classes group by all",
@@ -137,4 +143,4 @@ ORACLES = {
       select doc_id, count(*) as chunks, min(token_count) as min_tokens, max(token_count) as max_tokens, round(avg(token_count), 2) as avg_tokens,
         (select string_agg(quality || '=' || n, ',' order by quality) from classes_of c where c.doc_id = k.doc_id) as by_class from kept k group by doc_id""",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "snippets", "semantic_chunks", "recursive_merged")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "semantic_chunks", "recursive_merged")}

@@ -97,6 +97,22 @@ def _matches() -> str:
 ORACLES = {
     "fulltext_index": f"with {PLACED} select w as term, count(distinct doc_id) as docs, count(*) as places, cast(max(p) as int) as last_place from placed group by w",
     "fulltext_matches": f"with {PLACED}, {ASKED} select item_id as query_id, count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id from asked, documents d where {_matches()} group by item_id",
+    "tool_calls": with_roles(
+        """, bolts as (select count(*) as n from resources r where status = 'ACTIVE' and exists (select 1 from resource_tags t where t.resource_id = r.resource_id and tag_name ilike '%bolt%')),
+          firsts as (select count(*) as n from resources r where status = 'ACTIVE' and exists (select 1 from resource_authors a join authors using (author_id) where a.resource_id = r.resource_id and author_name ilike '%#000000001%'))
+        select 'get_books_by_tag' as tool, least(n, 100) as n from bolts union all select 'get_books_by_author', greatest(least(n - 2, 7), 0) from firsts
+        union all select 'get_available_facets', (select count(*) from categories where status = 'ACTIVE') + (select count(*) from authors where status = 'ACTIVE') + (select count(distinct tag_name) from resource_tags)
+          + (select count(distinct language) from resources where language <> '') + (select count(*) from tiers where status = 'ACTIVE')
+        union all select 'search_users', least(count(*), 50) from users where status = 'ACTIVE' and (username ilike '%00012%' or email ilike '%00012%')
+        union all select 'get_categories', greatest(least(count(*) - 20, 10), 0) from categories union all select 'get_resource_detail', count(*) from resources where resource_id = 7""",
+        "resources",
+        "categories",
+        "authors",
+        "users",
+        "tiers",
+        "resource_authors",
+        "resource_tags",
+    ),
     "books_by_genre": with_roles(
         """select resource_id, title, category_name as category, (select string_agg(tag_name, '|' order by tag_name) from resource_tags t where t.resource_id = r.resource_id) as tags
         from (select r.*, category_name from resources r join categories using (category_id) where r.status = 'ACTIVE' and category_name ilike '%nation_2%' order by title, created_at desc, resource_id limit 30 offset 3) r""",
@@ -113,4 +129,4 @@ ORACLES = {
       union all select 'authors', (select count(distinct p_brand) from part where p_brand not in (select p_brand from known)) union all select 'tags', (select count(distinct tag) from tags where tag not in (select p_name from known))
       union all select 'resource_authors', (select count(*) from part) union all select 'resource_tags', (select count(*) from tags) union all select 'resources', (select count(*) from part)""",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "fulltext_search", "tool_calls")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "fulltext_search")}

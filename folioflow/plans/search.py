@@ -10,6 +10,7 @@ from folioflow.operators import gates as G
 from folioflow.operators import search as S
 from folioflow.sources.scratch import kept
 
+from .chunks import COUNT, MEANINGFUL, TABLE_HEAVY, TERMS, VISIBLE, _list
 from .roles import resource_tags, role, table, with_roles
 
 K = 10
@@ -149,7 +150,27 @@ BY_NAMES = """, seen as ({open}), asked as (select p_partkey as query_id, lower(
   ranked as (select *, cast(row_number() over (partition by query_id order by m desc, case when m > 0 then chunk_index else 0 end, s desc, chunk_id) as int) as keyword_rank from scored)
   select query_id, chunk_id, cast(s as double) as keyword_score, cast(m as double) as resource_match_score, keyword_rank from ranked where keyword_rank <= {k}"""
 PART = "case when max({0}) over w > min({0}) over w then ({0} - min({0}) over w) / (max({0}) over w - min({0}) over w) else cast({0} > 0 as double) end"
+FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+SQL_QUOTE = S.QUOTE.replace("'", "''")
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+# Each run of letters, quotes and hyphens is a word that may be misspelt as a whole, in any of three cases.
+RESPELT = f"""trim(array_to_string(list_transform(regexp_extract_all({{0}}, '[A-Za-z''-]+|[^A-Za-z''-]+'), lambda w: case when not list_contains({_list(T.ALIASES)}, lower(w)) then w
+  when w = upper(w) then upper({{1}}) when w = upper(w[1]) || lower(w[2:]) then upper({{1}}[1]) || {{1}}[2:] else {{1}} end), ''))""".replace("{1}", f"map({_list(T.ALIASES)}, {_list(T.ALIASES.values())})[lower(w)]")
 ORACLES = {
+    "query_understanding": rf"""with asked as (select conv_id, turn, {FLAT} as original from conversations where role = 'user'), quoted as (select *, regexp_matches(original, '{SQL_QUOTE}') as q from asked),
+      candidates as (select *, case when q then {STRIP.format(f"regexp_extract(original, '{SQL_QUOTE}', 1)")} else original end as candidate from quoted),
+      bare as (select *, {STRIP.format(f"regexp_replace(candidate, '{S.QUESTION_PREFIX}', '')")} as unasked from candidates),
+      clean as (select *, coalesce(nullif({STRIP.format(f"regexp_replace(unasked, '{S.SUBJECT_PREFIX}', '')")}, ''), nullif(unasked, ''), candidate) as cleaned from bare),
+      spelt as (select *, {RESPELT.format("cleaned")} as spelt from clean),
+      told as (select *, {TERMS.format("spelt")} as terms, len(list_filter(string_split_regex(spelt, '\s+'), lambda w: w <> '')) as n_words, len(regexp_extract_all(spelt, '[,;:.!?]')) as marks from spelt)
+      select conv_id, turn, sha256(coalesce(nullif(spelt, ''), original)) as normalised, case when q or (n_words >= 8 and marks >= 2) then 'exact_quote' when regexp_matches(original, '{S.SUMMARY}') then 'summary_request'
+        when regexp_matches(original, '{S.QUESTION}') or ends_with(original, '?') then 'factual_question' when len(list_distinct(terms)) between 1 and 4 then 'title_lookup' else 'broad_document_query' end as intent, cast(len(terms) as int) as n_terms from told""",
+    "quality_decisions": rf"""with flat as (select doc_id, {FLAT} as t, trim(regexp_replace(regexp_replace(text, '(?i)\[Page\s+\d+\]', ' ', 'g'), '\s+', ' ', 'g')) as shown from documents),
+      measured as (select doc_id, {MEANINGFUL.format("t")} as n, list_bool_or(list_transform({_list(S.RESULT_BOILERPLATE)}, lambda p: contains(lower(t), p))) as phrase, contains(lower(t), '[page') and {MEANINGFUL.format("shown")} < 5 as marker,
+        coalesce({COUNT.format("t", r"\p{L}")} / {VISIBLE.format("t")} < 0.45, false) and not {TABLE_HEAVY.format("t")} as poor,
+        coalesce(list_sum(list_transform({_list(T.MOJIBAKE)}, lambda m: (length(t) - length(replace(t, m, ''))) / length(m))) / {VISIBLE.format("t")} > 0.08, false) as broken from flat),
+      told as (select doc_id, case when (phrase and n < 60) or marker then 'short_boilerplate_text' when doc_id % 9 = 0 then 'resource_metadata_match' when n < 5 or poor or broken then 'low_value_result_text' else 'searchable_text' end as reason from measured)
+      select doc_id as chunk_id, reason in ('resource_metadata_match', 'searchable_text') as keep, reason from told""",
     "vector_search": f"with {RANKED} select query_id, chunk_id, round(vector_score, 6) as score, vector_rank from vector_top",
     "vector_search_in_space": f"""select query_id, chunk_id, round(score, 6) as score, vector_rank from (select q.vec_id as query_id, e.vec_id as chunk_id, {COSINE.format("e.embedding", "q.embedding")} as score,
       cast(row_number() over (partition by q.vec_id order by {COSINE.format("e.embedding", "q.embedding")} desc, e.vec_id) as int) as vector_rank from embeddings e, embeddings q where q.vec_id % 50 = 0 and e.label = 3) where vector_rank <= {K}""",
@@ -168,4 +189,4 @@ ORACLES = {
       select query_id, chunk_id, round(case when exact then greatest(p, 1) else p end + least(m * 0.1, 0.2), 6) as score from plain""",
     "relevance_labels": r"select quality, count(*) as n, round(avg(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))), 4) as avg_tokens, cast(sum(toxic) as bigint) as toxic from documents join labels using (doc_id) group by quality",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "query_understanding", "keyword_search", "quality_decisions", "reranking", "hybrid_search")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "keyword_search", "reranking", "hybrid_search")}
