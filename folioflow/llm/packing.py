@@ -67,8 +67,8 @@ class WordIds:
     pattern makes it, since these recur more than words do; all others are encoded as they are.
     """
 
-    #: Texts whose parts are known to be those of PARTS: nothing that normalisation composes, and no special token.
-    PLAIN = re.compile(r"(?!.*<\|)[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+    #: Texts whose parts are known to be those of PARTS, unless a special token's mark `<|` is there: nothing that normalisation composes.
+    PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
     #: The tokenizer file's own pattern over these characters, after lower-casing.
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
     SUFFIX = "</w>"
@@ -87,14 +87,14 @@ class WordIds:
         self.words, self.parts = Recent(most_words), Recent(most_words // 2)
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of parts, encoded side by side and told apart by the mark of a part's last id."""
         out: list[bytes] = []
         for i in range(0, len(parts), 4096):
             some = parts[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 out += self._each(some)
@@ -106,16 +106,25 @@ class WordIds:
         return out
 
     def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        decoded = [w.decode("utf-8", "replace") for w in words]
-        plain = {w: self.PARTS.findall(t.lower()) for w, t in zip(words, decoded, strict=True) if self.cuts and self.PLAIN.fullmatch(t)}
-        other = [(w, t) for w, t in zip(words, decoded, strict=True) if w not in plain]
-        found = dict(zip((w for w, _ in other), self._each([t for _, t in other]), strict=True))
-        asked = {p for ps in plain.values() for p in ps}
+        plain, cut = self.PLAIN.fullmatch, self.PARTS.findall
+        cuts, other = {}, {}
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            if self.cuts and plain(t) and "<|" not in t:
+                cuts[w] = cut(t.lower())
+            else:
+                other[w] = t
+        found = dict(zip(other, self._each(list(other.values())), strict=True)) if other else {}
+        asked = set(chain.from_iterable(cuts.values()))
         parts = self.parts.found(asked)
-        new = list(asked - parts.keys())
-        parts.update(zip(new, self._parts(new), strict=True))
-        self.parts.update({p: parts[p] for p in asked if len(p) <= CACHE_WORD_BYTES})
-        found.update((w, b"".join([parts[p] for p in ps])) for w, ps in plain.items())
+        new = [p for p in asked if p not in parts]
+        encoded = dict(zip(new, self._parts(new), strict=True))
+        kept = {p: i for p, i in parts.items() if p not in self.parts.new} | encoded
+        self.parts.update({p: i for p, i in kept.items() if len(p) <= CACHE_WORD_BYTES})
+        parts |= encoded
+        get = parts.__getitem__
+        for w, ps in cuts.items():
+            found[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
         return found
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
@@ -124,9 +133,9 @@ class WordIds:
         got = list(map(self.words.new.get, words))
         at = [k for k, g in enumerate(got) if g is None]
         if at:
-            lost = {words[k] for k in at}
-            fresh = self.words.found(lost)
-            fresh |= self._new(list(lost - fresh.keys()))
+            lost, old = {words[k] for k in at}, self.words.old
+            fresh = {w: old[w] for w in lost if w in old} if old else {}
+            fresh |= self._new([w for w in lost if w not in fresh] if fresh else list(lost))
             for k in at:
                 got[k] = fresh[words[k]]
             self.words.update({w: i for w, i in fresh.items() if len(w) <= CACHE_WORD_BYTES})
