@@ -6,22 +6,21 @@ broadcast; vector candidates are cut to k in each batch before anything is shuff
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.sources.scratch import kept
+from folioflow.sources.scratch import kept, shared_folder
 
 from . import fulltext as X
 from .substrings import inside
+from .vector_index import BLOCK_VALUES, best_of_batch, matrix, unit
 
 MOST_K, OVERSAMPLE, RRF_K, VECTOR_WEIGHT, KEYWORD_WEIGHT = 50, 5, 60, 0.7, 0.3
-#: Numbers of query vectors that are broadcast at once.
-BLOCK_VALUES = 1 << 22
 
 # What a query's wording and a result's text are told by.
 QUESTION_PREFIX = r"(?i)^(please\s+)?(can you\s+)?(tell me about|summarize|summary of|what is|who is|give me|show me|find|search for)\s+"
@@ -88,32 +87,30 @@ def vector_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_
     schema = f"query_id {query_kind}, `{key}` {kind}, vector_score double"
     total = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
     count = max(1, -(-total // BLOCK_VALUES))
-    out = None
+    path = f"{shared_folder(chunks.sparkSession)}/scored-{uuid.uuid4().hex}"
     for b in range(count):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).select("query_id", "vector").collect()
-        if not block and out is not None:
-            continue
-        ids = [r["query_id"] for r in block]
-        asked = np.array([r["vector"] for r in block], np.float64)
-        if len(block):
-            asked /= np.maximum(np.linalg.norm(asked, axis=1, keepdims=True), 1e-300)
-
-        def run(batches, ids=ids, asked=asked) -> Iterator[pa.RecordBatch]:
+        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == b).select("query_id", "vector").toArrow()
+        asked = unit(matrix(block.column(1).combine_chunks())) if block.num_rows else None
+        sent = chunks.sparkSession.sparkContext.broadcast((block.column(0).combine_chunks(), asked))
+
+        def run(batches, sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, asked = sent.value
             for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                values = batch.column(1)
-                rows = np.asarray(values.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
-                scores = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)) @ asked.T
-                keep = min(k, len(rows))
-                least = np.partition(scores, len(rows) - keep, axis=0)[len(rows) - keep]
-                row, query = np.nonzero(scores >= least)  # ties at the k-th place stay for the window
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query]), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], ["query_id", key, "vector_score"])
+                if batch.num_rows and asked is not None:
+                    scores = unit(matrix(batch.column(1))) @ asked.T
+                    row, query = best_of_batch(scores, batch.column(0), k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(row)), pa.array(scores[row, query])], ["query_id", key, "vector_score"])
 
         found = chunks.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+        if count == 1:
+            break
+        # The next block's vectors take the place of this one's: no plan holds more than one.
+        found.write.mode("append").parquet(path)
+        sent.destroy()
+    else:
+        found = chunks.sparkSession.read.schema(schema).parquet(path)
     best = Window.partitionBy("query_id").orderBy(F.desc("vector_score"), key)
-    return out.withColumn("vector_rank", F.row_number().over(best)).where(F.col("vector_rank") <= k)
+    return found.withColumn("vector_rank", F.row_number().over(best)).where(F.col("vector_rank") <= k)
 
 
 #: Columns beside a chunk's text that keyword search looks at, and what a query that stands in one adds to the score.

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.functions import vectors as V
 from folioflow.operators import gates as G
 from folioflow.operators import search as S
-from folioflow.sources.scratch import kept
+from folioflow.operators.vector_index import VectorIndex
+from folioflow.sources.scratch import kept, shared_folder
 
 from .chunks import COUNT, MEANINGFUL, TABLE_HEAVY, TERMS, VISIBLE, _list
 from .roles import resource_tags, role, table, with_roles
@@ -45,6 +48,24 @@ def vector_search_in_space(spark, sf_dir):
     return S.vector_top(space, _asked_vectors(spark, sf_dir), K).select("query_id", "chunk_id", F.round("vector_score", 6).alias("score"), "vector_rank")
 
 
+def _vector_index(spark, sf_dir):
+    return VectorIndex.build(_vectors(spark, sf_dir), f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+
+
+def vector_search_indexed(spark, sf_dir):
+    """Every fiftieth vector against all of them, by the nearest cells of a stored index."""
+    index = _vector_index(spark, sf_dir)
+    return index.top(_asked_vectors(spark, sf_dir), K, index.probes()).select("query_id", "chunk_id", F.round("vector_score", 6).alias("score"), "vector_rank")
+
+
+def vector_search_all_cells(spark, sf_dir):
+    """The same by all cells of the index, which has been filled in two turns: what a scan of all vectors gives."""
+    vectors, odd = _vectors(spark, sf_dir), F.col("chunk_id") % 2 == 1
+    index = VectorIndex.build(vectors.where(~odd), f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    index.append(vectors.where(odd))
+    return index.top(_asked_vectors(spark, sf_dir), K).select("query_id", "chunk_id", F.round("vector_score", 6).alias("score"), "vector_rank")
+
+
 #: What the filtered searches ask for, beside resources that are ready and open.
 ASKED_TAGS, ASKED_CATEGORY = ("small", "steel", "navy"), "NATION_7"
 
@@ -189,4 +210,5 @@ ORACLES = {
       select query_id, chunk_id, round(case when exact then greatest(p, 1) else p end + least(m * 0.1, 0.2), 6) as score from plain""",
     "relevance_labels": r"select quality, count(*) as n, round(avg(len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))), 4) as avg_tokens, cast(sum(toxic) as bigint) as toxic from documents join labels using (doc_id) group by quality",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "keyword_search", "reranking", "hybrid_search")}
+ORACLES["vector_search_all_cells"] = ORACLES["vector_search"]
+QUERIES = {name: globals()[name] for name in (*ORACLES, "vector_search_indexed", "keyword_search", "reranking", "hybrid_search")}
