@@ -48,15 +48,6 @@ def index(chunks: DataFrame, key: str = "chunk_id", text: str = "chunk_text", st
     return joined.groupBy(key, "term").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("positions"))
 
 
-def index_of(chunks: DataFrame, asked: DataFrame, key: str = "chunk_id", text: str = "chunk_text", stemmed: bool = True) -> DataFrame:
-    """The part of index() that queries can meet, for chunks that have no stored index: only words with a query's stem are placed."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
-    vocabulary = stems(chunks.select(F.explode(F.array_distinct(words)).alias("word")), "word", stemmed)
-    met = vocabulary.join(F.broadcast(asked.select("term").distinct()), "term")  # the words of a stated block of queries
-    placed = chunks.select(key, F.posexplode(words).alias("position", "word")).join(met, "word")
-    return placed.groupBy(key, "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-
-
 def parsed(queries: DataFrame, phrase: str | None = None, stemmed: bool = True) -> DataFrame:
     """Rows (query_id, alternative, item, negative, place, term) of queries (query_id, query); a query that the column `phrase` marks is one phrase."""
     whole = F.regexp_extract_all("query", F.lit(r'-?"[^"]*"|\S+'), F.lit(0))
@@ -69,24 +60,25 @@ def parsed(queries: DataFrame, phrase: str | None = None, stemmed: bool = True)
     return flat.withColumn("term", _stemmed(F.col("word")) if stemmed else F.col("word")).drop("word")
 
 
-@F.pandas_udf(DoubleType())
-def _cover_density(places: pd.Series, terms: pd.Series) -> pd.Series:
-    """Of rows (array<struct<position, term>>, number of terms): the weight over 1 and the words between, summed up over smallest covers."""
+def cover_density(found: list[tuple[int, str]], n: int) -> float:
+    """Of places (position, term) of n terms: the weight over 1 and the words between, summed up over smallest covers."""
+    found = sorted(found)
+    last: dict[str, int] = {}
+    total, before = 0.0, -1
+    for i, (at, term) in enumerate(found):
+        last[term] = i
+        if len(last) == n and (start := min(last.values())) > before:
+            inside = i - start
+            noise = at - found[start][0] - inside
+            total += WEIGHT / (1 + (noise if noise >= 0 else inside // 2))
+            before = start
+    return total
 
-    def one(found, n: int) -> float:
-        ordered = sorted((p["position"], p["term"]) for p in found)
-        last: dict[str, int] = {}
-        total, before = 0.0, -1
-        for i, (at, term) in enumerate(ordered):
-            last[term] = i
-            if len(last) == n and (start := min(last.values())) > before:
-                inside = i - start
-                noise = at - ordered[start][0] - inside
-                total += WEIGHT / (1 + (noise if noise >= 0 else inside // 2))
-                before = start
-        return total
 
-    return pd.Series([one(f, n) for f, n in zip(places, terms, strict=True)], dtype="float64")
+@F.pandas_udf(DoubleType())
+def _cover_density(places: pd.Series, terms: pd.Series) -> pd.Series:
+    """cover_density() of rows (array<struct<position, term>>, number of terms)."""
+    return pd.Series([cover_density([(p["position"], p["term"]) for p in f], n) for f, n in zip(places, terms, strict=True)], dtype="float64")
 
 
 def search(terms_of: DataFrame, asked: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -98,17 +90,17 @@ def search(terms_of: DataFrame, asked: DataFrame, key: str = "chunk_id") -> Data
     terms_of = kept(terms_of, "terms")
     item_key = ["query_id", "alternative", "item"]
     size = asked.groupBy(*item_key).agg(F.count("*").alias("words"))
-    # Chunks that have all words of an item, told without places; only theirs are looked at further. Queries are a stated block.
-    whole = terms_of.select(key, "term").join(F.broadcast(asked), "term").groupBy(key, *item_key).agg(F.count("*").alias("n"))
-    whole = kept(whole.join(F.broadcast(size), item_key).where("n = words").drop("n"), "whole")
-    met = kept(whole.join(F.broadcast(asked), item_key).join(terms_of, [key, "term"]), "met")
+    # Chunks that have all words of an item, told without places; only theirs are looked at further.
+    whole = terms_of.select(key, "term").join(asked, "term").groupBy(key, *item_key).agg(F.count("*").alias("n"))
+    whole = kept(whole.join(size, item_key).where("n = words").drop("n"), "whole")
+    met = kept(whole.join(asked, item_key).join(terms_of, [key, "term"]), "met")
     # Starts at which an item could stand, by each of its words; where all of them agree, it does.
     starts = met.select(key, *item_key, "negative", "words", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
     items = starts.groupBy(key, *item_key, "negative", "words", "start").agg(F.count("*").alias("n")).where("n = words")
     found = items.select(key, "query_id", "alternative", "item", "negative").distinct()
     need = asked.where("not negative").groupBy("query_id", "alternative").agg(F.count_distinct("item").alias("items"))
     per = found.groupBy(key, "query_id", "alternative").agg(F.count_if(~F.col("negative")).alias("n"), F.count_if(F.col("negative")).alias("bad"))
-    good = per.join(F.broadcast(need), ["query_id", "alternative"]).where("n = items and bad = 0").select(key, "query_id", "alternative")
+    good = per.join(need, ["query_id", "alternative"]).where("n = items and bad = 0").select(key, "query_id", "alternative")
     places = met.where("not negative").join(good, [key, "query_id", "alternative"]).select(key, "query_id", "alternative", "term", F.explode("positions").alias("position")).distinct()
     gathered = places.groupBy(key, "query_id", "alternative").agg(F.collect_list(F.struct("position", "term")).alias("places"), F.count_distinct("term").cast("int").alias("terms"))
     scored = gathered.withColumn("text_score", _cover_density("places", "terms"))

@@ -17,6 +17,7 @@ from folioflow.functions import text as T
 from folioflow.sources.scratch import kept, shared_folder
 
 from . import fulltext as X
+from .fulltext_store import FullTextIndex
 from .substrings import inside
 from .vector_index import BLOCK_VALUES, best_of_batch, matrix, unit
 
@@ -118,24 +119,26 @@ FIELDS = {"title": 5.0, "author": 3.0, "category": 2.0, "tags": 2.0}
 SAME_TITLE, IN_TEXT = 10.0, 1.0
 
 
-def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", index: DataFrame | None = None, wildcards: bool = False) -> DataFrame:
+def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", index: FullTextIndex | None = None, wildcards: bool = False, report: dict | None = None) -> DataFrame:
     """Rows (query_id, key, keyword_score, resource_match_score, keyword_rank): chunks whose text, title, author, category or tags match a query.
 
     chunks: (key, chunk_text, title, chunk_index[, author, category, tags]); queries: (query_id, normalised, intent). Texts match by full-text search,
-    an exact quote as a phrase; index is a stored one, if there is; the other columns where the whole query stands in them, with wildcards as LIKE reads
-    them. The score is the cover density, plus boosts by where the whole query stands.
+    an exact quote as a phrase; index is a stored one of all chunks that may be found, if there is; the other columns where the whole query stands in
+    them, with wildcards as LIKE reads them. The score is the cover density, plus boosts by where the whole query stands.
+
+    The k blocks of greatest bound are read first, and those of chunks that a name brings in; of the others only blocks whose bound reaches the k-th
+    score. report, if given, tells how many blocks that was, of how many.
     """
     fields = {c: by for c, by in FIELDS.items() if c in chunks.columns}
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     asked = kept(queries.select("query_id", F.lower("normalised").alias("phrase")), "asked")
-    parsed = X.parsed(queries.select("query_id", F.col("normalised").alias("query"), (F.col("intent") == "exact_quote").alias("exact")), "exact")
-    held = X.search(X.index_of(chunks, parsed, key) if index is None else index, parsed, key)
+    parsed = kept(X.parsed(queries.select("query_id", F.col("normalised").alias("query"), (F.col("intent") == "exact_quote").alias("exact")), "exact"), "parsed")
+    if index is None:
+        index = FullTextIndex.build(chunks, f"{shared_folder(chunks.sparkSession)}/fulltext-{uuid.uuid4().hex}", key)
     # Phrases and distinct field values meet by a rare piece of the phrase; what a field says is looked up again from there.
     values = chunks.select(key, F.explode(F.array(*(F.struct(F.lit(c).alias("field"), low(c).alias("value")) for c in fields))).alias("f")).select(key, "f.field", "f.value")
     met = kept(inside(values.where("value <> ''").select("value"), asked, wildcards), "met")
-    named = values.join(met, "value").groupBy("query_id", key).agg(*(F.max(F.col("field") == c).alias(f"__{c}") for c in fields))
-    pairs = held.join(named, ["query_id", key], "full")
-    full = pairs.join(chunks.select(key, "chunk_text", "title", "chunk_index"), key).join(asked, "query_id")
+    named = kept(values.join(met, "value").groupBy("query_id", key).agg(*(F.max(F.col("field") == c).alias(f"__{c}") for c in fields)), "named")
     boost = lambda test, by: F.when(test, by).otherwise(0.0)
     same, part = low("title") == F.col("phrase"), F.coalesce(F.col("__title"), F.lit(False))
     score = F.coalesce("text_score", F.lit(0.0)) + boost(same, SAME_TITLE) + boost(F.contains(low("chunk_text"), F.col("phrase")), IN_TEXT)
@@ -143,8 +146,32 @@ def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
         score = score + boost(F.col(f"__{c}"), by)
     match = F.when(same, 2.0).when(part, 1.0).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(F.desc("resource_match_score"), F.when(F.col("resource_match_score") > 0, F.col("chunk_index")).otherwise(0), F.desc("keyword_score"), key)
-    scored = full.select("query_id", key, F.round(score, 9).alias("keyword_score"), match.alias("resource_match_score"), "chunk_index")
-    return scored.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= k).drop("chunk_index")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(chunks.select(key, "chunk_text", "title", "chunk_index"), key).join(asked, "query_id")
+        return full.select("query_id", key, F.round(score, 9).alias("keyword_score"), match.alias("resource_match_score"), "chunk_index")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= k)
+
+    there = kept(index.candidates(parsed), "candidates")
+    bounds = there.groupBy("query_id", "block").agg(F.max("bound").alias("bound"))
+    greatest = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= k).select("query_id", "block")
+    first = kept(greatest.unionByName(named.select("query_id", key).join(index.blocks(), key).select("query_id", "block")).distinct(), "first")
+    read = index.scored(parsed, there.join(first, ["query_id", "block"], "left_semi"))
+    best = kept(ranked(scored(read.join(named, ["query_id", key], "full"))), "best")
+    # A chunk that isn't read matches no title, so it comes behind all that do; it scores its block's bound and IN_TEXT at most.
+    kth = best.where(F.col("keyword_rank") == k).select("query_id", F.when(F.col("resource_match_score") > 0, float("inf")).otherwise(F.col("keyword_score")).alias("kth"))
+    open_ = bounds.join(first, ["query_id", "block"], "left_anti").join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") + IN_TEXT >= F.col("kth") - 1e-6))
+    rest = kept(open_.select("query_id", "block"), "rest")
+    if report is not None:
+        report.update(blocks=bounds.count(), first=first.count(), rest=rest.count())
+    if not rest.isEmpty():
+        more = index.scored(parsed, there.join(rest, ["query_id", "block"], "left_semi"))
+        for c in fields:
+            more = more.withColumn(f"__{c}", F.lit(False))
+        best = ranked(best.drop("keyword_rank").unionByName(scored(more)))
+    return best.drop("chunk_index")
 
 
 def term_match(query_terms: Column, title: Column) -> Column:
@@ -254,7 +281,7 @@ def reranked(candidates: DataFrame, top_n: int, key: str = "chunk_id") -> DataFr
         candidates = candidates.withColumn(c, F.coalesce(F.col(c), default) if c in candidates.columns else default)
     asked = candidates.select("query_id", "query").dropDuplicates(["query_id"])
     asked = asked.select("query_id", F.array_distinct(T.search_terms("query")).alias("__asked"), T.normalised("query").alias("__query"), F.size(T.words("query")).alias("__words"))
-    rows = with_features(candidates, key).join(F.broadcast(kept(asked, "asked")), "query_id")  # one row a query of the block
+    rows = with_features(candidates, key).join(kept(asked, "asked"), "query_id")
     rows = rows.withColumns({"__phrase": (F.col("__query") != "") & F.contains("features.normalised", "__query"), "__penalty": front_penalty()})
     n = F.size("__asked")
     lookup = (F.col("intent") == "title_lookup") | n.between(1, 4)
@@ -290,10 +317,10 @@ def ranked(candidates: DataFrame, top_k: int, least: float = 0.0, key: str = "ch
     return candidates.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float = 0.0, rerank_n: int = 50, vector: str = "vector", mode: str = "hybrid") -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float = 0.0, rerank_n: int = 50, vector: str = "vector", mode: str = "hybrid", index: FullTextIndex | None = None) -> DataFrame:
     """The whole search: understood queries (query_id, query[, vector]) against chunks (chunk_id, chunk_text, title, chunk_index[, category, author, tags, vector]).
 
-    mode: hybrid, vector or keyword; without vectors, hybrid is keyword. least: the score that a result has at least. What a search may see is said
+    mode: hybrid, vector or keyword; without vectors, hybrid is keyword. index: a stored one of the chunks' texts. least: the score that a result has at least. What a search may see is said
     beforehand, by gates.visible().
     """
     if mode not in ("hybrid", "vector", "keyword"):
@@ -302,7 +329,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float
     k = retrieval_k(top_k, hybrid=mode == "hybrid")
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     none = lambda columns: chunks.sparkSession.createDataFrame([], f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {kind}, {columns}")
-    keyword = keyword_top(chunks, asked, k) if mode != "vector" else none("keyword_score double, resource_match_score double, keyword_rank int")
+    keyword = keyword_top(chunks, asked, k, index=index) if mode != "vector" else none("keyword_score double, resource_match_score double, keyword_rank int")
     if mode != "keyword" and vector in chunks.columns and "vector" in queries.columns:
         found = vector_top(chunks, asked, k, vector=vector)
     else:
@@ -312,7 +339,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float
     # Texts of candidates are read once for their features, and once more for the snippets of the final ranks.
     ids = merged.select("chunk_id").distinct()
     features = kept(text_features(chunks.join(ids, "chunk_id", "left_semi")), "features")
-    full = merged.join(features, "chunk_id").join(chunks.select("chunk_id", "title", "chunk_index"), "chunk_id").join(F.broadcast(wording), "query_id")
+    full = merged.join(features, "chunk_id").join(chunks.select("chunk_id", "title", "chunk_index"), "chunk_id").join(wording, "query_id")
     best = kept(ranked(reranked(decided(full).where("keep"), max(top_k, rerank_n)), top_k, least), "ranked")
     out = best.join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
     return out.select("query_id", "rank", "chunk_id", "title", "chunk_index", F.round("score", 6).alias("score"), "vector_score", "keyword_score", "reason", T.snippet(T.display("chunk_text"), "query").alias("snippet"))

@@ -16,6 +16,7 @@ from folioflow.sources import web
 
 from . import chunks as chunk_plans
 from .roles import table
+from .search import document_chunks, text_index
 
 MENTION = "concat('Part-', cast(l_partkey % 40 as varchar(10)))"
 
@@ -141,11 +142,11 @@ def answer_status(spark, sf_dir):
 
 def grounded_answers(spark, sf_dir):
     """Search, context, two models of which one fails, verdicts."""
-    found = S.hybrid(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.concat(F.lit("document "), "doc_id").alias("title"), F.col("source").alias("category"), F.lit(0).alias("chunk_index")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5)
+    found = S.hybrid(document_chunks(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5, index=text_index(spark, sf_dir))
     asked = S.understood(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).select("query_id", F.col("normalised").alias("query"), "intent")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"))
     pages = {c: F.lit(None).cast("int") for c in ("page_start", "page_end")} | {"section_title": F.lit(None).cast("string")}
-    results = found.select("query_id", "rank", "chunk_id", "title", "chunk_index").join(docs, "chunk_id").join(F.broadcast(asked), "query_id").withColumns(pages)
+    results = found.select("query_id", "rank", "chunk_id", "title", "chunk_index").join(docs, "chunk_id").join(asked, "query_id").withColumns(pages)
     contexts = A.packed_context(results, 5, 4000, 900)
 
     def broken(prompts):

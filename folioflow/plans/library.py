@@ -9,6 +9,7 @@ from folioflow.operators import registration as G
 from folioflow.operators import tools as L
 
 from .roles import resource_authors, resource_tags, role, table, with_roles
+from .search import text_index
 
 
 def _docs(spark, sf_dir):
@@ -37,7 +38,7 @@ def fulltext_matches(spark, sf_dir):
 def fulltext_search(spark, sf_dir):
     """Passages as phrases over stems, ranked by cover density."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(True).alias("exact"))
-    return X.search(X.index(_docs(spark, sf_dir)), X.parsed(asked, "exact"))
+    return text_index(spark, sf_dir).matches(X.parsed(asked, "exact"))
 
 
 def _library(spark, sf_dir) -> L.Library:

@@ -10,8 +10,9 @@ from folioflow.functions import text as T
 from folioflow.functions import vectors as V
 from folioflow.operators import gates as G
 from folioflow.operators import search as S
+from folioflow.operators.fulltext_store import FullTextIndex
 from folioflow.operators.vector_index import VectorIndex
-from folioflow.sources.scratch import kept, shared_folder
+from folioflow.sources.scratch import kept, shared_folder, stored
 
 from .chunks import COUNT, MEANINGFUL, TABLE_HEAVY, TERMS, VISIBLE, _list
 from .roles import resource_tags, role, table, with_roles
@@ -27,7 +28,7 @@ def _asked_vectors(spark, sf_dir):
     return _vectors(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
 
 
-def _chunks(spark, sf_dir):
+def document_chunks(spark, sf_dir):
     """Documents as chunks of their own."""
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.concat(F.lit("document "), "doc_id").alias("title"), F.col("source").alias("category"), F.lit(0).alias("chunk_index"))
 
@@ -111,9 +112,16 @@ def query_understanding(spark, sf_dir):
     return S.understood(turns).select("conv_id", "turn", F.sha2("normalised", 256).alias("normalised"), "intent", F.size("terms").alias("n_terms"))
 
 
+def text_index(spark, sf_dir):
+    """The stored index of the documents' texts: built by the first search, and shared by all of them."""
+    docs = document_chunks(spark, sf_dir)
+    folder = stored(spark, "documents-text", docs, lambda f: FullTextIndex.build(docs, f))
+    return FullTextIndex(spark, folder, "chunk_id", docs.schema["chunk_id"].dataType.simpleString())
+
+
 def keyword_search(spark, sf_dir):
     """Benchmark passages that stand in documents, by all of their terms."""
-    return S.keyword_top(_chunks(spark, sf_dir), S.understood(_passages(spark, sf_dir)), K).select("query_id", "chunk_id", F.round("keyword_score", 6).alias("keyword_score"), "resource_match_score", "keyword_rank")
+    return S.keyword_top(document_chunks(spark, sf_dir), S.understood(_passages(spark, sf_dir)), K, index=text_index(spark, sf_dir)).select("query_id", "chunk_id", F.round("keyword_score", 6).alias("keyword_score"), "resource_match_score", "keyword_rank")
 
 
 def _two_lists(spark, sf_dir):
@@ -133,22 +141,22 @@ def fusion_by_score(spark, sf_dir):
 
 
 def quality_decisions(spark, sf_dir):
-    return S.decided(_chunks(spark, sf_dir).withColumn("resource_match_score", F.when(F.col("chunk_id") % 9 == 0, 1.0).otherwise(0.0))).select("chunk_id", "keep", "reason")
+    return S.decided(document_chunks(spark, sf_dir).withColumn("resource_match_score", F.when(F.col("chunk_id") % 9 == 0, 1.0).otherwise(0.0))).select("chunk_id", "keep", "reason")
 
 
 def reranking(spark, sf_dir):
     """Each passage against the documents that hold it, by the rerank formula."""
     asked = S.understood(_passages(spark, sf_dir)).select("query_id", F.col("normalised").alias("query"), "intent")
-    found = kept(S.keyword_top(_chunks(spark, sf_dir), S.understood(_passages(spark, sf_dir)), K), "found").withColumn("score", F.col("keyword_score"))
-    full = found.join(_chunks(spark, sf_dir), "chunk_id").join(F.broadcast(asked), "query_id")
+    found = kept(S.keyword_top(document_chunks(spark, sf_dir), S.understood(_passages(spark, sf_dir)), K, index=text_index(spark, sf_dir)), "found").withColumn("score", F.col("keyword_score"))
+    full = found.join(document_chunks(spark, sf_dir), "chunk_id").join(asked, "query_id")
     return S.ranked(S.reranked(full, K), K).select("query_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"), F.round("score", 6).alias("score"))
 
 
 def hybrid_search(spark, sf_dir):
     """Benchmark passages over documents, from wording to snippets. Vectors are the repeatable stand-in for a model."""
-    chunks = _chunks(spark, sf_dir).withColumn("vector", V.hashed_embedding(F.col("chunk_text"), 32))
+    chunks = document_chunks(spark, sf_dir).withColumn("vector", V.hashed_embedding(F.col("chunk_text"), 32))
     queries = _passages(spark, sf_dir).withColumn("vector", V.hashed_embedding(F.col("query"), 32))
-    return S.hybrid(chunks, queries, K)
+    return S.hybrid(chunks, queries, K, index=text_index(spark, sf_dir))
 
 
 def relevance_labels(spark, sf_dir):

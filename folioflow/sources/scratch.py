@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,26 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, name: str, sources: DataFrame, build: Callable[[str], object]) -> str:
+    """The folder of something that is built from source files once and found again as long as none of them changes.
+
+    build(folder) fills a folder of its own, which gets the lasting name when it is whole; of two builders at once the first to end is kept.
+    """
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    said = []
+    for file in sorted(sources.inputFiles()):
+        state = at(file).getFileSystem(hadoop).getFileStatus(at(file))
+        said.append(f"{file} {state.getLen()} {state.getModificationTime()}")
+    folder = f"{shared_folder(spark)}/{name}-{hashlib.sha256(chr(10).join(said).encode()).hexdigest()[:32]}"
+    files = at(folder).getFileSystem(hadoop)
+    if not files.exists(at(folder)):
+        build(own := f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+        if not files.exists(at(folder)) and not files.rename(at(own), at(folder)):
+            return own
+    return folder
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores, if its files give fewer: a table of one large row group would keep the rest idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
