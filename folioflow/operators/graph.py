@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.sources.scratch import kept
 
+from .components import components
+from .similar_sets import candidates
 from .substrings import inside
 
 LEAST_SIMILARITY = 0.1
@@ -68,33 +70,23 @@ def neighbours(mentions: DataFrame) -> DataFrame:
     return pairs.select("resource_id", "chunk_id", "chunk_index", F.col("name").alias("source"), "target", F.lit("next to").alias("relationship_type"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("double").alias("confidence"))
 
 
-def communities(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Rows (resource_id, entity_key, community): the least name that a name is linked to; names without a link have no row.
-
-    Names take over the least name among their neighbours, then that name's own, until none changes. Each round is written to the shared folder.
-    """
-    both = edges.select("resource_id", F.col("source_key").alias("a"), F.col("target_key").alias("b"))
-    both = kept(both.unionByName(both.select("resource_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = both.groupBy("resource_id", F.col("a").alias("entity_key")).agg(F.least(F.col("a"), F.min("b")).alias("community"))
-    for _ in range(most_rounds):
-        labels = kept(labels, "labels")
-        near = both.join(labels.withColumnsRenamed({"entity_key": "b"}), ["resource_id", "b"]).groupBy("resource_id", F.col("a").alias("entity_key")).agg(F.min("community").alias("near"))
-        nearer = labels.join(near, ["resource_id", "entity_key"]).select("resource_id", "entity_key", F.col("community").alias("was"), F.least("community", "near").alias("to"))
-        jump = labels.select("resource_id", F.col("entity_key").alias("to"), F.col("community").alias("further"))
-        moved = nearer.join(jump, ["resource_id", "to"], "left").select("resource_id", "entity_key", "was", F.least("to", F.coalesce("further", "to")).alias("community"))
-        moved = kept(moved, "labels")
-        if moved.where("was <> community").isEmpty():
-            return moved.drop("was")
-        labels = moved.drop("was")
-    raise RuntimeError(f"communities changed for more than {most_rounds} rounds")
+def communities(edges: DataFrame) -> DataFrame:
+    """Rows (resource_id, entity_key, community): the least name that a name is linked to; names without a link have no row."""
+    links = edges.select("resource_id", F.col("source_key").alias("u"), F.col("target_key").alias("v"))
+    return components(links, ["resource_id"]).select("resource_id", F.col("node").alias("entity_key"), F.col("root").alias("community"))
 
 
 def community_summaries(labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (resource_id, community, entity_count, name, summary) from the first names of each community."""
-    named = labels.join(nodes.select("resource_id", "entity_key", "name"), ["resource_id", "entity_key"])
-    names = F.slice(F.sort_array(F.collect_list("name")), 1, 8)
-    return named.groupBy("resource_id", "community").agg(F.count("*").alias("entity_count"), names.alias("names")).select(
-        "resource_id", "community", "entity_count", F.array_join(F.slice("names", 1, 3), ", ").alias("name"), F.concat(F.lit("Related graph cluster containing "), F.array_join("names", ", "), F.lit(".")).alias("summary")
+    from pyspark.sql import Window
+
+    own = ["resource_id", "community"]
+    named = kept(labels.join(nodes.select("resource_id", "entity_key", "name"), ["resource_id", "entity_key"]), "named")
+    # No more names than a summary has are gathered of a community.
+    first = named.withColumn("__n", F.row_number().over(Window.partitionBy(*own).orderBy("name"))).where("__n <= 8")
+    names = first.groupBy(*own).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    return named.groupBy(*own).agg(F.count("*").alias("entity_count")).join(names, own).select(
+        *own, "entity_count", F.array_join(F.slice("names", 1, 3), ", ").alias("name"), F.concat(F.lit("Related graph cluster containing "), F.array_join("names", ", "), F.lit(".")).alias("summary")
     )
 
 
@@ -113,27 +105,23 @@ def facts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return ent.join(rel, "resource_id", "left").withColumn("relationships", F.coalesce("relationships", F.lit("[]")))
 
 
-def similar_names(nodes: DataFrame, queries: DataFrame, k: int, key: str = "entity_key", name: str = "name") -> DataFrame:
-    """Rows (query_id, key, score, rank): names that contain a query or share more than LEAST_SIMILARITY of its trigrams.
-
-    nodes: distinct (key, name); queries: (query_id, query). Candidates meet by equal trigrams, and where a name holds a query.
-    """
-    from pyspark.sql import Window
+def _holding(values: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """Distinct rows (query_id, key) where a value (key, value) holds the query (query_id, query), in any case of letters."""
+    low = values.select(key, F.lower("value").alias("value"))
+    held = inside(low.select("value"), queries.select("query_id", F.lower("query").alias("phrase")))
+    return low.join(held, "value").select("query_id", key).distinct()
 
-    own = nodes.select(key, F.col(name).alias("__name"), T.trigrams(name).alias("__t"))
-    asked = queries.select("query_id", "query", T.trigrams("query").alias("__q"))
-    pairs = _met(own, asked, key).join(own, key).join(asked, "query_id")
-    contains = F.contains(F.lower("__name"), F.lower("query"))
-    score = F.greatest(T.trigram_similarity(F.col("__t"), F.col("__q")), F.when(contains, 1.0).otherwise(0.0))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return pairs.select("query_id", key, score.alias("score")).where(F.col("score") > LEAST_SIMILARITY).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
+def similar_names(nodes: DataFrame, queries: DataFrame, k: int, key: str = "entity_key", name: str = "name", report: dict | None = None) -> DataFrame:
+    """Rows (query_id, key, score, rank): names that contain a query or share more than LEAST_SIMILARITY of its trigrams.
 
-def _met(own: DataFrame, asked: DataFrame, key: str) -> DataFrame:
-    """Distinct rows (key, query_id) of own (key, __name, __t) and asked (query_id, query, __q) that share a trigram or where the name holds the query."""
-    met = own.select(key, F.explode("__t").alias("t")).join(asked.select("query_id", F.explode("__q").alias("t")), "t").select(key, "query_id")
-    held = inside(own.select(F.lower("__name").alias("value")), asked.select("query_id", F.lower("query").alias("phrase")))
-    return met.unionByName(own.select(key, F.lower("__name").alias("value")).join(held, "value").select(key, "query_id")).distinct()
+    nodes: distinct (key, name); queries: (query_id, query). A name that holds a query scores 1.
+    """
+    values = nodes.select(key, F.col(name).alias("value"))
+    held = kept(_holding(values, queries, key).withColumn("score", F.lit(1.0)), "held")
+    similar = candidates(values, queries, k, LEAST_SIMILARITY, key, known=held, report=report)
+    scored = held.unionByName(similar.select("query_id", key, F.col("similarity").alias("score"))).groupBy("query_id", key).agg(F.max("score").alias("score"))
+    return _best(scored, k, key)
 
 
 def _best(scored: DataFrame, k: int, *order) -> DataFrame:
@@ -148,27 +136,33 @@ def relationship_top(links: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     links: (relationship_id, resource_id, relationship_type, description, source_name, target_name); queries: (query_id, query). A relationship is found by a
     description that is similar to the query, and where the query stands in its description, type or names; ties go by relationship_id.
     """
-    text = F.coalesce(F.col("description"), F.lit(""))
-    own = links.select("relationship_id", text.alias("__name"), T.trigrams(text).alias("__t"))
-    asked = queries.select("query_id", "query", T.trigrams("query").alias("__q"))
-    values = links.select("relationship_id", F.explode(F.array(*(F.lower(c) for c in ("relationship_type", "source_name", "target_name")))).alias("value"))
-    held = values.join(inside(values.select("value"), asked.select("query_id", F.lower("query").alias("phrase"))), "value").select("relationship_id", "query_id", F.lit(True).alias("__held"))
-    pairs = _met(own, asked, "relationship_id").withColumn("__held", F.lit(False)).unionByName(held).groupBy("relationship_id", "query_id").agg(F.max("__held").alias("__held"))
-    full = pairs.join(links, "relationship_id").join(asked.select("query_id", "query"), "query_id")
-    similar = T.trigram_similarity(T.trigrams(text), T.trigrams("query"))
-    found = full.where(F.col("__held") | (similar > LEAST_SIMILARITY) | F.contains(F.lower(text), F.lower("query")))
+    key = "relationship_id"
+    texts = links.select(key, F.coalesce("description", F.lit("")).alias("value"))
+    names = links.select(key, F.explode(F.array("relationship_type", "source_name", "target_name")).alias("value"))
+    held = kept(_holding(texts.unionByName(names), queries, key), "held")
     score = relationship_score(F.col("query"), F.col("description"), F.col("relationship_type"), F.col("source_name"), F.col("target_name"))
-    return _best(found.select("query_id", "relationship_id", "resource_id", score.alias("score")), k, "relationship_id")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return pairs.join(links, key).join(queries.select("query_id", "query"), "query_id").select("query_id", key, "resource_id", score.alias("score"))
+
+    known = kept(scored(held), "known")
+    # What is similar by its description may score by its type instead: never more than the type most similar to the query.
+    kinds = links.select(F.col("relationship_type").alias("kind")).where("kind is not null").distinct().select("kind", F.col("kind").alias("value"))
+    floor = candidates(kinds, queries.select("query_id", F.upper("query").alias("query")), 1, 0.0, "kind").groupBy("query_id").agg(F.max("similarity").alias("floor"))
+    similar = candidates(texts, queries, k, LEAST_SIMILARITY, key, floor=floor, known=known)
+    new = similar.select("query_id", key).join(held, ["query_id", key], "left_anti")
+    return _best(known.unionByName(scored(new)), k, key)
 
 
 def summary_top(summaries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rows (query_id, summary_id, resource_id, score, rank): summaries (summary_id, resource_id, summary_text) that are similar to a query or hold it."""
-    own = summaries.select("summary_id", F.col("summary_text").alias("__name"), T.trigrams("summary_text").alias("__t"))
-    asked = queries.select("query_id", "query", T.trigrams("query").alias("__q"))
-    pairs = _met(own, asked, "summary_id").join(own, "summary_id").join(asked, "query_id").join(summaries.select("summary_id", "resource_id"), "summary_id")
-    score = T.trigram_similarity(F.col("__t"), F.col("__q"))
-    found = pairs.where((score > LEAST_SIMILARITY) | F.contains(F.lower("__name"), F.lower("query")))
-    return _best(found.select("query_id", "summary_id", "resource_id", score.alias("score")), k, "summary_id")
+    key = "summary_id"
+    values = summaries.select(key, F.col("summary_text").alias("value"))
+    held = _holding(values, queries, key).join(values, key).join(queries.select("query_id", "query"), "query_id")
+    known = kept(held.select("query_id", key, T.trigram_similarity(T.trigrams("value"), T.trigrams("query")).alias("score")), "held")
+    similar = candidates(values, queries, k, LEAST_SIMILARITY, key, known=known).select("query_id", key, F.col("similarity").alias("score"))
+    found = known.unionByName(similar.join(known, ["query_id", key], "left_anti"))
+    return _best(found.join(summaries.select(key, "resource_id"), key), k, key)
 
 
 def graph_search(nodes: DataFrame, links: DataFrame, summaries: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> dict[str, DataFrame]:
