@@ -117,6 +117,8 @@ def vector_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_
 #: Columns beside a chunk's text that keyword search looks at, and what a query that stands in one adds to the score.
 FIELDS = {"title": 5.0, "author": 3.0, "category": 2.0, "tags": 2.0}
 SAME_TITLE, IN_TEXT = 10.0, 1.0
+#: Blocks of the text index that a query's first turn reads.
+FIRST_BLOCKS = 64
 
 
 def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", index: FullTextIndex | None = None, wildcards: bool = False, report: dict | None = None) -> DataFrame:
@@ -126,7 +128,7 @@ def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
     an exact quote as a phrase; index is a stored one of all chunks that may be found, if there is; the other columns where the whole query stands in
     them, with wildcards as LIKE reads them. The score is the cover density, plus boosts by where the whole query stands.
 
-    The k blocks of greatest bound are read first, and those of chunks that a name brings in; of the others only blocks whose bound reaches the k-th
+    The FIRST_BLOCKS blocks of greatest bound are read first, and those of chunks that a name brings in; of the others only blocks whose bound reaches the k-th
     score. report, if given, tells how many blocks that was, of how many.
     """
     fields = {c: by for c, by in FIELDS.items() if c in chunks.columns}
@@ -156,7 +158,7 @@ def keyword_top(chunks: DataFrame, queries: DataFrame, k: int, key: str = "chunk
 
     there = kept(index.candidates(parsed), "candidates")
     bounds = there.groupBy("query_id", "block").agg(F.max("bound").alias("bound"))
-    greatest = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= k).select("query_id", "block")
+    greatest = bounds.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("n") <= FIRST_BLOCKS).select("query_id", "block")
     first = kept(greatest.unionByName(named.select("query_id", key).join(index.blocks(), key).select("query_id", "block")).distinct(), "first")
     read = index.scored(parsed, there.join(first, ["query_id", "block"], "left_semi"))
     best = kept(ranked(scored(read.join(named, ["query_id", key], "full"))), "best")

@@ -104,6 +104,7 @@ def test_pruned_search_equals_plain(spark, tmp_path, monkeypatch):
     from folioflow.operators import fulltext_store
 
     monkeypatch.setattr(fulltext_store, "BLOCK", 8)
+    monkeypatch.setattr(S, "FIRST_BLOCKS", 4)
     chunks, queries = given()
     c, q = frames(spark, chunks, queries)
     index, report = FullTextIndex.build(c, str(tmp_path / "x")), {}
