@@ -41,7 +41,7 @@ CROWD = 4096
 #: Bits of the table of live anchors, as a power of two: 8 MB. Slices of it that are made by one task each.
 TABLE_BITS, SLICE_BITS = 26, 16
 #: Bytes of text to a bucket of records, buckets at least and at most; bytes of runs that are sorted together.
-BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, SORTED_BYTES = 16 << 20, 32, 1 << 15, 2 << 20
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, SORTED_BYTES = 5 << 20, 32, 1 << 16, 2 << 20
 #: Bytes of texts that are gone through together.
 PART_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
