@@ -387,22 +387,22 @@ def refined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     left = ends[np.searchsorted(ends, here, "right")] - here
     active = np.flatnonzero(left >= FIRST)
     bucket = np.full(len(data), -1, np.int64)
-    bucket[active] = np.unique(words[active], return_inverse=True)[1]
-    depth = FIRST
-    while depth < LENGTH:
+    keys, depth, given = words[active], FIRST, 0
+    while True:
+        # Sorted on their keys, suffixes with equal ones lie together: these are the buckets.
+        order = np.argsort(keys)
+        active, keys = active[order], keys[order]
+        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
+        # Their numbers lie above all that were given, and the next, deeper refinement sorts on them.
+        bucket[active] = given + np.cumsum(new)
+        given += int(new.sum())
+        if depth >= LENGTH:
+            return bucket[starts]
         step = min(depth, LENGTH - depth)
-        _, where, size = np.unique(bucket[active], return_inverse=True, return_counts=True)
-        active = active[(size[where] > 1) & (left[active] >= depth + step)]
-        if not len(active):
-            break
-        mine, further = bucket[active], bucket[active + step]
-        order = np.lexsort((further, mine))
-        mine, further = mine[order], further[order]
-        new = np.r_[True, (mine[1:] != mine[:-1]) | (further[1:] != further[:-1])]
-        # New numbers lie above all that were given, and the next, deeper refinement sorts on them.
-        bucket[active[order]] = bucket.max() + np.cumsum(new)
+        alone = new & np.r_[new[1:], True]
+        active = active[~alone & (left[active] >= depth + step)]
+        keys = (bucket[active] << 32) | bucket[active + step]
         depth += step
-    return bucket[starts]
 
 
 def _window_repeats(runs: list[tuple[bytes, bytes]]) -> np.ndarray:
