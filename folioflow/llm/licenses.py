@@ -3,7 +3,9 @@
 A-Z are lower-cased and texts cut into words; the automaton runs over the words joined by single spaces, so a phrase is found
 wherever its words stand consecutively, whatever stands between them. Behind an identifier tag, the rest of the line, up to the next tag, is
 read as a licence expression: the shunting-yard algorithm orders its operators and a stack evaluates it. Names count as licences if LICENCES or
-EXCEPTIONS knows them, with a version behind the family's name or none, or if they begin with LicenseRef-; an expression ends where another word stands.
+EXCEPTIONS knows them, with a version behind the family's name or none, or if they begin with LicenseRef-. A name that neither knows counts as an
+unknown licence where an operator in capitals stands beside it, as an unknown exception if it says that it is one; an expression ends where another
+word stands.
 
 Every licence has a restriction from 0 (anything goes) to 1 (all rights reserved). `a OR b` leaves the choice: the lesser one; `a AND b`
 binds to both: the greater one; `a WITH e` halves that of a, and e is a label too. A text's score is the greatest of its findings', 0 without any.
@@ -58,6 +60,8 @@ LICENCES = {
     "mit": 0.1, "mit-0": 0.1, "bsd": 0.1, "isc": 0.1, "apache": 0.1, "boost": 0.1, "bsl": 0.1, "zlib": 0.1, "python": 0.1, "psf": 0.1, "ncsa": 0.1, "x11": 0.1,
     "postgresql": 0.1, "curl": 0.1, "openssl": 0.1, "artistic": 0.2, "cc-by": 0.2, "odc-by": 0.2, "ofl": 0.2, "afl": 0.2, "ms-pl": 0.2, "ecl": 0.2,
     "mpl": 0.4, "lgpl": 0.4, "epl": 0.4, "cddl": 0.4, "cpl": 0.4, "eupl": 0.4, "ms-rl": 0.4, "gfdl": 0.5, "cc-by-sa": 0.5, "odbl": 0.5, "osl": 0.5, "gpl": 0.6, "agpl": 0.7, "sspl": 0.8,
+    "vim": 0.1, "ruby": 0.1, "upl": 0.1, "w3c": 0.1, "hpnd": 0.1, "blueoak": 0.1, "unicode-dfs": 0.1, "unicode-tou": 0.1, "unicode": 0.1, "json": 0.1, "beerware": 0.1, "libpng": 0.1, "libtiff": 0.1, "icu": 0.1, "bzip2": 0.1, "ntp": 0.1, "fsfap": 0.1,
+    "tcl": 0.1, "xfree86": 0.1, "php": 0.1, "zpl": 0.1, "mulanpsl": 0.1, "naist": 0.1, "cecill-b": 0.1, "lppl": 0.2, "sleepycat": 0.4, "cecill-c": 0.4, "cecill": 0.6, "cpal": 0.5, "apsl": 0.4, "npl": 0.4, "spl": 0.4, "ipl": 0.4, "rpl": 0.6, "qpl": 0.6, "parity": 0.7, "elastic": 0.8,
     "cc-by-nd": 0.8, "cc-by-nc": 0.8, "cc-by-nc-sa": 0.8, "cc-by-nc-nd": 0.8, "busl": 0.9, "proprietary": 1.0, "reserved": 1.0,
 }
 #: Families of exceptions that follow WITH.
@@ -96,6 +100,22 @@ def is_name(token: str, exception: bool = False) -> bool:
     return len(token) <= LONGEST and family(token.lower(), exception) is not None
 
 
+#: A name that no list knows: with a capital letter or a digit, as identifiers have, unless it is the tag itself.
+UNLISTED = re.compile(r"(?=[^A-Z0-9]*[A-Z0-9])[A-Za-z0-9][A-Za-z0-9.+-]*")
+UNLISTED_EXCEPTION = re.compile(r"(?i)[a-z0-9][a-z0-9.+-]*(?:exception|note|linking)[a-z0-9.+-]*")
+OPERATOR = re.compile(rb"[\x20\t\r\f\v]+(?:AND|OR|WITH)(?![A-Za-z0-9.+-])")
+CAPITALS = ("AND", "OR", "WITH")
+
+
+def is_unlisted(token: str, before: str | None, operator_behind: bool) -> bool:
+    """Whether a token that no list knows is a name by what stands beside it."""
+    if len(token) > LONGEST or token.lower() == TAG.replace(" ", "-") or token.lower() in BINDS:
+        return False
+    if before is not None and before.lower() == "with":
+        return before == "WITH" and UNLISTED_EXCEPTION.fullmatch(token) is not None
+    return (before in CAPITALS or operator_behind) and UNLISTED.fullmatch(token) is not None
+
+
 def tokens_of(raw: bytes, start: int = 0, end: int | None = None) -> list[str]:
     """Tokens of the longest whole expression that raw[start:end] begins with, nothing but blanks between them.
 
@@ -119,7 +139,9 @@ def tokens_of(raw: bytes, start: int = 0, end: int | None = None) -> list[str]:
             if not operand or not depth:
                 break
             depth -= 1
-        elif operand or not is_name(token, bool(tokens) and tokens[-1].lower() == "with"):
+        elif operand:
+            break
+        elif not is_name(token, bool(tokens) and tokens[-1].lower() == "with") and not is_unlisted(token, tokens[-1] if tokens else None, OPERATOR.match(raw, m.end(), end) is not None):
             break
         else:
             operand = True

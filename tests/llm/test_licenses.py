@@ -85,3 +85,27 @@ def test_a_line_of_tags_takes_linear_time():
 def test_query_labels_hold_the_base(spark, small):
     for r in QUERIES["op4_aho_corasick"](spark, small).collect():
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+
+
+@pytest.mark.parametrize(
+    "text,names,score",
+    [
+        ("MIT AND CECILL-2.1", {"mit", "cecill-2.1"}, 0.6),
+        ("CECILL-2.1 OR MIT", {"cecill-2.1", "mit"}, 0.1),
+        ("GPL-2.0-only WITH Bootloader-exception OR UPL-1.0", {"gpl-2.0-only", "bootloader-exception", "upl-1.0"}, 0.1),
+        ("AGPL-3.0-only OR (MIT AND Vim)", {"agpl-3.0-only", "mit", "vim"}, 0.1),
+        # Names of no list: as restricted as what isn't known.
+        ("Frobnicate-1.0 AND MIT", {"frobnicate-1.0", "mit"}, 0.9),
+        ("MIT OR Frobnicate-1.0", {"mit", "frobnicate-1.0"}, 0.1),
+        ("(Frobnicate-1.0 OR Other-2) AND ISC", {"frobnicate-1.0", "other-2", "isc"}, 0.9),
+        ("MPL-2.0 WITH Frobnicate-exception-3", {"mpl-2.0", "frobnicate-exception-3"}, 0.2),
+        # Prose is none.
+        ("MIT and other things", {"mit"}, 0.1),
+        ("Frobnicate-1.0", set(), 0.0),
+        ("MIT WITH pleasure", {"mit"}, 0.1),
+        ("MIT OR else", {"mit"}, 0.1),
+    ],
+)
+def test_names_of_no_list(text, names, score):
+    tag = f"SPDX-License-Identifier: {text}"
+    assert labels(tag) == names and licenses.Scanner().scan(tag.encode())[2] == pytest.approx(score)
