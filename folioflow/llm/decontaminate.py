@@ -6,6 +6,8 @@ whole. An Aho-Corasick automaton of all pieces finds the whole ones. Pieces are
 k1 + k2 = k - 1 of the halves keep the same guarantee, so a hit is verified from small ranges to the whole item, by Myers's
 bit-parallel distance, and most false hits end after a few steps. A text that repeats itself may hit an item's pieces at every turn: once an
 item has been tried TRIES times in a text, the places of its other hits are united and each united range is gone through once.
+Ranges of more than LONG bytes are verified in a band about the hit's diagonal that is widened until the edits found fit into it, and what was
+found about a range at a diagonal is remembered for the text's other hits there.
 
 The test items are taken in blocks of about BLOCK_BYTES, every block against all rows; only a block is broadcast.
 
@@ -29,6 +31,8 @@ RATE = 0.1
 BLOCK_BYTES = 2 << 20
 #: Hits of an item in a text that are verified one by one; bits of a place that are left out where others are united.
 TRIES, PLACE_BITS = 64, 6
+#: Bytes of a range from which bands are used; their first half width, and columns that share a window of rows.
+LONG, BAND, COLUMNS = 2048, 64, 1024
 DELIMITERS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 TABLE = lower_table(DELIMITERS)
 
@@ -72,6 +76,62 @@ def distance(where: dict[str, int], m: int, text: str, most: int, anchored: bool
     return best, end
 
 
+def banded(where: dict[str, int], m: int, text: str, most: int, diagonal: int, anchored: bool = False) -> tuple[int, int]:
+    """distance() of the ways that stay near a diagonal, on which row i meets column i + diagonal: exact for a way that touches it.
+
+    A way of b edits stays within b of a diagonal that it touches, so a window of rows that moves with the columns is enough; what lies
+    outside counts as worse. The band is widened until the edits found fit into it.
+    """
+    band = min(BAND, most)
+    while True:
+        found = _in_band(where, m, text, most, diagonal, band, anchored)
+        if found[0] <= band or band >= most:
+            return found
+        band = min(4 * band, most)
+
+
+def _in_band(where: dict[str, int], m: int, text: str, most: int, diagonal: int, band: int, anchored: bool) -> tuple[int, int]:
+    best, end = (m, 0) if m <= most else (most + 1, -1)
+    top, bottom, plus, minus, score = 0, 0, 0, 0, 0
+    for begin in range(0, len(text), COLUMNS):
+        columns = text[begin : begin + COLUMNS]
+        low, high = begin + 1 - diagonal - band, begin + len(columns) - diagonal + band
+        if high < 1:
+            continue
+        low, high = max(0, min(low, m) - 1), min(m, high)
+        if low >= m:
+            break
+        # Rows above leave the window; those that enter below lie one more each.
+        plus, minus = plus >> (low - top), minus >> (low - top)
+        if bottom < low:
+            score, bottom = score + low - bottom, low
+        plus |= ((1 << (high - bottom)) - 1) << (bottom - low)
+        score += high - bottom
+        top, bottom = low, high
+        size = high - low
+        mask, last = (1 << size) - 1, 1 << (size - 1)
+        into = anchored or low > 0
+        here: dict[str, int] = {}
+        for j, c in enumerate(columns, begin + 1):
+            same = here.get(c)
+            if same is None:
+                same = here[c] = (where.get(c, 0) >> low) & mask
+            down = same | minus
+            across = (((same & plus) + plus) ^ plus) | same
+            up = minus | (~(across | plus) & mask)
+            left = plus & across
+            if up & last:
+                score += 1
+            elif left & last:
+                score -= 1
+            if high == m and score < best:
+                best, end = score, j
+            up = (up << 1 | into) & mask
+            plus = (left << 1) & mask | (~(down | up) & mask)
+            minus = up & down
+    return (best, end) if best <= most else (most + 1, -1)
+
+
 class Item:
     """A normalised item with its tree of ranges: (start, end, budget, parent)."""
 
@@ -82,6 +142,7 @@ class Item:
         self.leaves: list[int] = []
         self._grow(0, len(text), self.budget, -1)
         self._bits: dict[int, dict[str, int]] = {}
+        self._back: dict[str, int] | None = None
 
     def _grow(self, start: int, end: int, budget: int, parent: int) -> None:
         me = len(self.nodes)
@@ -94,8 +155,11 @@ class Item:
         self._grow(start, middle, left, me)
         self._grow(middle, end, budget - 1 - left, me)
 
-    def verify(self, leaf: int, text: str, at: int) -> tuple[int, int, int] | None:
-        """(distance, start, end) of the whole item around its leaf's hit at text[at:], or None."""
+    def verify(self, leaf: int, text: str, at: int, known: dict[tuple[int, int], bool]) -> tuple[int, int, int] | None:
+        """(distance, start, end) of the whole item around its leaf's hit at text[at:], or None.
+
+        known: what was found out about long ranges of this item in this text; whatever is known there is not returned again.
+        """
         origin = at - self.nodes[leaf][0]
         node = self.nodes[leaf][3]
         if node < 0:
@@ -103,21 +167,30 @@ class Item:
         while True:
             start, end, budget, parent = self.nodes[node]
             first = max(0, origin + start - budget)
-            part = text[first : max(0, origin + end + budget)]
-            if node not in self._bits:
-                self._bits[node] = bits(self.text[start:end])
-            found, stop = distance(self._bits[node], end - start, part, budget)
-            if found > budget:
+            long = end - start > LONG
+            if not long or (node, origin) not in known:
+                part = text[first : max(0, origin + end + budget)]
+                if node not in self._bits:
+                    self._bits[node] = bits(self.text[start:end])
+                found, stop = banded(self._bits[node], end - start, part, budget, origin + start - first) if long else distance(self._bits[node], end - start, part, budget)
+                if long:
+                    known[node, origin] = found <= budget
+                if found > budget:
+                    return None
+            elif parent < 0 or not known[node, origin]:
                 return None
             if parent < 0:
-                break
+                return self._placed(part, found, stop, first)
             node = parent
-        return self._placed(part, found, stop, first)
 
     def _placed(self, part: str, found: int, stop: int, first: int) -> tuple[int, int, int]:
         """(distance, start, end) of what ends at part[stop], part being text[first:]."""
-        before = part[max(0, stop - len(self.text) - found) : stop]
-        _, back = distance(bits(self.text[::-1]), len(self.text), before[::-1], found, anchored=True)
+        before = part[max(0, stop - len(self.text) - found) : stop][::-1]
+        if self._back is None:
+            self._back = bits(self.text[::-1])
+        m = len(self.text)
+        # Both begin at their ends, on one diagonal.
+        _, back = banded(self._back, m, before, found, 0, True) if m > LONG else distance(self._back, m, before, found, anchored=True)
         return found, first + stop - back, first + stop
 
     def search(self, text: str, first: int, last: int) -> tuple[int, int, int] | None:
@@ -168,17 +241,24 @@ class Matcher:
         best: dict[int, tuple[int, int, int]] = {}
         tries: dict[int, int] = {}
         later: dict[tuple[int, str], set[int]] = {}
+        known: dict[int, dict[tuple[int, int], bool]] = {}
         for last, (piece, owners) in self.automaton.iter(text):
             at = last + 1 - len(piece)
             for i, leaves in owners:
                 if i in best and best[i][0] == 0:
                     continue
+                item = self.items[i]
+                seen = known.setdefault(i, {})
+                # Whole long items that were looked at on this diagonal are done with.
+                leaves = [leaf for leaf in leaves if (0, at - item.nodes[leaf][0]) not in seen] if seen else leaves
+                if not leaves:
+                    continue
                 if tries.get(i, 0) >= TRIES:
                     later.setdefault((i, piece), set()).add(at >> PLACE_BITS)
                     continue
                 tries[i] = tries.get(i, 0) + len(leaves)
                 for leaf in leaves:
-                    found = self.items[i].verify(leaf, text, at)
+                    found = item.verify(leaf, text, at, seen)
                     if found:
                         if first_only:
                             return [(i, *found)]

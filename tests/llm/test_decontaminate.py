@@ -1,8 +1,10 @@
 """Edit matching on repetitive and long texts, repeated items, several blocks, null ids, against brute force."""
 
+import random
 import time
 
 import numpy as np
+import pytest
 
 from folioflow.llm import decontaminate
 
@@ -83,3 +85,43 @@ def test_blocks_repeated_items_and_null_ids(spark):
         found = sorted(((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.matches(docs, items, block_bytes=size).collect()), key=repr)
         assert found == sorted([(d, i, 0) for d in (7, None) for i in (1, 1, None)], key=repr)
         assert sorted(r["doc_id"] for r in decontaminate.without_matches(docs, items, block_bytes=size).collect()) == [8, 9]
+
+
+def test_bands_equal_the_whole_table(monkeypatch):
+    """Patterns with a part in common with a text, on any diagonal, by bands of any first width."""
+    rng = random.Random(8)
+    for _ in range(300):
+        monkeypatch.setattr(decontaminate, "BAND", rng.choice([1, 3, 64]))
+        monkeypatch.setattr(decontaminate, "COLUMNS", rng.choice([1, 4, 1000]))
+        pattern = "".join(rng.choice("abcd ") for _ in range(rng.randrange(5, 60)))
+        copy = list(pattern)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(copy))
+            copy[at : at + rng.randrange(2)] = rng.choice(["", "x", "ab"])
+        before = "".join(rng.choice("abcd ") for _ in range(rng.randrange(6)))
+        text = before + "".join(copy) + "".join(rng.choice("abcd ") for _ in range(rng.randrange(6)))
+        most = rng.randrange(6, 12)
+        where = decontaminate.bits(pattern)
+        whole = decontaminate.distance(where, len(pattern), text, most)
+        # Every way of at most `most` edits stays in a band of that many about the diagonal that it begins on.
+        near = [decontaminate.banded(where, len(pattern), text, most, d) for d in range(len(text) + 1)]
+        assert min(n for n in near if n[1] >= 0)[0] == whole[0] if whole[1] >= 0 else all(n[1] < 0 for n in near)
+        assert decontaminate.banded(where, len(pattern), text, len(pattern) + len(text), 0, True)[0] == decontaminate.distance(where, len(pattern), text, len(pattern) + len(text), True)[0]
+
+
+@pytest.mark.parametrize("size, seconds", [(12_000, 1.5), (200_000, 10)])
+def test_long_items(size, seconds):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(size // 6)]
+    item = " ".join(words)
+    text = list(item)
+    text[size // 3] = "Q"
+    del text[size // 2]
+    text.insert(2 * size // 3, "Q")
+    text = "before it " + "".join(text) + " behind it"
+    start = time.perf_counter()
+    (found,) = decontaminate.Matcher([item.encode()]).matches(text.encode())
+    assert time.perf_counter() - start < seconds
+    assert found[1] <= 3 and text[found[2] : found[3]].startswith(words[0]) and text[found[2] : found[3]].endswith(words[-1])
+    if size < 20_000:
+        assert decontaminate.Matcher([item.encode()]).matches(" ".join(reversed(words)).encode()) == []
