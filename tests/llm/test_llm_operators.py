@@ -639,6 +639,21 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert net.languages == sorted({f"l{k}" for k in range(30)})
 
 
+def test_an_id_that_fills_a_language_leaves_its_others_in(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:120]
+    rows = [(i, f"the {i} words of it", "en") for i in ids[:60]] + [(i, f"les {i} mots de la", "fr") for i in ids[60:]]
+    one = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.range(100_000).select(F.lit(one).cast("long").alias("doc_id"), F.lit("les mots encore").alias("text"), F.lit("fr").alias("lang"))
+    net = langid.fit(df.unionByName(many))
+    assert net.languages == ["en", "fr"]
+    # A very long text, and two languages that a network without weights finds equal: the first of them.
+    for w in (net.weights, net.offset):
+        w[:] = 0
+    found = langid.predict(spark.createDataFrame([("word " * 300_000,), (None,), ("12",)], "text string"), net).collect()
+    assert [(r["lang_pred"], r["score"]) for r in found] == [("en", 0.5), ("und", 0.0), ("und", 0.0)]
+
+
 def test_language_by_a_plain_forward_pass():
     """Windows of a small network, filter by filter."""
     rng = np.random.default_rng(3)
