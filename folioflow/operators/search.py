@@ -18,6 +18,7 @@ from folioflow.sources.scratch import kept, shared_folder
 
 from . import fulltext as X
 from .fulltext_store import FullTextIndex
+from .metrics import Stages
 from .substrings import inside
 from .vector_index import BLOCK_VALUES, best_of_batch, matrix, unit
 
@@ -319,7 +320,7 @@ def ranked(candidates: DataFrame, top_k: int, least: float = 0.0, key: str = "ch
     return candidates.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float = 0.0, rerank_n: int = 50, vector: str = "vector", mode: str = "hybrid", index: FullTextIndex | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float = 0.0, rerank_n: int = 50, vector: str = "vector", mode: str = "hybrid", index: FullTextIndex | None = None, stages: Stages | None = None) -> DataFrame:
     """The whole search: understood queries (query_id, query[, vector]) against chunks (chunk_id, chunk_text, title, chunk_index[, category, author, tags, vector]).
 
     mode: hybrid, vector or keyword; without vectors, hybrid is keyword. index: a stored one of the chunks' texts. least: the score that a result has at least. What a search may see is said
@@ -327,6 +328,7 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float
     """
     if mode not in ("hybrid", "vector", "keyword"):
         raise ValueError(f"no mode {mode}")
+    kept = (stages or Stages()).kept
     asked = kept(understood(queries), "queries")
     k = retrieval_k(top_k, hybrid=mode == "hybrid")
     kind = chunks.schema["chunk_id"].dataType.simpleString()
@@ -336,6 +338,8 @@ def hybrid(chunks: DataFrame, queries: DataFrame, top_k: int = 10, least: float
         found = vector_top(chunks, asked, k, vector=vector)
     else:
         found = none("vector_score double, vector_rank int")
+    if stages is not None:
+        keyword, found = kept(keyword, "keyword"), kept(found, "vector")
     merged = kept(fused_by_rank(found, keyword), "fused")
     wording = asked.select("query_id", F.col("normalised").alias("query"), "intent")
     # Texts of candidates are read once for their features, and once more for the snippets of the final ranks.

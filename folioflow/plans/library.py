@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from folioflow.functions import table_functions
 from folioflow.operators import fulltext as X
+from folioflow.operators import paths
 from folioflow.operators import registration as G
+from folioflow.operators import search as S
 from folioflow.operators import tools as L
+from folioflow.operators.chunking import sections
+from folioflow.operators.metrics import Stages
+from folioflow.sources import sse, web
+from folioflow.sources.scratch import shared_folder
 
+from .chunks import CHUNKS, OVERLAP, SIZE, TOKEN
 from .roles import resource_authors, resource_tags, role, table, with_roles
-from .search import text_index
+from .search import document_chunks, text_index
 
 
 def _docs(spark, sf_dir):
@@ -41,6 +51,58 @@ def fulltext_search(spark, sf_dir):
     return text_index(spark, sf_dir).matches(X.parsed(asked, "exact"))
 
 
+def chunk_function(spark, sf_dir):
+    """Chunks by the table function, called in SQL over the documents' sections."""
+    _docs(spark, sf_dir).select(F.col("chunk_id").alias("doc_id"), F.posexplode(sections(F.coalesce("chunk_text", F.lit("")))).alias("section", "s")).selectExpr("doc_id", "section", "s.title as title", "s.body as body").createOrReplaceTempView("document_sections")
+    table_functions.register(spark)
+    return spark.sql(f"select doc_id, chunk_index, section_title, token_count, chunk_hash from chunks_of(table(document_sections) partition by doc_id order by (section), {SIZE}, {OVERLAP})")
+
+
+def search_functions(spark, sf_dir):
+    """Searches of the catalog as table functions."""
+    table_functions.register(spark, _library(spark, sf_dir).tables)
+    return spark.sql(
+        """select 'genre' as search, cast(resource_id as string) as id, title as name from books_by_genre('NATION_7', 5, 3) union all select 'tag', cast(resource_id as string), title from books_by_tag('steel', 8)
+        union all select 'user', cast(user_id as string), username from users_named('0011') union all select 'author', cast(author_id as string), author_name from authors_named('007', 30)"""
+    )
+
+
+def event_source(spark, sf_dir):
+    """Turns as server-sent events: written by the data source, and read back by it."""
+    sse.register(spark)
+    folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}".removeprefix("file:")
+    turns = table(spark, sf_dir, "conversations")
+    turns.select(F.col("role").alias("event"), F.to_json(F.struct("conv_id", "turn", F.sha2("text", 256).alias("digest"))).alias("data")).write.format("sse").mode("append").save(folder)
+    found = spark.read.format("sse").load(folder).select("event", F.from_json("data", "conv_id long, turn long, digest string").alias("d"))
+    return found.select("d.conv_id", "d.turn", F.col("event").alias("role"), "d.digest")
+
+
+def contained_metadata(spark, sf_dir):
+    """Events whose properties hold a request, numbers as numbers: a request for every value up to 99, and the same as texts."""
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    asked = spark.range(100).select(F.col("id").alias("query_id"), F.concat(F.lit('{"k": '), F.when(F.col("id") % 10 == 9, F.concat(F.lit('"'), "id", F.lit('"'))).otherwise(F.col("id").cast("string")), F.lit("}")).alias("wanted"))
+    return paths.containing(events, asked, "event_id", "props")
+
+
+REPORTS = """select c_nationkey % 5 as project, case when c_nationkey % 5 = 4 then '<testsuites><testsuite' when c_nationkey % 5 = 3 then concat('<coverage line-rate="', cast(count(*) % 100 as varchar(10)), 'e-2"/>')
+  else concat('<testsuites>', '<testsuite tests="', cast(count(*) as varchar(10)), '" failures="', cast(count(*) % 7 as varchar(10)), '" errors="0" time="1.5"/>', '<testsuite tests="2" skipped="1"/>', '</testsuites>') end as report
+  from customer group by c_nationkey"""
+
+
+def ci_reports(spark, sf_dir):
+    """XML reports made of customers' counts: two suites each, coverage for some, one that is cut off."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("ci_customers")
+    return web.ci_reports(spark.sql(REPORTS.replace("from customer", "from ci_customers"))).groupBy("project", "metric", "source").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def search_metrics(spark, sf_dir):
+    """Rows of each stage of a hybrid search, as profiling rows tell them."""
+    stages = Stages()
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    S.hybrid(document_chunks(spark, sf_dir), passages, 10, index=text_index(spark, sf_dir), stages=stages)
+    return stages.rows(spark, "search").select("event_index", "name", F.col("details")["rows"].cast("long").alias("n_rows"), (F.col("ms") > 0).alias("timed"))
+
+
 def _library(spark, sf_dir) -> L.Library:
     authors_of = resource_authors(spark, sf_dir).join(role(spark, sf_dir, "authors"), "author_id").select("resource_id", "author_name")
     names = {"resources": "resources", "categories": "categories", "authors": "authors", "users": "users", "subscriptions": "subscriptions", "subscription_tiers": "tiers"}
@@ -130,4 +192,23 @@ ORACLES = {
       union all select 'authors', (select count(distinct p_brand) from part where p_brand not in (select p_brand from known)) union all select 'tags', (select count(distinct tag) from tags where tag not in (select p_name from known))
       union all select 'resource_authors', (select count(*) from part) union all select 'resource_tags', (select count(*) from tags) union all select 'resources', (select count(*) from part)""",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "fulltext_search")}
+ORACLES |= {
+    "chunk_function": f"with {CHUNKS} select doc_id, chunk_index, section_title, cast(len(regexp_extract_all(chunk_text, '{TOKEN}')) as int) as token_count, sha256(chunk_text) as chunk_hash from chunks",
+    "search_functions": with_roles(
+        """, genre as (select resource_id, title, row_number() over (order by title, resource_id) as nth from resources join categories using (category_id) where category_name = 'NATION_7'),
+      tag as (select resource_id, title, row_number() over (order by title, resource_id) as nth from resources join resource_tags using (resource_id) where tag_name = 'steel'),
+      named as (select user_id, username, row_number() over (order by username, user_id) as nth from users where contains(lower(username), '0011') or contains(lower(email), '0011')),
+      writers as (select author_id, author_name, row_number() over (order by author_name, author_id) as nth from authors where contains(lower(author_name), '007'))
+      select 'genre' as search, cast(resource_id as varchar) as id, title as name from genre where nth between 4 and 8 union all select 'tag', cast(resource_id as varchar), title from tag where nth <= 8
+      union all select 'user', cast(user_id as varchar), username from named where nth <= 20 union all select 'author', cast(author_id as varchar), author_name from writers where nth <= 30""",
+        "resources", "categories", "resource_tags", "users", "authors",
+    ),
+    "event_source": "select conv_id, turn, role, sha256(text) as digest from conversations",
+    "contained_metadata": "select cast(v as bigint) as query_id, event_id from (select event_id, cast(props->>'$.k' as int) as v, json_type(props->'$.k') as kind from events) where kind in ('UBIGINT', 'BIGINT') and v between 0 and 99 and v % 10 <> 9",
+    "ci_reports": f"""with reports as ({REPORTS}), told as (select project, 'corrupt' as metric, 'UNREADABLE' as source, cast(null as double) as value from reports where report like '%<testsuite'
+      union all select project, 'coverage_percent', 'LOCAL_COVERAGE_XML', round(100 * cast(regexp_extract(report, 'line-rate="([^"]*)"', 1) as double), 2) from reports where report like '<coverage%'
+      union all select project, m.metric, 'LOCAL_JUNIT_XML', m.value from (select project, unnest([{{'metric': 'tests', 'value': 2.0 + cast(regexp_extract(report, 'tests="([0-9]+)"', 1) as int)}}, {{'metric': 'test_failures', 'value': cast(regexp_extract(report, 'failures="([0-9]+)"', 1) as double)}},
+        {{'metric': 'test_errors', 'value': 0.0}}, {{'metric': 'skipped_tests', 'value': 1.0}}, {{'metric': 'test_execution_time_ms', 'value': 1500.0}}]) as m from reports where report like '%</testsuites>'))
+      select project, metric, source, count(*) as n, round(sum(value), 4) as total from told group by all""",
+}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "fulltext_search", "search_metrics")}

@@ -56,5 +56,34 @@ def ci_metrics(reports: DataFrame, json: str = "report") -> DataFrame:
     return reports.select(F.from_json(json, kind).alias("r")).select(F.col("r.component.key").alias("project"), F.explode("r.component.measures").alias("m")).select("project", "m.metric", F.col("m.value").cast("double").alias("value"))
 
 
+#: A test run's suites, inside one element or alone, and a coverage report's root, as from_xml reads them.
+SUITE = "_tests string, _failures string, _errors string, _skipped string, _time string"
+REPORT = f"{SUITE}, `_line-rate` string, testsuite array<struct<{SUITE}>>, _corrupt_record string"
+#: A suite's attributes and the metrics that they sum up to.
+SUITE_METRICS = {"_tests": "tests", "_failures": "test_failures", "_errors": "test_errors", "_skipped": "skipped_tests", "_time": "test_execution_time_ms"}
+
+
+def ci_reports(reports: DataFrame, xml: str = "report", project: str = "project") -> DataFrame:
+    """Rows (project, metric, value, source) of XML reports: coverage in percent, and sums over a run's suites, times in milliseconds.
+
+    A text that is no XML gives a row with the metric `corrupt` and no value; an attribute that isn't there counts as 0.
+    """
+    root = F.regexp_extract(xml, r"<([A-Za-z][\w.-]*)(?=[\s/>])", 1)
+    parsed = reports.select(F.col(project).alias("project"), root.alias("root"), F.from_xml(xml, REPORT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt_record").isNotNull()
+    number = lambda c: F.coalesce(c.try_cast("double"), F.lit(0.0))
+    own = F.array(F.struct(*(F.col(f"r.{a}").alias(a) for a in SUITE_METRICS)))
+    suites = F.when(F.col("root") == "testsuite", own).otherwise(F.coalesce("r.testsuite", own))
+    over = lambda a: F.aggregate(suites, F.lit(0.0), lambda s, x: s + number(x[a]))
+    sums = {m: over(a) for a, m in SUITE_METRICS.items()}
+    sums["test_execution_time_ms"] = F.round(sums["test_execution_time_ms"] * 1000)
+    metric = lambda name, value, source: F.struct(F.lit(name).alias("metric"), value.alias("value"), F.lit(source).alias("source"))
+    coverage = F.array(metric("coverage_percent", F.round(F.col("r.`_line-rate`").try_cast("double") * 100, 2), "LOCAL_COVERAGE_XML"))
+    run = F.array(*(metric(m, v, "LOCAL_JUNIT_XML") for m, v in sums.items()))
+    corrupt = F.array(metric("corrupt", F.lit(None).cast("double"), "UNREADABLE"))
+    found = F.when(bad, corrupt).when(F.col("root") == "coverage", coverage).when(F.col("root").isin("testsuite", "testsuites"), run)
+    return parsed.select("project", F.explode(found).alias("m")).select("project", "m.*")
+
+
 def write_tsv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
