@@ -22,9 +22,10 @@ CODE_LIKE = r"\b[A-Z]{1,6}[-_/]?\d{2,}\b|\b\d+[A-Z]+[-_/]?\d*\b"
 MOJIBAKE = ("Ãƒ", "Ã‚", "Ã¢Â€", "ï¿½")
 SEPARATORS = ("|", "\t", "  ", ",", ";", ":")
 STOP_WORDS = (
-    "a about all also am an and any are as at be by for from give has have how in into is it me much novel of on or search show tell that the "
-    "their there these this to was what when where who with"
-).split()
+    "a", "about", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "give", "has", "have", "how", "in", "into", "is",
+    "it", "me", "much", "novel", "of", "on", "or", "search", "show", "tell", "that", "the", "their", "there", "these", "this", "to", "was", "what", "when",
+    "where", "who", "with",
+)
 ALIASES = {"bhagawat": "bhagavad", "bhagawad": "bhagavad", "brenton": "brunton", "christams": "christmas", "geetha": "gita", "githa": "gita", "ramayana": "ramayan"}
 
 

@@ -18,11 +18,16 @@ MOST_CHARS, SOURCE_CHARS, LEAST_OVERLAP = 12_000, 1_800, 0.20
 # What questions, answers and citations are read by.
 CITATION = r"(?i)\[\s*Source\s+rank\s+(\d+)(?:[^\]]*?chunk\s+(\d+))?[^\]]*\]"
 EVIDENCE_WORD = r"[A-Za-z][A-Za-z']{2,}"
-EVIDENCE_STOP = "and answer are but chunk context from has have his into not page rank she source that the their this was were with".split()
+EVIDENCE_STOP = (
+    "and", "answer", "are", "but", "chunk", "context", "from", "has", "have", "his", "into", "not", "page", "rank", "she", "source", "that", "the", "their",
+    "this", "was", "were", "with",
+)
 ANCHOR = r"\b[A-Z][A-Za-z']{2,}\b"
 ANCHOR_STOP = ["How", "Tell", "What", "When", "Where", "Which", "Who", "Why"]
 INFERENCE = ("can be inferred", "could be inferred", "it can be inferred", "might have", "may have", "probably", "likely", "not directly mentioned", "not explicitly mentioned")
-FOCUS_STOP = "about from have that tell there this what when where which with".split()
+FOCUS_STOP = (
+    "about", "from", "have", "that", "tell", "there", "this", "what", "when", "where", "which", "with",
+)
 FOCUS_NAMES = ["brenton", "brunton", "maharshi", "paul", "ramana"]
 IMPRESSION = {"impress": 4, "perceiv": 4, "reactio": 3, "peace": 3, "quiet": 3, "restful": 2}
 NO_CONTEXT = "I could not find enough retrieved context to answer this question without guessing."

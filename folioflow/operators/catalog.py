@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.sources.scratch import kept
+
 MOST_ROWS = 500
 #: Columns that older catalog tables lack, with what stands for them.
 OPTIONAL = {"ingestion_status": "string", "rag_enabled": "boolean", "metadata_json": "string", "storage_path": "string"}
@@ -131,7 +133,13 @@ def facets(categories: DataFrame, authors: DataFrame, tags_of: DataFrame, resour
         tiers.where(active).select(F.lit("tier"), "tier_code", "display_order"),
     ]
     union = reduce(DataFrame.union, parts)
-    return union.select("facet", "value", F.row_number().over(Window.partitionBy("facet").orderBy("place", "value")).cast("long").alias("position"))
+    # Ranges of the order are numbered each by itself, then moved by what the ranges before hold: no task sees a whole facet.
+    ranges = kept(union.repartitionByRange("facet", "place", "value").withColumn("range", F.spark_partition_id()), "facets")
+    sizes = ranges.groupBy("facet", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("facet").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("facet", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("facet", "range").orderBy("place", "value"))
+    return ranges.withColumn("own", own).join(starts, ["facet", "range"]).select("facet", "value", (F.col("start") + F.col("own")).cast("long").alias("position"))
 
 
 def latest(rows: DataFrame, by: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -144,16 +152,32 @@ def counts(rows: DataFrame, by: str, name: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias(name))
 
 
-def admin_list(resources: DataFrame, categories: DataFrame, authors_of: DataFrame, chunks: DataFrame, embeddings: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Each resource with its category, first author, counts of chunks and embeddings, and latest job."""
-    return (
+def admin_list(resources: DataFrame, categories: DataFrame, authors_of: DataFrame, chunks: DataFrame, embeddings: DataFrame, jobs: DataFrame, errors: DataFrame | None = None, tags_of: DataFrame | None = None) -> DataFrame:
+    """Each resource with its category, first author, tags, counts of chunks, embeddings and jobs, latest job and latest error.
+
+    errors: (resource_id, created_at, message, stage, type); without one, the error is the latest job's own message, if jobs have one.
+    """
+    said = ["error_message"] if "error_message" in jobs.columns else []
+    out = (
         named(resources, categories)
         .join(authors_of.groupBy("resource_id").agg(F.min("author_name").alias("author")), "resource_id", "left")
         .join(counts(chunks, "resource_id", "chunk_count"), "resource_id", "left")
         .join(counts(chunks.join(embeddings, "chunk_id"), "resource_id", "embedding_count"), "resource_id", "left")
-        .join(latest(jobs, "resource_id", ["created_at", "job_id"], ["job_id", "status"]).withColumnsRenamed({"job_id": "latest_job_id", "status": "latest_job_status"}), "resource_id", "left")
-        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("chunk_count", "embedding_count")})
+        .join(latest(jobs, "resource_id", ["created_at", "job_id"], ["job_id", "status", *said]).withColumnsRenamed({"job_id": "latest_job_id", "status": "latest_job_status"}), "resource_id", "left")
+        .join(counts(jobs, "resource_id", "job_count"), "resource_id", "left")
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("chunk_count", "embedding_count", "job_count")})
     )
+    if not said:
+        out = out.withColumn("error_message", F.lit(None).cast("string"))
+    if errors is not None:
+        named_as = {"message": "latest_error_message", "stage": "latest_error_stage", "type": "latest_error_type"}
+        out = out.join(latest(errors, "resource_id", ["created_at", "message"], list(named_as)).withColumnsRenamed(named_as), "resource_id", "left").withColumn("latest_error_message", F.coalesce("latest_error_message", "error_message"))
+    else:
+        out = out.withColumn("latest_error_message", F.col("error_message"))
+    if tags_of is not None:
+        tags = tags_of.groupBy("resource_id").agg(F.sort_array(F.collect_set("tag_name")).alias("tags"))
+        out = out.join(tags, "resource_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    return out.drop("error_message")
 
 
 def lookup(rows: DataFrame, columns: tuple[str, ...], q: str | None = None, **equal: str | None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,15 @@ from .similar_sets import candidates
 from .substrings import inside
 
 LEAST_SIMILARITY = 0.1
-FACT_ENTITIES, FACT_RELATIONSHIPS = 200, 300
+FACT_ENTITIES, FACT_RELATIONSHIPS, FACT_CHARS = 200, 300, 12_000
+#: Chunks that a model gets at once, and how much of each.
+CHUNKS_A_CALL, CHUNK_CHARS = 8, 12_000
+EXTRACTION_PROMPT = "Name the entities of this text and how they are related, as JSON with the lists entities (name, type, description, confidence) and relationships (source, target, type, description, confidence).\n\n"
+SUMMARY_PROMPT = "Summarise what these facts say of the document.\n\n"
+ANSWER = (
+    "entities array<struct<name:string,type:string,description:string,confidence:double>>, "
+    "relationships array<struct<source:string,target:string,type:string,description:string,confidence:double>>"
+)
 
 
 def capitalised_mentions(chunks: DataFrame) -> DataFrame:
@@ -22,6 +33,53 @@ def capitalised_mentions(chunks: DataFrame) -> DataFrame:
     return chunks.select("resource_id", "chunk_id", "chunk_index", F.posexplode(names).alias("position", "name")).withColumn("entity_type", F.lit("NAME"))
 
 
+def by_model(rows: DataFrame, text: str, model: Callable[[list[str]], list[str]], size: int) -> DataFrame:
+    """rows with answer and error of a model that takes a list of texts. A call that fails, or answers too few, is made again text by text; a text that fails alone is a row with an error."""
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            return model([text])[0], None
+        except Exception as e:  # noqa: BLE001  a failure is a result here
+            return None, f"{type(e).__name__}: {e}"
+
+    def call(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            found = list(model(texts))
+            if len(found) == len(texts):
+                return [(a, None) for a in found]
+        except Exception:  # noqa: BLE001  told by the single calls
+            pass
+        return [one(t) for t in texts]
+
+    @F.pandas_udf("answer string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = [r for i in range(0, len(texts), size) for r in call(texts.iloc[i : i + size].tolist())]
+            yield pd.DataFrame(found, columns=["answer", "error"])
+
+    return rows.withColumn("__out", run(F.coalesce(F.col(text), F.lit("")))).select(*rows.columns, "__out.answer", "__out.error")
+
+
+def extracted(chunks: DataFrame, model: Callable[[list[str]], list[str]], size: int = CHUNKS_A_CALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mentions, edges, errors) of chunks (resource_id, chunk_id, chunk_index, chunk_text) by a model that answers with JSON of entities and relationships.
+
+    The JSON may stand in a fence or between words. A chunk whose answer is none, or whose call failed alone, is a row of errors (chunk_id, error).
+    """
+    prompt = F.concat(F.lit(EXTRACTION_PROMPT), F.left(F.col("chunk_text"), F.lit(CHUNK_CHARS)))
+    answers = kept(by_model(chunks.select("resource_id", "chunk_id", "chunk_index", prompt.alias("prompt")), "prompt", model, size).withColumn("r", F.from_json(T.json_in("answer"), ANSWER)), "answers")
+    ids = ["resource_id", "chunk_id", "chunk_index"]
+    mentions = answers.select(*ids, F.posexplode("r.entities").alias("position", "e")).select(*ids, "position", "e.name", F.col("e.type").alias("entity_type"), "e.description", "e.confidence")
+    edges = answers.select(*ids, F.explode("r.relationships").alias("e")).select(*ids, "e.source", "e.target", F.col("e.type").alias("relationship_type"), "e.description", "e.confidence")
+    bad = answers.where("error is not null or r is null or (r.entities is null and r.relationships is null)")
+    return mentions, edges, bad.select("chunk_id", F.coalesce("error", F.lit("no JSON of entities and relationships")).alias("error"))
+
+
+def summarised(given: DataFrame, model: Callable[[list[str]], list[str]], size: int = CHUNKS_A_CALL) -> DataFrame:
+    """Rows (resource_id, summary, error) of facts() by a model; a prompt holds FACT_CHARS of a resource's facts."""
+    facts_ = F.left(F.concat(F.lit("Entities:\n"), "entities", F.lit("\nRelationships:\n"), "relationships"), F.lit(FACT_CHARS))
+    return by_model(given.select("resource_id", F.concat(F.lit(SUMMARY_PROMPT), facts_).alias("prompt")), "prompt", model, size).select("resource_id", F.col("answer").alias("summary"), "error")
+
+
 def entities(mentions: DataFrame) -> DataFrame:
     """Entities by resource and normalised name: first name and description, known type, greatest confidence, chunks and mentions.
 

@@ -59,14 +59,45 @@ def recovered(jobs: DataFrame, now: Column, after: int = STALE_SECONDS, delay: i
     return retried(jobs, stale(now, after), "Recovered stale PROCESSING job", now, delay)
 
 
-def admin_retry(jobs: DataFrame, resources: DataFrame) -> DataFrame:
-    """The latest job of each resource, queued anew if it has failed; others aren't returned."""
-    last = current(jobs.join(resources.select("resource_id").distinct(), "resource_id", "left_semi"), "resource_id", ("created_at", "job_id"))
-    return last.where("status = 'FAILED'").withColumns({"status": F.lit("QUEUED"), "retry_count": F.lit(0)})
+def _latest(jobs: DataFrame, asked: DataFrame, resources: DataFrame) -> DataFrame:
+    """Each resource that is asked for, whether it is known, and its latest job."""
+    wanted = asked.select("resource_id").distinct().join(resources.select("resource_id", F.lit(True).alias("known")).distinct(), "resource_id", "left")
+    last = current(jobs.join(wanted.select("resource_id"), "resource_id", "left_semi"), "resource_id", ("created_at", "job_id"))
+    return wanted.join(last, "resource_id", "left")
 
 
-def upserted(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """table with the changes' rows in place of those of equal keys, or added."""
+def _busy() -> Column:
+    return F.when(F.col("known").isNull(), "Resource not found").when(F.col("status").isin("PROCESSING", "QUEUED"), F.concat(F.lit("Latest ingestion job is already "), "status"))
+
+
+def admin_retry(jobs: DataFrame, asked: DataFrame, resources: DataFrame | None = None) -> DataFrame:
+    """The latest job of each resource that is asked for, queued anew if it has failed; else the reason why it isn't."""
+    last = _latest(jobs, asked, asked if resources is None else resources)
+    reason = F.coalesce(_busy(), F.when(F.col("status").isNull(), "No ingestion job found for resource").when(F.col("status") != "FAILED", F.concat(F.lit("Latest ingestion job is "), "status", F.lit("; only FAILED jobs can be retried"))))
+    again = F.col("reason").isNull()
+    return last.withColumn("reason", reason).withColumns({"status": F.when(again, "QUEUED").otherwise(F.col("status")), "retry_count": F.when(again, 0).otherwise(F.col("retry_count"))}).drop("known")
+
+
+def reindexed(jobs: DataFrame, asked: DataFrame, resources: DataFrame, mode: str, defaults: dict[str, object]) -> DataFrame:
+    """A new job (resource_id, status, indexing_mode, settings, reason) for each resource that is asked for, with the settings of its latest job; none if that one is under way.
+
+    mode: STANDARD, GRAPH or BOTH; defaults: setting -> value of resources without a job.
+    """
+    if mode not in ("STANDARD", "GRAPH", "BOTH"):
+        raise ValueError("indexing_mode must be STANDARD, GRAPH, or BOTH")
+    last = _latest(jobs, asked, resources).withColumn("reason", _busy())
+    settings = [F.coalesce(F.col(c), F.lit(v)).alias(c) if c in jobs.columns else F.lit(v).alias(c) for c, v in defaults.items()]
+    return last.select("resource_id", F.when(F.col("reason").isNull(), "QUEUED").alias("status"), F.lit(mode).alias("indexing_mode"), *settings, "reason")
+
+
+def upserted(table: DataFrame, changes: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """table with the changes' rows in place of those of equal keys, or added. Of several changes of a key the last by `order` counts, without one the greatest."""
+    rest = [c for c in changes.columns if c not in keys]
+    if rest:
+        last = F.max_by(F.struct(*rest), F.struct(*(order or rest)))
+        changes = changes.groupBy(*keys).agg(last.alias("__last")).select(*keys, "__last.*").select(*changes.columns)
+    else:
+        changes = changes.distinct()
     return table.join(changes.select(keys), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 

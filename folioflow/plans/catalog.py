@@ -49,8 +49,11 @@ def catalog_detail(spark, sf_dir):
 def admin_resources(spark, sf_dir):
     chunks = role(spark, sf_dir, "chunks")
     embedded = chunks.where("token_count >= 25").select("chunk_id")
-    return C.admin_list(role(spark, sf_dir, "resources"), role(spark, sf_dir, "categories"), _authors_of(spark, sf_dir), chunks, embedded, role(spark, sf_dir, "jobs")).select(
-        "resource_id", "category", "author", "chunk_count", "embedding_count", "latest_job_id", "latest_job_status"
+    jobs = role(spark, sf_dir, "jobs")
+    errors = jobs.where("status = 'FAILED'").selectExpr("resource_id", "created_at", "concat('job ', cast(job_id as string), ' failed') as message", "case when job_id % 2 = 0 then 'chunking' else 'embedding' end as stage", "'ValueError' as type")
+    found = C.admin_list(role(spark, sf_dir, "resources"), role(spark, sf_dir, "categories"), _authors_of(spark, sf_dir), chunks, embedded, jobs, errors, resource_tags(spark, sf_dir))
+    return found.select(
+        "resource_id", "category", "author", F.array_join("tags", "|").alias("tags"), "chunk_count", "embedding_count", "job_count", "latest_job_id", "latest_job_status", "latest_error_message", "latest_error_stage", "latest_error_type"
     )
 
 
@@ -68,6 +71,13 @@ def search_subscriptions(spark, sf_dir):
     return C.lookup(joined, ("username", "email"), q="000012", tier_code="asia", subscription_status="active").select("subscription_id", "username", "tier_name", "created_at")
 
 
+def search_approvals(spark, sf_dir):
+    """Requests for approval with their users: orders as requests."""
+    requests = table(spark, sf_dir, "orders").selectExpr("o_orderkey as request_id", "o_custkey as user_id", "o_orderdate as requested_at", "case o_orderstatus when 'F' then 'APPROVED' when 'O' then 'PENDING' else 'REJECTED' end as approval_status")
+    joined = requests.join(role(spark, sf_dir, "users").select("user_id", "username", "email"), "user_id")
+    return C.lookup(joined, ("username", "email"), q="00012", approval_status="pending").select("request_id", "username", "email", "approval_status", "requested_at")
+
+
 def users_by_role(spark, sf_dir):
     """Users whose roles meet those asked for."""
     users = role(spark, sf_dir, "users").withColumn("roles", F.array_sort(F.array_union(F.array("segment"), F.when(F.col("status") == "ACTIVE", F.array(F.lit("READER"))).otherwise(F.array().cast("array<string>")))))
@@ -79,9 +89,12 @@ def table_page(spark, sf_dir):
     return C.page(table(spark, sf_dir, "customer").orderBy("c_custkey"), 50, 100)
 
 
+TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 def table_list(spark, sf_dir):
     """The catalog's tables with their rows."""
-    names = ("region", "nation", "supplier", "customer")
+    names = TABLES
     parts = [table(spark, sf_dir, n).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n in names]
     out = parts[0]
     for p in parts[1:]:
@@ -153,6 +166,11 @@ ORACLES = {
         f"""select resource_id, category, (select min(author_name) from authors_of a where a.resource_id = r.resource_id) as author,
           (select count(*) from chunks c where c.resource_id = r.resource_id) as chunk_count,
           (select count(*) from chunks c join (select chunk_id from chunks where token_count >= 25) e using (chunk_id) where c.resource_id = r.resource_id) as embedding_count,
+          coalesce((select string_agg(tag_name, '|' order by tag_name) from resource_tags t where t.resource_id = r.resource_id), '') as tags,
+          (select count(*) from jobs j where j.resource_id = r.resource_id) as job_count,
+          (select 'job ' || max_by(job_id, (created_at, 'job ' || job_id || ' failed')) || ' failed' from jobs j where j.resource_id = r.resource_id and status = 'FAILED') as latest_error_message,
+          (select case when max_by(job_id, (created_at, 'job ' || job_id || ' failed')) % 2 = 0 then 'chunking' else 'embedding' end from jobs j where j.resource_id = r.resource_id and status = 'FAILED' having count(*) > 0) as latest_error_stage,
+          (select max('ValueError') from jobs j where j.resource_id = r.resource_id and status = 'FAILED') as latest_error_type,
           (select max_by(job_id, (created_at, job_id)) from jobs j where j.resource_id = r.resource_id) as latest_job_id,
           (select max_by(status, (created_at, job_id)) from jobs j where j.resource_id = r.resource_id) as latest_job_status
         from {_NAMED} r""",
@@ -162,6 +180,11 @@ ORACLES = {
     ),
     "search_users": _sql("select user_id, username, status from users where status = 'ACTIVE' and (username ilike '%00001%' or email ilike '%00001%')", "users"),
     "search_authors": _sql("select * from authors where status = 'ACTIVE' and author_name ilike '%#0000000%' order by author_name, author_id limit 20 offset 3", "authors"),
+    "search_approvals": _sql(
+        """select request_id, username, email, approval_status, requested_at from (select o_orderkey as request_id, o_custkey as user_id, o_orderdate as requested_at, case o_orderstatus when 'F' then 'APPROVED' when 'O' then 'PENDING' else 'REJECTED' end as approval_status from orders)
+        join users using (user_id) where approval_status = 'PENDING' and (username ilike '%00012%' or email ilike '%00012%')""",
+        "users",
+    ),
     "search_subscriptions": _sql(
         """select subscription_id, username, tier_name, s.created_at from subscriptions s join users u using (user_id) join tiers t using (tier_code)
         where tier_code = 'ASIA' and s.status = 'ACTIVE' and (username ilike '%000012%' or email ilike '%000012%')""",
@@ -176,7 +199,7 @@ ORACLES = {
         "users",
     ),
     "table_page": "select * from customer order by c_custkey limit 50 offset 100",
-    "table_list": " union all ".join(f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in ("region", "nation", "supplier", "customer")),
+    "table_list": " union all ".join(f"select '{n}' as table_name, count(*) as n_rows from {n}" for n in TABLES),
     "metadata_containment": "select event_id, event_type from events where props->>'$.k' = '69'",
     "languages": _sql("select language, count(*) as n, count(*) filter (status = 'ACTIVE') as active, count(*) filter (ingestion_status = 'READY') as ready from resources group by language", "resources"),
 }

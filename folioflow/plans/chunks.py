@@ -61,8 +61,13 @@ def chunk_classes(spark, sf_dir):
     return K.classified(_chunks(spark, sf_dir)).groupBy("quality", "searchable", "front_matter", "boilerplate").agg(F.count("*").alias("n"), F.sum("meaningful").alias("meaningful"))
 
 
+def kept_chunks(spark, sf_dir):
+    """Chunks worth storing, with their texts."""
+    return K.quality_chunks(_chunks(spark, sf_dir))
+
+
 def quality_chunks(spark, sf_dir):
-    return K.quality_chunks(_chunks(spark, sf_dir)).select("doc_id", "chunk_index", "token_count", "chunk_hash", "quality")
+    return kept_chunks(spark, sf_dir).select("doc_id", "chunk_index", "token_count", "chunk_hash", "quality")
 
 
 def chunk_diagnostics(spark, sf_dir):

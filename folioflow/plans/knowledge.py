@@ -182,8 +182,9 @@ def cleaned_documents(spark, sf_dir):
 
 
 def embedded_chunks(spark, sf_dir):
-    """Vectors for chunks, with bad ones apart."""
-    chunks = chunk_plans.quality_chunks(spark, sf_dir).select("doc_id", "chunk_index", F.col("chunk_hash").alias("text"))
+    """Vectors for chunks' texts with their context, bad ones apart."""
+    texts = chunk_plans.kept_chunks(spark, sf_dir).withColumn("title", F.concat(F.lit("document "), "doc_id"))
+    chunks = texts.select("doc_id", "chunk_index", E.input_text("title", "chunk_text", "section_title").alias("text"))
     out = E.embedded(chunks, E.hashed(16), 16)
     return out.select("doc_id", "chunk_index", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), "error")
 
@@ -247,7 +248,9 @@ ORACLES = {
       mentions as (select doc_id, unnest(names) as name, generate_subscripts(names, 1) as position from named),
       keyed as (select doc_id, {KEY.format("name")} as source_key, lead({KEY.format("name")}) over (partition by doc_id order by position) as target_key from mentions)
       select doc_id as resource_id, count(distinct (source_key, target_key)) as edges, count(*) as mentions from keyed where source_key <> target_key and source_key <> '' and target_key <> '' group by doc_id""",
-    "embedded_chunks": rf"""with {chunk_plans.KEPT}, hashed as (select doc_id, chunk_index, sha256(sha256(chunk_text)) as h from kept)
+    "embedded_chunks": rf"""with {chunk_plans.KEPT}, context as (select k.*, c.section_title from kept k join (select doc_id, chunk_text, min(section_title) as section_title from chunks group by all) c using (doc_id, chunk_text)),
+      hashed as (select doc_id, chunk_index, sha256('Title: document ' || doc_id || case when coalesce(section_title, '') <> '' then chr(10) || 'Section: ' || section_title else '' end || chr(10) || chr(10)
+        || trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(chunk_text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g'), '(?i)\[Page\s+\d+\]', ' ', 'g'), '(?i)\bdocument ' || doc_id || '\b\s*\d*', ' ', 'g'), '\s+', ' ', 'g'))) as h from context)
       select doc_id, chunk_index, round(list_sum(list_transform(range(0, 16), lambda i: cast('0x' || substring(h, 2 * i + 1, 2) as int) / 255)), 6) as total, cast(null as varchar) as error from hashed""",
     "routed_questions": """select c_custkey, case c_custkey % 9 when 0 then 'get_books_by_author' when 1 then 'search_users' when 2 then 'search_subscriptions' when 3 then 'search_approval_requests' when 4 then 'get_tags'
         when 5 then 'get_books_by_genre' when 6 then 'search_authors' when 7 then 'search_catalog_resources' end as tool, case c_custkey % 9 when 4 then 'hints' when 8 then null else 'rule' end as chosen_by,

@@ -57,14 +57,26 @@ def recovered_jobs(spark, sf_dir):
 
 
 def admin_retries(spark, sf_dir):
-    return J.admin_retry(role(spark, sf_dir, "jobs"), role(spark, sf_dir, "resources")).select("resource_id", "job_id", "status", F.col("retry_count").cast("int").alias("retry_count"))
+    """Every second resource asked for, and some that nobody knows: queued again, or why not."""
+    asked = role(spark, sf_dir, "resources").select(F.expr("case when resource_id % 10 = 0 then -resource_id else resource_id * 2 end as resource_id"))
+    return J.admin_retry(role(spark, sf_dir, "jobs"), asked, role(spark, sf_dir, "resources")).select("resource_id", "job_id", "status", F.col("retry_count").cast("int").alias("retry_count"), "reason")
+
+
+def reindexed_resources(spark, sf_dir):
+    """A new job for each resource without one under way, with the settings of its latest job."""
+    jobs = role(spark, sf_dir, "jobs").withColumn("chunk_size_tokens", F.when(F.col("job_id") % 3 > 0, F.lit(100) + F.col("job_id") % 7))
+    resources = role(spark, sf_dir, "resources")
+    found = J.reindexed(jobs, resources, resources, "GRAPH", {"chunk_size_tokens": 1200, "chunk_overlap_tokens": 80})
+    return found.select("resource_id", "status", "indexing_mode", F.col("chunk_size_tokens").cast("int").alias("chunk_size_tokens"), "chunk_overlap_tokens", "reason")
 
 
 def upserted_settings(spark, sf_dir):
     """Customers with newer balances for some, and new ones."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     changes = customers.where("c_custkey % 10 = 0").select((F.col("c_custkey") * 2).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return J.upserted(customers, changes, ["c_custkey"])
+    again = changes.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") - 7)
+    turns = changes.withColumn("turn", F.lit(1)).unionByName(again.withColumn("turn", F.lit(2)))
+    return J.upserted(customers.withColumn("turn", F.lit(0)), turns, ["c_custkey"], ["turn"]).drop("turn")
 
 
 def added_rows(spark, sf_dir):
@@ -136,13 +148,23 @@ ORACLES = {
     "recovered_jobs": f"""{JOBS} select job_id, case when retry_count + 1 > 3 then 'FAILED' else 'QUEUED' end as status, retry_count + 1 as retry_count,
       case when retry_count + 1 <= 3 then timestamp '{NOW}' + to_seconds(60 * (retry_count + 1)) end as next_retry_at, 'Recovered stale PROCESSING job' as error_message
       from all_jobs where status = 'PROCESSING' and (heartbeat_at is null or heartbeat_at < timestamp '{NOW}' - interval 900 second)""",
+    "reindexed_resources": with_roles(
+        """, last as (select resource_id, arg_max(job_id, (created_at, job_id)) as job_id, arg_max(status, (created_at, job_id)) as status from jobs group by resource_id)
+        select r.resource_id, case when coalesce(l.status, '') not in ('PROCESSING', 'QUEUED') then 'QUEUED' end as status, 'GRAPH' as indexing_mode, cast(coalesce(case when job_id % 3 > 0 then 100 + job_id % 7 end, 1200) as int) as chunk_size_tokens, 80 as chunk_overlap_tokens,
+          case when l.status in ('PROCESSING', 'QUEUED') then 'Latest ingestion job is already ' || l.status end as reason from resources r left join last l using (resource_id)""",
+        "jobs",
+        "resources",
+    ),
     "admin_retries": with_roles(
-        """select resource_id, job_id, 'QUEUED' as status, 0 as retry_count from (select resource_id, arg_max(job_id, (created_at, job_id)) as job_id, arg_max(status, (created_at, job_id)) as status from jobs
-        where resource_id in (select resource_id from resources) group by resource_id) where status = 'FAILED'""",
+        """, asked as (select distinct case when resource_id % 10 = 0 then -resource_id else resource_id * 2 end as resource_id from resources),
+        last as (select resource_id, arg_max(job_id, (created_at, job_id)) as job_id, arg_max(status, (created_at, job_id)) as status, arg_max(retry_count, (created_at, job_id)) as retry_count from jobs group by resource_id),
+        told as (select a.resource_id, job_id, status, retry_count, case when a.resource_id not in (select resource_id from resources) then 'Resource not found' when status in ('PROCESSING', 'QUEUED') then 'Latest ingestion job is already ' || status
+          when status is null then 'No ingestion job found for resource' when status <> 'FAILED' then 'Latest ingestion job is ' || status || '; only FAILED jobs can be retried' end as reason from asked a left join last using (resource_id))
+        select resource_id, job_id, case when reason is null then 'QUEUED' else status end as status, case when reason is null then 0 else retry_count end as retry_count, reason from told""",
         "jobs",
         "resources",
     ),
-    "upserted_settings": """with changes as (select c_custkey * 2 as c_custkey, c_acctbal + 1 as c_acctbal from customer where c_custkey % 10 = 0)
+    "upserted_settings": """with changes as (select c_custkey * 2 as c_custkey, c_acctbal + 1 - case when c_custkey * 2 % 3 = 0 then 7 else 0 end as c_acctbal from customer where c_custkey % 10 = 0)
       select c_custkey, c_acctbal from customer where c_custkey not in (select c_custkey from changes) union all select * from changes""",
     "added_rows": "select n_name as name, n_regionkey as kind from nation union all select r_name, r_regionkey from region where r_name not in (select n_name from nation)",
     "cascade_counts": f"""{JOBS}, gone as (select p_partkey as resource_id from part where p_partkey % 17 = 0 and p_partkey not in (select resource_id from all_jobs where status = 'PROCESSING'))

@@ -107,6 +107,13 @@ def keyword_search_filtered(spark, sf_dir):
     return S.keyword_top(seen, _name_queries(spark, sf_dir), K).select("query_id", "chunk_id", "keyword_score", "resource_match_score", "keyword_rank")
 
 
+def keyword_search_by_tags(spark, sf_dir):
+    """Tags put together from their table, each resource's in order, as the text that queries are looked for in."""
+    tags = resource_tags(spark, sf_dir).groupBy("resource_id").agg(F.array_join(F.sort_array(F.collect_set("tag_name")), " ").alias("tags"))
+    seen = G.visible(_named_chunks(spark, sf_dir).drop("tags").join(tags, "resource_id", "left"), _resources(spark, sf_dir))
+    return S.keyword_top(seen, _name_queries(spark, sf_dir), K).select("query_id", "chunk_id", "keyword_score", "resource_match_score", "keyword_rank")
+
+
 def query_understanding(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
     return S.understood(turns).select("conv_id", "turn", F.sha2("normalised", 256).alias("normalised"), "intent", F.size("terms").alias("n_terms"))
@@ -211,6 +218,10 @@ ORACLES = {
     ),
     "keyword_search_by_names": with_roles(BY_NAMES.format(open=OPEN, k=K), "resources", "categories"),
     "keyword_search_filtered": with_roles(BY_NAMES.format(open=f"{OPEN} and category_name = '{ASKED_CATEGORY}'", k=K), "resources", "categories"),
+    "keyword_search_by_tags": with_roles(
+        BY_NAMES.format(open=OPEN, k=K).replace("contains(lower(description), phrase) as d", "contains((select lower(string_agg(tag_name, ' ' order by tag_name)) from resource_tags t where t.resource_id = seen.resource_id), phrase) as d"),
+        "resources", "categories", "resource_tags",
+    ),
     "fusion_by_rank": f"""with {LISTS} select query_id, chunk_id, vector_rank, keyword_rank, round(coalesce(0.7 / (60 + vector_rank), 0) + coalesce(0.3 / (60 + keyword_rank), 0) + coalesce(cast(exact as double), 0), 9) as score
       from vector_top full join keyword_top using (query_id, chunk_id)""",
     "fusion_by_score": f"""with {LISTS}, v as (select *, {PART.format("vector_score")} as part from vector_top window w as (partition by query_id)), k as (select *, {PART.format("keyword_score")} as part from keyword_top window w as (partition by query_id)),

@@ -33,10 +33,14 @@ HIDDEN_TAGS = ("script", "style", "nav")
 
 
 def files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Rows (path, file_name, extension, length, content, file_hash) of the files up to that size."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= most_bytes)
+    """Rows (path, file_name, extension, length, content, file_hash, error); the content of a larger file isn't read, its row says so."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return rows.select("path", name.alias("file_name"), extension(name).alias("extension"), "length", "content", F.sha2("content", 256).alias("file_hash"))
+    own = ["path", name.alias("file_name"), extension(name).alias("extension"), "length"]
+    # The limit is pushed into the scan, so contents are read of the smaller files only.
+    read = rows.where(F.col("length") <= most_bytes).select(*own, "content", F.sha2("content", 256).alias("file_hash"), F.lit(None).cast("string").alias("error"))
+    large = rows.where(F.col("length") > most_bytes).select(*own, F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("file_hash"), F.concat(F.lit(f"larger than {most_bytes} bytes: "), "length").alias("error"))
+    return read.unionByName(large)
 
 
 def extension(name: Column | str) -> Column:
@@ -144,8 +148,10 @@ def extracted(found: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in EXTRACTED.split(", ")]
     types = [pa.int32() if f.split()[1] == "int" else pa.string() for f in EXTRACTED.split(", ")]
 
-    def parsed(kind: str | None, content: bytes) -> dict:
+    def parsed(kind: str | None, content: bytes | None, error: str | None) -> dict:
         try:
+            if error is not None:
+                return {"error": error}
             if kind not in PARSERS:
                 raise ValueError(f"unsupported extension {kind}")
             return PARSERS[kind](content)
@@ -155,10 +161,10 @@ def extracted(found: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):  # one file's text at a time
-                got = parsed(batch.column(2)[i].as_py(), batch.column(5)[i].as_py())
+                got = parsed(batch.column(2)[i].as_py(), batch.column(5)[i].as_py(), batch.column(6)[i].as_py())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(5)), *(pa.array([got.get(n)], t) for n, t in zip(names, types, strict=True))], [*keep, *names])
 
-    return found.select(*keep, "content").mapInArrow(run, f"path string, file_name string, extension string, length long, file_hash string, {EXTRACTED}")
+    return found.select(*keep, "content", "error" if "error" in found.columns else F.lit(None).cast("string").alias("error")).mapInArrow(run, f"path string, file_name string, extension string, length long, file_hash string, {EXTRACTED}")
 
 
 def published_date(c: Column | str) -> Column:

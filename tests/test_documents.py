@@ -137,6 +137,45 @@ def test_files(spark, tmp_path):
     assert rows["bad.epub"].text is None and "BadZipFile" in rows["bad.epub"].error
 
 
+def test_large_files_are_rows_with_an_error(spark, tmp_path):
+    from folioflow.sources import files
+
+    (tmp_path / "small.txt").write_text("few words")
+    (tmp_path / "large.txt").write_text("many words " * 100)
+    rows = {r.file_name: r for r in files.extracted(files.files(spark, str(tmp_path), 50)).collect()}
+    assert rows["small.txt"].text == "few words" and rows["small.txt"].error is None
+    assert rows["large.txt"].text is None and rows["large.txt"].error == "larger than 50 bytes: 1100" and rows["large.txt"].length == 1100
+
+
+def test_extraction_by_a_model_falls_back_to_single_texts(spark):
+    from folioflow.operators import graph as G
+
+    def model(prompts):
+        if len(prompts) > 1 and any("bad" in p for p in prompts):
+            raise RuntimeError("batch lost")
+        if any("bad" in p for p in prompts):
+            raise ValueError("cannot read it")
+        return ['Here: ```json\n{"entities": [{"name": "Ada", "type": "person", "confidence": 0.5}], "relationships": [{"source": "Ada", "target": "Bob", "type": "knows"}]}\n```' if "Ada" in p else "no idea" for p in prompts]
+
+    chunks = spark.createDataFrame([(1, i, i, t) for i, t in enumerate(["Ada here", "bad one", "Ada there", "nothing", None])], "resource_id int, chunk_id int, chunk_index int, chunk_text string").coalesce(1)
+    mentions, edges, errors = G.extracted(chunks, model, 3)
+    assert sorted((r.chunk_id, r.name, r.entity_type, r.confidence) for r in mentions.collect()) == [(0, "Ada", "person", 0.5), (2, "Ada", "person", 0.5)]
+    assert sorted((r.chunk_id, r.source, r.target, r.relationship_type) for r in edges.collect()) == [(0, "Ada", "Bob", "knows"), (2, "Ada", "Bob", "knows")]
+    assert {r.chunk_id: r.error for r in errors.collect()} == {1: "ValueError: cannot read it", 3: "no JSON of entities and relationships", 4: "no JSON of entities and relationships"}
+    assert G.entities(mentions).first().mention_count == 2 and G.relationships(edges, G.entities(mentions)).count() == 0
+    given = spark.createDataFrame([(1, "e" * 20_000, "r")], "resource_id int, entities string, relationships string")
+    found = G.summarised(given, lambda ps: [str(len(p)) for p in ps]).first()
+    assert found.summary == str(len(G.SUMMARY_PROMPT) + G.FACT_CHARS) and found.error is None
+
+
+def test_changes_of_one_key(spark):
+    table, changes = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, t int"), spark.createDataFrame([(2, "x", 2), (2, "y", 1), (3, "z", 1), (3, "z", 1)], "k int, v string, t int")
+    from folioflow.operators import jobs as J
+
+    assert sorted(map(tuple, J.upserted(table, changes, ["k"], ["t"]).collect())) == [(1, "a", 0), (2, "x", 2), (3, "z", 1)]
+    assert sorted(map(tuple, J.upserted(table, changes, ["k"]).collect())) == [(1, "a", 0), (2, "y", 1), (3, "z", 1)]
+
+
 def test_request_over_file_metadata(spark):
     found = spark.createDataFrame([("p", "File", "en")], "path string, title string, language string")
     asked = spark.createDataFrame([("p", "  ", "de")], "path string, title string, language string")
