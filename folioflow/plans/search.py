@@ -72,7 +72,7 @@ ASKED_TAGS, ASKED_CATEGORY = ("small", "steel", "navy"), "NATION_7"
 
 
 def _resources(spark, sf_dir):
-    return role(spark, sf_dir, "resources").join(F.broadcast(role(spark, sf_dir, "categories").select("category_id", "category_name")), "category_id", "left")
+    return role(spark, sf_dir, "resources").join(role(spark, sf_dir, "categories").select("category_id", "category_name"), "category_id", "left")
 
 
 def vector_search_filtered(spark, sf_dir):
