@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow
+from .common import Scratch, byte_letters, map_arrow
 
 #: Pairs broadcast with their counts: 16 bytes each.
 HEAD = 1 << 20
@@ -45,9 +45,7 @@ class ByteBpe:
         import tiktoken
 
         vocabulary = json.load(open(path))["model"]["vocab"]
-        # Bytes that the file writes as themselves; the others stand, in order, from U+0100 on.
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        byte_of = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        byte_of = byte_letters()
         special = {x["id"] for x in json.load(open(path))["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if i not in special}
         self.encoding = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

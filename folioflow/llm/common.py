@@ -88,6 +88,16 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary of a byte-level tokenizer's file.
+
+    Fixed values: printable bytes stand for themselves, the others, in order, are the letters from U+0100 on.
+    """
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(other)}
+
+
 def lower_table(delimiters: Iterable[int] = ()) -> bytes:
     """A bytes.translate table: A-Z to a-z, the delimiters to a space."""
     table = bytearray(range(256))

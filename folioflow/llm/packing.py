@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, utf8
+from .common import Scratch, byte_letters, map_arrow, utf8
 
 CAPACITY = 2048
 END_ID = 0
@@ -84,8 +84,26 @@ class WordIds:
         model = json.loads(self.tokenizer.to_str())
         patterns = [p.get("pattern", {}).get("Regex") for p in (model.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.cuts = bool(self.ends.any()) and TOKEN_PATTERN in patterns
+        self.fast = self._by_ranks(model["model"]) if self.cuts else None
         self.words, self.parts = Recent(most_words), Recent(most_words // 2)
 
+    def _by_ranks(self, model: dict):
+        """The same merges for tiktoken, five times as fast: a zero byte stands for the end of a word. None if the vocabulary isn't in the order of its merges."""
+        vocabulary, merges, letters = model["vocab"], model["merges"], byte_letters()
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        first = len(vocabulary) - len(pairs)
+        if any(vocabulary.get(a + b) != first + k for k, (a, b) in enumerate(pairs)):
+            return None
+        ranks: dict[bytes, int] = {}
+        for token, i in vocabulary.items():
+            end = token.endswith(self.SUFFIX) and token != self.SUFFIX
+            ranks[bytes(letters[c] for c in (token.removesuffix(self.SUFFIX) if end else token)) + b"\0" * end] = i
+        if len(ranks) != len(vocabulary):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("parts", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -94,7 +112,10 @@ class WordIds:
         out: list[bytes] = []
         for i in range(0, len(parts), 4096):
             some = parts[i : i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            if self.fast:
+                ids = np.array(self.fast.encode_ordinary("\0".join(some) + "\0"), "<u4")
+            else:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 out += self._each(some)

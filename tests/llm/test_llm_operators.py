@@ -600,6 +600,21 @@ def test_ids_equal_the_tokenizer():
         assert np.frombuffer(g, "<u4").tolist() == e.ids, t
 
 
+def test_parts_by_ranks_equal_the_tokenizer():
+    """Two tokens side by side, words of any letters, marks: the ids of the given tokenizer itself."""
+    import random
+
+    import public_tokenizers
+
+    encode, rng = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), 100), random.Random(5)
+    assert encode.fast is not None
+    tokens = [t.removesuffix("</w>") for t in encode.tokenizer.get_vocab(with_added_tokens=False)]
+    made = {rng.choice(tokens) + rng.choice(tokens) + rng.choice(["", *tokens[:500]]) for _ in range(40_000)}
+    made |= {"".join(rng.choice("abcdefghijklmnopqrstuvwxyzàéüß") for _ in range(rng.randrange(1, 30))) for _ in range(20_000)} | {"a" * 5000, "".join(rng.choice("!?.,-") for _ in range(3000))}
+    parts = sorted({p for w in made if encode.PLAIN.fullmatch(w) and "<|" not in w for p in encode.PARTS.findall(w.lower())})
+    assert len(parts) > 30_000 and encode._parts(parts) == encode._each(parts)
+
+
 # The rest
 
 
