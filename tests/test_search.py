@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import text as T
 from folioflow.operators import search as S
 
 
@@ -140,3 +141,53 @@ def test_phrases_inside_values_by_brute_force(spark):
     found = inside(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(phrases, "query_id int, phrase string"), wildcards=True)
     got = {tuple(r) for r in found.collect() if r[1]}
     assert got == {(i, v) for i, p in phrases if p for v in values if v and like(p).fullmatch(v)}
+
+
+def test_reranking_of_all_passages_by_brute_force(spark, small):
+    """The rerank formula in plain Python over what keyword search finds."""
+    import math
+
+    from folioflow.plans import registry
+    from folioflow.plans import search as P
+
+    aliases, stop = T.ALIASES, set(T.STOP_WORDS)
+
+    def terms(text):
+        low = [w.strip("'-").lower() for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9'-]*", text or "")]
+        return list(dict.fromkeys(aliases.get(w, w) for w in low if len(w) >= 3 and w not in stop))
+
+    flat = lambda text: " ".join(w.strip("'-").lower() for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9'-]*", text or ""))
+    texts = {r["chunk_id"]: r for r in P.document_chunks(spark, small).collect()}
+    asked = {r["query_id"]: (r["normalised"], r["intent"]) for r in S.understood(P._passages(spark, small)).collect()}
+    by_query: dict = {}
+    for r in registry.QUERIES["keyword_search"](spark, small).collect():
+        query, intent = asked[r["query_id"]]
+        chunk = texts[r["chunk_id"]]
+        low, match = (chunk["chunk_text"] or "").lower(), r["resource_match_score"]
+        q, have, title = terms(query), set(terms(chunk["chunk_text"])), set(terms(chunk["title"]))
+        phrase = flat(query) != "" and flat(query) in flat(chunk["chunk_text"])
+        lookup = intent == "title_lookup" or 1 <= len(q) <= 4
+        missing = sum(w not in have for w in q)
+        cover = 0.0
+        if q:
+            cover = 2.5 * (len(q) - missing) / len(q) + (1.2 if lookup else 0.25) * sum(w in title for w in q) / len(q) + (0.75 if missing == 0 else 0.35 if missing <= max(1, len(q) // 4) else 0.0)
+        penalty = min(1.0, (0.25 if len(chunk["chunk_text"] or "") < 350 else 0.0) + 0.35 * sum(m in low for m in S.FRONT_MARKS))
+        resource = min(match * 0.35, 0.70) if lookup else min(match * 0.08, 0.12)
+        early = max(0.0, 0.55) if lookup and match > 0 else 0.0
+        by_intent = {"exact_quote": 1.25 if phrase else -0.35, "summary_request": min(match * 0.30, 0.50) - penalty * 0.75, "broad_document_query": min(match * 0.20, 0.35) - penalty * 0.60}.get(intent, 0.0)
+        asks = query.lower()
+        evidence = sum(0.80 for m in S.EVIDENCE if m in low) if "impression" in asks or "perceiv" in asks else 0.0
+        quote = 1.0 if ("quote" in asks or len(query.split()) > 8) and phrase else 0.0
+        score = (3.0 if phrase else 0.0) + cover + resource + early + by_intent + min(evidence + quote, 3.5) - (0.0 if lookup else penalty)
+        final = score + min(math.log1p(max(r["keyword_score"], 0.0)) / 10, 0.60)
+        by_query.setdefault(r["query_id"], []).append((final, score, match, r["chunk_id"]))
+    found: dict = {}
+    for r in registry.QUERIES["reranking"](spark, small).collect():
+        found.setdefault(r["query_id"], {})[r["chunk_id"]] = (r["rerank_score"], r["score"], r["rank"])
+    assert found.keys() == by_query.keys()
+    for query, rows in by_query.items():
+        for place, (final, score, _, chunk) in enumerate(sorted(rows, key=lambda x: (-round(x[0], 7), -x[2], x[3])), 1):
+            if found[query].get(chunk):
+                got = found[query][chunk]
+                assert got[0] == pytest.approx(score, abs=1e-5) and got[1] == pytest.approx(final, abs=1e-5)
+                assert abs(got[2] - place) <= sum(abs(f - final) < 1e-6 for f, *_ in rows) - 1
