@@ -189,10 +189,11 @@ def lookup(rows: DataFrame, columns: tuple[str, ...], q: str | None = None, **eq
 
 
 def containment(column: str, wanted: dict, path: str = "$") -> Column:
-    """A JSON text holds all of `wanted`: each leaf equal, arrays as sets of strings."""
+    """A JSON text holds all of `wanted`: each leaf equal as text, arrays as sets of strings. paths.containing() tells types apart."""
     tests = []
     for key, value in wanted.items():
-        at = f"{path}.{key}"
+        # In brackets, so that a dot in a key is a part of it.
+        at = f"{path}.{key}" if "'" in key else f"{path}['{key}']"
         if isinstance(value, dict):
             tests.append(containment(column, value, at))
         elif isinstance(value, list):

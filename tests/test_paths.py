@@ -54,3 +54,11 @@ def test_random_documents(spark):
     docs, asked = [(i, json.dumps(value())) for i in range(150)], [(i, json.dumps(value())) for i in range(40)]
     assert run(spark, docs, asked) == plain(docs, asked)
     assert run(spark, docs[:0] or [(0, None)], asked) == set()
+
+
+def test_filters_take_a_dot_as_part_of_a_key(spark):
+    from folioflow.operators.catalog import containment
+
+    df = spark.createDataFrame([(1, '{"a.b": 1}'), (2, '{"a": {"b": 1}}'), (3, '{"a": {"b": 1}, "t": ["x", "y"]}'), (4, None)], "id int, meta string")
+    ids = lambda wanted: sorted(r["id"] for r in df.where(containment("meta", wanted)).collect())
+    assert ids({"a.b": 1}) == [1] and ids({"a": {"b": 1}}) == [2, 3] and ids({"t": ["y"]}) == [3] and ids({"a": {"b": 2}}) == []
