@@ -170,12 +170,35 @@ def _holding(values: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     return low.join(held, "value").select("query_id", key).distinct()
 
 
+def _by_text(queries: DataFrame) -> DataFrame:
+    """(query_id, query) of the distinct texts, each for its own id: queries of the same text find the same. A null text finds nothing."""
+    return queries.where("query is not null").select(F.col("query").alias("query_id"), "query").distinct()
+
+
+def _for_all(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """What was found by _by_text(), for every query of that text."""
+    members = queries.select("query_id", F.col("query").alias("__text"))
+    return found.withColumnRenamed("query_id", "__text").join(members, "__text").select(*found.columns)
+
+
+def _least_keys(rows: DataFrame, same: list[str], key: str, k: int) -> DataFrame:
+    """The rows of the k least keys among those that agree in the columns `same`: where ties go by the key, no others can be among the k best."""
+    from pyspark.sql import Window
+
+    least = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*same).orderBy(key))).where(F.col("__n") <= k)
+    return kept(least.drop("__n"), "least")
+
+
 def similar_names(nodes: DataFrame, queries: DataFrame, k: int, key: str = "entity_key", name: str = "name", report: dict | None = None) -> DataFrame:
     """Rows (query_id, key, score, rank): names that contain a query or share more than LEAST_SIMILARITY of its trigrams.
 
     nodes: distinct (key, name); queries: (query_id, query). A name that holds a query scores 1.
     """
-    values = nodes.select(key, F.col(name).alias("value"))
+    return _for_all(_similar_names(nodes, _by_text(queries), k, key, name, report), queries)
+
+
+def _similar_names(nodes: DataFrame, queries: DataFrame, k: int, key: str = "entity_key", name: str = "name", report: dict | None = None) -> DataFrame:
+    values = _least_keys(nodes.select(key, F.col(name).alias("value")), ["value"], key, k)
     held = kept(_holding(values, queries, key).withColumn("score", F.lit(1.0)), "held")
     similar = candidates(values, queries, k, LEAST_SIMILARITY, key, known=held, report=report)
     scored = held.unionByName(similar.select("query_id", key, F.col("similarity").alias("score"))).groupBy("query_id", key).agg(F.max("score").alias("score"))
@@ -194,7 +217,12 @@ def relationship_top(links: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     links: (relationship_id, resource_id, relationship_type, description, source_name, target_name); queries: (query_id, query). A relationship is found by a
     description that is similar to the query, and where the query stands in its description, type or names; ties go by relationship_id.
     """
+    return _for_all(_relationship_top(links, _by_text(queries), k), queries)
+
+
+def _relationship_top(links: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     key = "relationship_id"
+    links = _least_keys(links, ["relationship_type", "description", "source_name", "target_name"], key, k)
     texts = links.select(key, F.coalesce("description", F.lit("")).alias("value"))
     names = links.select(key, F.explode(F.array("relationship_type", "source_name", "target_name")).alias("value"))
     held = kept(_holding(texts.unionByName(names), queries, key), "held")
@@ -214,7 +242,12 @@ def relationship_top(links: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def summary_top(summaries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rows (query_id, summary_id, resource_id, score, rank): summaries (summary_id, resource_id, summary_text) that are similar to a query or hold it."""
+    return _for_all(_summary_top(summaries, _by_text(queries), k), queries)
+
+
+def _summary_top(summaries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     key = "summary_id"
+    summaries = _least_keys(summaries, ["summary_text"], key, k)
     values = summaries.select(key, F.col("summary_text").alias("value"))
     held = _holding(values, queries, key).join(values, key).join(queries.select("query_id", "query"), "query_id")
     known = kept(held.select("query_id", key, T.trigram_similarity(T.trigrams("value"), T.trigrams("query")).alias("score")), "held")
@@ -228,16 +261,18 @@ def graph_search(nodes: DataFrame, links: DataFrame, summaries: DataFrame, chunk
 
     nodes: (entity_key, name, resource_id); chunks: (chunk_id, resource_id, chunk_index, chunk_text). All are of resources that a search may see.
     """
-    found = kept(similar_names(nodes.select("entity_key", "name").distinct(), queries, k), "entities")
+    texts = kept(_by_text(queries), "texts")
+    found = kept(_similar_names(nodes.select("entity_key", "name").distinct(), texts, k), "entities")
     entities = found.join(nodes.select("entity_key", "resource_id").distinct(), "entity_key")
-    relationships, abstracts = kept(relationship_top(links, queries, k), "relationships"), kept(summary_top(summaries, queries, k), "summaries")
+    relationships, abstracts = kept(_relationship_top(links, texts, k), "relationships"), kept(_summary_top(summaries, texts, k), "summaries")
     resources = entities.select("query_id", "resource_id").unionByName(relationships.select("query_id", "resource_id")).unionByName(abstracts.select("query_id", "resource_id")).distinct()
     # The first k chunks of a resource are enough for any query's first k.
     from pyspark.sql import Window
 
     first = chunks.withColumn("__n", F.row_number().over(Window.partitionBy("resource_id").orderBy("chunk_index", "chunk_id"))).where(F.col("__n") <= k)
     around = first.join(resources, "resource_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_index", "chunk_id"))).where(F.col("rank") <= k)
-    return {"entities": entities, "relationships": relationships, "summaries": abstracts, "chunks": around.select("query_id", "chunk_id", "resource_id", "chunk_index", F.left("chunk_text", F.lit(700)).alias("snippet"), "rank")}
+    around = around.select("query_id", "chunk_id", "resource_id", "chunk_index", F.left("chunk_text", F.lit(700)).alias("snippet"), "rank")
+    return {kind: _for_all(rows, queries) for kind, rows in (("entities", entities), ("relationships", relationships), ("summaries", abstracts), ("chunks", around))}
 
 
 def related_chunks(chunks: DataFrame, resource_ids: DataFrame, chunk_ids: DataFrame, k: int) -> DataFrame:

@@ -111,3 +111,28 @@ def test_summaries_take_the_first_names(spark, small):
     row = G.community_summaries(labels, nodes).first()
     assert (row["entity_count"], row["name"]) == (30, "Name 00, Name 01, Name 02") and "Name 07." in row["summary"]
     assert registry.QUERIES["graph_communities"](spark, small).columns == ["resource_id", "entity_key", "community"]
+
+
+def test_equal_texts_are_compared_once(spark, monkeypatch):
+    links = spark.range(600).selectExpr("id as relationship_id", "id % 7 as resource_id", "upper(concat('KIND ', id % 2)) as relationship_type", "case when id % 3 = 0 then null else 'old plate' end as description", "'hot bolt' as source_name", "concat('Brand#', id % 2) as target_name")
+    summaries = links.selectExpr("relationship_id as summary_id", "resource_id", "concat('blue ring ', relationship_id % 2) as summary_text")
+    nodes = links.selectExpr("relationship_id as entity_key", "concat('large bolt ', relationship_id % 2) as name")
+    queries = spark.range(90).selectExpr("id as query_id", "case id % 4 when 0 then 'bolt' when 1 then 'old plates' when 2 then 'ring' end as query")
+    sizes = []
+
+    def counted(values, asked, *args, **more):
+        sizes.append((values.count(), asked.count()))
+        return candidates(values, asked, *args, **more)
+
+    monkeypatch.setattr(G, "candidates", counted)
+    found = {}
+    for kind, rows in (("relationship_id", G.relationship_top(links, queries, 5)), ("summary_id", G.summary_top(summaries, queries, 5)), ("entity_key", G.similar_names(nodes, queries, 5))):
+        for r in rows.collect():
+            found.setdefault((kind, r["query_id"]), []).append((r["rank"], r[kind]))
+    assert max(values for values, _ in sizes) <= 20 and max(asked for _, asked in sizes) <= 3
+    held = lambda kind, query: [key for _, key in sorted(found.get((kind, query), []))]
+    for query in range(0, 90, 4):
+        assert held("relationship_id", query) == [0, 1, 2, 3, 4] == held("entity_key", query)
+        assert held("summary_id", query + 2) == [0, 1, 2, 3, 4] if query + 2 < 90 else True
+        assert held("relationship_id", query + 1) == [1, 2, 4, 5, 7] if query + 1 < 90 else True
+        assert not any(q == query + 3 for _, q in found)
