@@ -30,7 +30,7 @@ def compatibility_form(text: pd.Series) -> pd.Series:
 def joined_lines(text: Column) -> Column:
     """Hyphens at line ends and at wrapped words gone."""
     once = F.regexp_replace(text, r"([A-Za-z])-\s*\n\s*([a-z])", "$1$2")
-    return F.regexp_replace(once, r"\b([A-Za-z]{3,})-\s+([a-z]{2,})\b", "$1$2")
+    return F.regexp_replace(once, T.ascii_bounds(r"\b([A-Za-z]{3,})-\s+([a-z]{2,})\b"), "$1$2")
 
 
 def drop_caps(text: Column) -> Column:
@@ -40,9 +40,9 @@ def drop_caps(text: Column) -> Column:
 
 def repaired(text: Column) -> tuple[Column, Column]:
     """(text, repairs) with joined words apart."""
-    count = sum((F.regexp_count(text, F.lit(rf"\b{w}\b")) for w in JOINED), F.lit(0))
+    count = sum((F.regexp_count(text, F.lit(T.ascii_bounds(rf"\b{w}\b"))) for w in JOINED), F.lit(0))
     for wrong, right in JOINED.items():
-        text = F.regexp_replace(text, rf"\b{wrong}\b", right)
+        text = F.regexp_replace(text, T.ascii_bounds(rf"\b{wrong}\b"), right)
     return text, count
 
 

@@ -22,6 +22,11 @@ def test_understanding(spark):
     assert found["quiet rivers mountains valleys forests oceans deserts"].intent == "broad_document_query"
 
 
+def test_words_end_at_letters_of_other_scripts_as_in_sql(spark):
+    found = asked(spark, "Osrr rañmente mimente mentetall nisa wera ñdo con", "Iequega doñes laasboadota Larrieque ciónraezque venisa nadela", "osrr dona mimente mentetall nisa wera condo")
+    assert [r.intent for r in found.values()] == ["factual_question", "factual_question", "broad_document_query"]
+
+
 def test_oversampling():
     assert S.retrieval_k(10, 5) == 50 and S.retrieval_k(50, 5) == 250 and S.retrieval_k(10, hybrid=False) == 10
     with pytest.raises(ValueError):
