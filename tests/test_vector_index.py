@@ -1,6 +1,7 @@
 """The vector index: recall, exactness over all cells, appended rows, ties, nulls, empty tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,17 @@ def test_best_of_batch_equals_sorting():
         for q in range(5):
             want = sorted(range(n), key=lambda i: (-scores[i, q], keys[i]))[:k]
             assert sorted(row[query == q].tolist()) == sorted(want)
+
+
+def test_scores_held_at_once_are_bounded(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, asked, keys = rng.normal(size=(500, 4)), rng.normal(size=(70, 4)), pa.array(rng.permutation(500))
+    rows[100:140] = rows[0]
+    sizes, plain = [], V.best_of_batch
+    whole = rows @ asked.T
+    monkeypatch.setattr(V, "SCORES", 4_000)
+    monkeypatch.setattr(V, "best_of_batch", lambda scores, keys, k: sizes.append(scores.size) or plain(scores, keys, k))
+    found = {(int(q), int(r)): s for query, row, score in V.best_of_blocks(rows, asked, keys, 5) for q, r, s in zip(query, row, score)}
+    row, query = plain(whole, keys, 5)
+    assert max(sizes) <= 4_000 and len(sizes) == 9
+    assert found == pytest.approx({(int(q), int(r)): whole[r, q] for r, q in zip(row, query)})
