@@ -196,3 +196,17 @@ def test_reranking_of_all_passages_by_brute_force(spark, small):
                 got = found[query][chunk]
                 assert got[0] == pytest.approx(score, abs=1e-5) and got[1] == pytest.approx(final, abs=1e-5)
                 assert abs(got[2] - place) <= sum(abs(f - final) < 1e-6 for f, *_ in rows) - 1
+
+
+def test_equal_wordings_are_looked_up_once(spark, monkeypatch):
+    chunks = spark.range(60).selectExpr("id as chunk_id", "'' as chunk_text", "concat('hot bolt ', id % 2) as title", "concat('brand#', id % 3) as author", "id % 7 as chunk_index")
+    queries = spark.range(80).selectExpr("100 + id as query_id", "case id % 3 when 0 then 'brand#1' when 1 then 'bolt 1' end as normalised", "'title_lookup' as intent")
+    sizes, plain = [], S.inside
+    monkeypatch.setattr(S, "inside", lambda values, asked, *more: sizes.append(asked.count()) or plain(values, asked, *more))
+    found = {}
+    for r in S.keyword_top(chunks, queries, 4).collect():
+        found.setdefault(r["query_id"], []).append((r["keyword_rank"], r["chunk_id"], r["keyword_score"], r["resource_match_score"]))
+    assert sizes == [3]
+    for query in range(80):
+        want = {0: [(1, 1, 3.0, 0.0), (2, 4, 3.0, 0.0), (3, 7, 3.0, 0.0), (4, 10, 3.0, 0.0)], 1: [(1, 7, 5.0, 1.0), (2, 21, 5.0, 1.0), (3, 35, 5.0, 1.0), (4, 49, 5.0, 1.0)], 2: []}[query % 3]
+        assert sorted(found.get(100 + query, [])) == want
