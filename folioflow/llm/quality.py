@@ -4,8 +4,8 @@ Words and pairs of words are hashed into BUCKETS. Over all documents their count
 ones that of the target. A document's score is the mean log ratio of the two over its n-grams. It passes if that is no less than the
 threshold: the score that tells the labelled documents' two qualities apart best, a lost good one weighing GOOD_WEIGHT times a kept bad one.
 
-Trusted are labelled documents of quality 1 that aren't toxic, as many as LABELLED_DOCS of them by a hash of their id: the only sample.
-Half of them make the target; the other half, and as many documents of quality 0, the threshold, since a text scores higher where its own
+Trusted are all labelled documents of quality 1 that aren't toxic; nothing is a sample.
+Half of them, by a hash of the id, make the target; the other half, and all documents of quality 0, the threshold, since a text scores higher where its own
 n-grams were counted. Without documents of quality 0 the threshold is the LEAST quantile of the good ones' scores.
 Words, lines and windows are told apart exactly: by their bytes, or, in a text of more than HASH_BYTES, by 64-bit hashes of which the bytes
 say that no two different ones are equal; if any are, another seed is taken. Such a text is gone through in parts of about HASH_BYTES.
@@ -23,7 +23,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xxhash import xxh64_intdigest as digest
@@ -31,7 +31,7 @@ from xxhash import xxh64_intdigest as digest
 from .common import Scratch, map_arrow, pieces, utf8
 
 BUCKET_BITS = 16
-LABELLED_DOCS, GOOD_WEIGHT, LEAST, SEED = 20_000, 3.0, 0.01, 5
+GOOD_WEIGHT, LEAST, SEED = 3.0, 0.01, 5
 TARGET, HELD, BAD = 1, 2, 3
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
@@ -249,14 +249,16 @@ class Texts:
 
 
 def labelled_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows (__id, __part) of up to about LABELLED_DOCS documents of either quality, chosen by a hash of the id; an id stands once."""
+    """Rows (__id, __part) of all labelled documents that are trusted or of quality 0, the trusted ones halved by a hash of the id; an id stands once."""
     given = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     given = given.where("quality = 0 or quality = 1 and toxic = 0")
-    n = {r["quality"]: r["n"] for r in given.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("quality") == 1, min(1.0, LABELLED_DOCS / max(1, n.get(1, 0)))).otherwise(min(1.0, LABELLED_DOCS / max(1, n.get(0, 0))))
-    hashed = F.xxhash64(F.col("__id").cast("string"), F.lit(SEED))
-    part = F.when(F.col("quality") == 0, BAD).when(hashed % 2 == 0, TARGET).otherwise(HELD)
-    return given.where(F.shiftrightunsigned(hashed, 11) * F.lit(2.0**-53) < share).select("__id", part.alias("__part"))
+    part = F.when(F.col("quality") == 0, BAD).when(in_target(F.col("__id")), TARGET).otherwise(HELD)
+    return given.select("__id", part.alias("__part"))
+
+
+def in_target(key: Column) -> Column:
+    """Whether a trusted document of that id makes the target."""
+    return F.xxhash64(key.cast("string"), F.lit(SEED)) % 2 == 0
 
 
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float | None:
@@ -270,6 +272,27 @@ def best_threshold(good: np.ndarray, bad: np.ndarray) -> float | None:
     return float(good[cost.argmin()])
 
 
+def threshold_of(scores: DataFrame) -> float | None:
+    """best_threshold() of a table (__part, score) of any size: equal scores are counted, then summed up along ranges of them."""
+    per = scores.groupBy("score").agg(F.count_if(F.col("__part") == HELD).alias("good"), F.count_if(F.col("__part") == BAD).alias("bad"))
+    dealt = Scratch(scores.sparkSession, "thresholds").keep(per.repartitionByRange("score").withColumn("__at", F.spark_partition_id()))
+    # A row a range: no more than there are shuffle partitions.
+    ahead = Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("__at").agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads"))
+    starts = ranges.select("__at", F.coalesce(F.sum("goods").over(ahead), F.lit(0)).alias("__good"), F.coalesce(F.sum("bads").over(ahead), F.lit(0)).alias("__bad"))
+    all_good, all_bad = ranges.agg(F.sum("goods"), F.sum("bads")).first()
+    if not all_good:
+        return None
+    before = Window.partitionBy("__at").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)) + F.col(f"__{c}")
+    placed = dealt.join(F.broadcast(starts), "__at").select("score", "good", below("good").alias("lost"), below("bad").alias("stopped")).where("good > 0")
+    if not all_bad:
+        place = int(LEAST * (all_good - 1))
+        return placed.where((F.col("lost") <= place) & (F.col("lost") + F.col("good") > place)).first()["score"]
+    cost = F.lit(GOOD_WEIGHT) * F.col("lost") / F.lit(all_good) + 1 - F.col("stopped") / F.lit(all_bad)
+    return placed.agg(F.min(F.struct(cost.alias("cost"), "score")).alias("best")).first()["best"]["score"]
+
+
 def corpus_counts(docs: DataFrame, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts by bucket of all of docs (text, __part), and of those of the target."""
 
@@ -331,22 +354,24 @@ def measured(docs: DataFrame, ratios: np.ndarray | None, bits: int = BUCKET_BITS
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id") -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept)."""
-    # About 2 * LABELLED_DOCS ids at most: their broadcast is bounded.
-    trusted = F.broadcast(labelled_ids(labels, label_id_col))
+    trusted = labelled_ids(labels, label_id_col)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    given = given.join(trusted, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", F.coalesce("__part", F.lit(0)).alias("__part"))
-    corpus, target = corpus_counts(given)
+    # Labels meet the texts for the target alone: half of the texts are shuffled at most, none while the labels are small.
+    target_ids = trusted.where(F.col("__part") == TARGET)
+    meant = given.where(in_target(F.col("doc_id"))).join(target_ids, F.col("doc_id") == F.col("__id")).select("text", "__part")
+    corpus, target = corpus_counts(given.withColumn("__part", F.lit(0)))[0], corpus_counts(meant)[1]
     ratios = None
     if target.sum():
         # One more than the target's count, and than the count expected at the corpus's rates: what is rare in both says little.
         ratios = np.log((target + 1) / (corpus * (target.sum() / corpus.sum()) + 1))
-    found = Scratch(docs.sparkSession, "quality").keep(measured(given, ratios))
-    # One score an id, the least of its rows: no more than about 1.5 * LABELLED_DOCS, however often an id is repeated.
-    scored = found.where((F.col("__part") >= HELD) & F.col("score").isNotNull()).groupBy("doc_id", "__part").agg(F.min("score").alias("score")).toPandas()
-    threshold = best_threshold(*(scored["score"][scored["__part"] == part].to_numpy() for part in (HELD, BAD)))
+    found = Scratch(docs.sparkSession, "quality").keep(measured(given.withColumn("__part", F.lit(0)), ratios).drop("__part"))
+    # One score an id, the least of its rows, however often an id is repeated.
+    judged = trusted.where(F.col("__part") >= HELD)
+    scored = found.where(F.col("score").isNotNull()).join(judged, F.col("doc_id") == F.col("__id")).groupBy("doc_id", "__part").agg(F.min("score").alias("score"))
+    threshold = threshold_of(scored)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     passes = F.lit(True) if threshold is None else F.coalesce(F.col("score") >= threshold, F.lit(False))
-    return found.drop("__part").withColumns({"base_failed": failed, "threshold": F.lit(threshold).cast("double"), "kept": ~failed & passes})
+    return found.withColumns({"base_failed": failed, "threshold": F.lit(threshold).cast("double"), "kept": ~failed & passes})
 
 
 def op5_ngram_ratio(spark, sf_dir: str) -> DataFrame:

@@ -105,3 +105,18 @@ def test_ratio_by_plain_python(spark):
         failed = len(texts[r["doc_id"]].split()) < quality.LEAST_WORDS or 100 * plain(texts[r["doc_id"]])[4] > quality.MOST_REPEATED * len(texts[r["doc_id"]].split())
         assert r["kept"] == (not failed and r["score"] >= r["threshold"] - 1e-12)  # a score equal to the threshold passes
     assert any(abs(s - threshold) < 1e-9 for s in score.values())
+
+
+def test_all_labelled_documents_count(spark):
+    labels = spark.range(45_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    counts = {r["__part"]: r["count"] for r in quality.labelled_ids(labels).groupBy("__part").count().collect()}
+    assert counts[quality.BAD] == 22_500 == counts[quality.TARGET] + counts[quality.HELD]
+
+
+def test_threshold_over_ranges_equals_plain(spark):
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(1, 1, 300).round(1), rng.normal(-0.5, 1, 200).round(1)
+    rows = spark.createDataFrame([(quality.HELD, float(x)) for x in good] + [(quality.BAD, float(x)) for x in bad], "__part int, score double")
+    assert quality.threshold_of(rows) == quality.best_threshold(good, bad)
+    assert quality.threshold_of(rows.where(f"__part = {quality.HELD}")) == quality.best_threshold(good, np.array([]))
+    assert quality.threshold_of(rows.where(f"__part = {quality.BAD}")) is None is quality.threshold_of(rows.limit(0))
