@@ -1,17 +1,21 @@
 """The stored full-text index: postings, pruned search and keyword search against plain Python; segments and deletions."""
 
+import os
 import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions.stem import stem
 from folioflow.operators import fulltext as X
+from folioflow.operators import fulltext_store
 from folioflow.operators import search as S
 from folioflow.operators.fulltext_store import FullTextIndex
 from folioflow.plans import registry
+from folioflow.sources import scratch
 
 STOP = set(X.STOP)
 
@@ -148,3 +152,28 @@ def test_keyword_search_equals_plain(spark, small):
     assert got(found) == {q: [(c, round(s, 6)) for c, s in v] for q, v in want.items() if v}
     again = {(r["query_id"], r["chunk_id"]) for r in registry.QUERIES["fulltext_search"](spark, small).collect()}
     assert again == {(r["query_id"], d) for r in asked for d, v in docs.items() if phrase_score(terms_of(v[0]), re.findall(r"[^\W_]+", r["query"].lower())) is not None}
+
+
+def test_tasks_grow_in_number_with_the_files(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet").select("doc_id", "text")
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in docs.inputFiles())
+    many = scratch.dealt(docs, size // 20)
+    assert many.rdd.getNumPartitions() >= 20 and many.count() == docs.count()
+    assert max(r["count"] for r in many.groupBy(F.spark_partition_id().alias("at")).count().collect()) < 0.1 * docs.count()
+    assert scratch.dealt(docs).rdd.getNumPartitions() == docs.rdd.getNumPartitions()
+    made = spark.range(5)
+    assert scratch.dealt(made).rdd.getNumPartitions() == made.rdd.getNumPartitions()
+
+
+def test_a_block_of_postings():
+    """A block's postings equal plain Python; words are told apart once."""
+    words = [["b", "a", "b"], None, [], ["the", "c", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, None, 9, 8]), pa.array(words, pa.list_(pa.string()))], ["k", "words"])
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+    rows = fulltext_store._block(5, batch.column(0), batch.column(1), dict.fromkeys(["the"]), False, kinds).to_pylist()
+    assert rows == [
+        {"term": "", "block": 5, "most": 0, "keys": [7, None, 9, 8], "places": []},
+        {"term": "a", "block": 5, "most": 1, "keys": [7, 8], "places": [[1], [2]]},
+        {"term": "b", "block": 5, "most": 2, "keys": [7], "places": [[0, 2]]},
+        {"term": "c", "block": 5, "most": 1, "keys": [8], "places": [[1]]},
+    ]
