@@ -680,3 +680,14 @@ def test_language_by_a_plain_forward_pass():
         pooled = [max(float(seen[i : i + taps].ravel() @ net.filters[:, f]) for i in range(langid.WINDOW)) + net.bias[f] for f in range(net.filters.shape[1])]
         z = np.maximum(pooled, 0) @ net.weights + net.offset
         assert np.allclose(np.exp(z - z.max()) / np.exp(z - z.max()).sum(), p, atol=1e-4)
+
+
+def test_pipeline_language_stage_heeds_the_prediction(spark, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "sure", "en"), (2, "unsure", "en"), (3, "half", "de"), (4, "none", None)], "doc_id long, text string, lang string")
+    told = lambda rows, *_: rows.withColumn("lang_pred", F.when(F.col("__text") == "none", "und").otherwise("en")).withColumn("score", F.expr("case __text when 'sure' then 0.9 when 'half' then 0.5 else 0.3 end"))
+    monkeypatch.setattr(langid, "fit", lambda *_: None)
+    monkeypatch.setattr(langid, "predict", told)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [1, 3]
