@@ -210,3 +210,11 @@ def test_equal_wordings_are_looked_up_once(spark, monkeypatch):
     for query in range(80):
         want = {0: [(1, 1, 3.0, 0.0), (2, 4, 3.0, 0.0), (3, 7, 3.0, 0.0), (4, 10, 3.0, 0.0)], 1: [(1, 7, 5.0, 1.0), (2, 21, 5.0, 1.0), (3, 35, 5.0, 1.0), (4, 49, 5.0, 1.0)], 2: []}[query % 3]
         assert sorted(found.get(100 + query, [])) == want
+
+
+def test_decisions_of_single_chunks_need_no_shuffle(spark, small):
+    """Documents that stand once each are looked at where they lie, in one pass."""
+    from folioflow.plans import registry
+
+    plan = registry.QUERIES["quality_decisions"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and plan.count("regexp_replace(") < 20
