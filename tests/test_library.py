@@ -85,3 +85,14 @@ def test_sinks_and_cache(spark, tmp_path):
     asked = spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 1)], "hash string, version int")
     results, fresh = sinks.with_cache(asked, cache, ["hash", "version"], lambda d: d.withColumn("out", F.lit("new")))
     assert sorted((r["hash"], r.version, r.out) for r in results.collect()) == [("h1", 1, "old"), ("h1", 2, "new"), ("h2", 1, "new")] and fresh.count() == 2
+
+
+def test_postings_are_made_where_texts_lie(spark):
+    """Rows of one key, null among them, count as one chunk; without such rows nothing is brought together."""
+    rows = [(1, "the wolf ran, the wolf sat"), (2, "stone"), (1, "wolf"), (None, "river stone"), (None, "stone"), (3, None), (4, ""), (5, "of the"), (6, "Été 漢字 été")]
+    chunks = spark.createDataFrame(rows, "chunk_id int, chunk_text string")
+    want = {(1, "wolf"): [0, 1, 4], (1, "ran"): [2], (1, "sat"): [5], (2, "stone"): [0], (None, "river"): [0], (None, "stone"): [0, 1], (6, "été"): [0, 2], (6, "漢字"): [1]}
+    assert {(r.chunk_id, r.term): r.positions for r in X.index(chunks, stemmed=False).collect()} == want
+    lone = X.index(chunks.where("chunk_id > 1"), stemmed=False)
+    assert "Exchange" not in lone._jdf.queryExecution().executedPlan().toString()
+    assert {(r.chunk_id, r.term): r.positions for r in lone.collect()} == {k: v for k, v in want.items() if k[0] and k[0] > 1}
