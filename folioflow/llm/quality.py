@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ HASH_BYTES = 1 << 20
 SORTED, COUNTED = 1 << 21, 1 << 18
 #: Buckets whose sums travel in one row.
 SLOT = 1024
+#: Bits of a place in the table of ids (8 MB, whatever the corpus), and of a place in one of its slices.
+MARK_BITS, SLICE_BITS = 26, 20
 
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 WORD, SPACES, NEWLINE = re.compile(rb"[^\x20\t-\r]+"), re.compile(rb"[\x20\t-\r]+"), re.compile(rb"\n")
@@ -261,6 +264,43 @@ def in_target(key: Column) -> Column:
     return F.xxhash64(key.cast("string"), F.lit(SEED)) % 2 == 0
 
 
+def mark(key: Column) -> Column:
+    """The place of an id in the table of bits."""
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit(SEED + 1)), F.lit(1 << MARK_BITS))
+
+
+def marks_of(ids: DataFrame, key: str) -> np.ndarray:
+    """A table of bits, packed, in which the places of the ids are set."""
+
+    def packed(batches):
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            for k in np.unique(place >> SLICE_BITS).tolist():
+                bits = slices.setdefault(k, np.zeros(1 << SLICE_BITS, np.uint8))
+                bits[place[place >> SLICE_BITS == k] & ((1 << SLICE_BITS) - 1)] = 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int32()), pa.array([np.packbits(b).tobytes() for b in slices.values()], pa.binary())], ["slice", "bits"])
+
+    places = ids.select(mark(F.col(key)).alias("place"))
+    table = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    size = 1 << SLICE_BITS - 3
+    for r in places.repartition(F.shiftright("place", SLICE_BITS)).mapInArrow(packed, "slice int, bits binary").collect():
+        table[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
+def perhaps_among(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """docs (doc_id, text) without most of those whose id isn't among the ids: what is dropped surely isn't, so an exact join that follows shuffles fewer texts."""
+    table = docs.sparkSession.sparkContext.broadcast(marks_of(ids, key))
+
+    @F.pandas_udf("boolean")
+    def is_set(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((table.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return docs.where(is_set(mark(F.col("doc_id"))))
+
+
 def best_threshold(good: np.ndarray, bad: np.ndarray) -> float | None:
     """The score that costs least: GOOD_WEIGHT times the share of good below it, and the share of bad from it on."""
     if not len(good):
@@ -356,9 +396,9 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, threshold, kept)."""
     trusted = labelled_ids(labels, label_id_col)
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # Labels meet the texts for the target alone: half of the texts are shuffled at most, none while the labels are small.
-    target_ids = trusted.where(F.col("__part") == TARGET)
-    meant = given.where(in_target(F.col("doc_id"))).join(target_ids, F.col("doc_id") == F.col("__id")).select("text", "__part")
+    # Labels meet the texts for the target alone: of others few texts are shuffled, and none at all while the labels are small.
+    target_ids = Scratch(docs.sparkSession, "target").keep(trusted.where(F.col("__part") == TARGET))
+    meant = perhaps_among(given.where(in_target(F.col("doc_id"))), target_ids, "__id").join(target_ids, F.col("doc_id") == F.col("__id")).select("text", "__part")
     corpus, target = corpus_counts(given.withColumn("__part", F.lit(0)))[0], corpus_counts(meant)[1]
     ratios = None
     if target.sum():

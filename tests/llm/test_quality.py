@@ -120,3 +120,12 @@ def test_threshold_over_ranges_equals_plain(spark):
     assert quality.threshold_of(rows) == quality.best_threshold(good, bad)
     assert quality.threshold_of(rows.where(f"__part = {quality.HELD}")) == quality.best_threshold(good, np.array([]))
     assert quality.threshold_of(rows.where(f"__part = {quality.BAD}")) is None is quality.threshold_of(rows.limit(0))
+
+
+def test_few_texts_meet_the_labels(spark):
+    """All documents among the ids stay, and next to none of the others, whose texts needn't be shuffled."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "'x' as text").union(spark.createDataFrame([(None, "x")], "doc_id long, text string"))
+    ids = spark.range(0, 40_000, 10).selectExpr("cast(id as int) as __id")
+    found = {r["doc_id"] for r in quality.perhaps_among(docs, ids, "__id").collect()}
+    assert set(range(0, 40_000, 10)) <= found and len(found) < 4_100
+    assert quality.perhaps_among(docs, ids.limit(0), "__id").count() == 0
